@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineproof.llm import ann, bpe, lines, packing, topk
+from lineproof.llm import ann, archive, bpe, langid, lines, neardup, packing, topk
 from lineproof.llm.shared import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_archive_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -33,10 +45,23 @@ def op8_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op5_best_fit_packing, op6_exact_top_k, op7_byte_bpe, op8_anisotropic_search)
+    f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_archive_converter, op4_language_id, op5_best_fit_packing, op6_exact_top_k, op7_byte_bpe, op8_anisotropic_search)
 }
 
 SQL: dict[str, str] = {
+    "op1_near_duplicates": r"""
+        with recursive cut as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+        sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as s from cut),
+        grams as (select doc_id, unnest(s) as g from sets),
+        common as (select a.doc_id as x, b.doc_id as y, count(*) as n_both from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        links as (select x, y from common join sets a on a.doc_id = x join sets b on b.doc_id = y
+            where 100 * n_both >= 85 * (len(a.s) + len(b.s) - n_both)),
+        edges as (select x, y from links union select y, x from links),
+        reach as (select doc_id, doc_id as other from sets union select r.doc_id, e.y from reach r join edges e on e.x = r.other)
+        select s.doc_id, len(s.s)::bigint as n_shingles, min(other) as component_id, s.doc_id = min(other) as kept
+        from sets s join reach r on r.doc_id = s.doc_id group by s.doc_id, s.s""",
     "op2_line_dedup": """
         with cut as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
         lines as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos from cut),
@@ -47,6 +72,17 @@ SQL: dict[str, str] = {
         select doc_id, count(*) as n_lines, count(*) filter (where keeper <> doc_id) as n_dropped,
             sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where keeper is null or keeper = doc_id), '')) as kept_sha256
         from keyed left join repeated using (key) group by doc_id""",
+    "op3_archive_converter": """
+        with bits as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
+        coded as (select page_id, hex, strlen(body) as payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::bigint
+            >> (35 - 5 * (i % 8)))::bigint) & 31)::int, 1)), 'string_agg', '') as payload_digest from bits),
+        firsts as (select hex, min(page_id) as first_page from coded group by hex)
+        select c.page_id, payload_bytes, payload_digest,
+            case when first_page = c.page_id then 'response' else 'revisit' end as record_type,
+            case when first_page <> c.page_id then first_page end as refers_to,
+            coalesce(url, 'urn:page:' || c.page_id) as target_uri, '2024-01-01T00:00:00Z' as warc_date
+        from coded c join firsts using (hex) join pages p on p.page_id = c.page_id""",
     "op6_exact_top_k": """
         with scaled as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
             where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
