@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineproof.llm.shared import batch, sliced
 
@@ -248,3 +249,22 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
     model = model or train(sample(docs))
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(_predict(model), DDL)
+
+
+def _predict_rows(model: Crf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text", 10 << 20):
+            texts = [t or "" for t in b["text"].to_pylist()]
+            found = model.predict(texts) if model.languages else [(UNKNOWN, 0.0)] * len(texts)
+            cols = [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "lang_pred", "lang_score"])
+
+    return run
+
+
+def identify_rows(docs: DataFrame, model: Crf | None = None) -> DataFrame:
+    """docs with lang_pred and lang_score beside its own columns (own columns of these names give way)."""
+    model = model or train(sample(docs))
+    own = docs.drop("lang_pred", "lang_score")
+    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return own.mapInArrow(_predict_rows(model), schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineproof.llm import ann, archive, bpe, langid, lines, neardup, packing, topk
+from lineproof.llm import ann, archive, bpe, langid, licenses, lines, neardup, packing, pii, topk
 from lineproof.llm.shared import table
 
 
@@ -44,8 +44,16 @@ def op8_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_archive_converter, op4_language_id, op5_best_fit_packing, op6_exact_top_k, op7_byte_bpe, op8_anisotropic_search)
+    f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_archive_converter, op4_language_id, op5_best_fit_packing, op6_exact_top_k, op7_byte_bpe, op8_anisotropic_search, op9_license_scan, op10_surrogates)
 }
 
 SQL: dict[str, str] = {
