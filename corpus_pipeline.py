@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineproof.llm import langid, lines, neardup, packing, pii
-from lineproof.llm.shared import stored
+from lineproof.llm.shared import marked, stored
 
 LEAST_SCORE = 0.35
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -32,8 +32,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group; documents without an id or a word stay."""
     found = neardup.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti").select(*docs.columns)
+    gone = stored(found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "pipeline-gone")
+    told = marked(docs, "doc_id", gone, "lineproof_asked")
+    asked = told.filter("lineproof_asked").join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return told.filter("not lineproof_asked").unionByName(asked).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
