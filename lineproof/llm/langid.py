@@ -38,7 +38,7 @@ BUCKETS = 1 << 16
 EPOCHS = 12
 RATE = 0.3
 LINES_EACH = 6
-CACHE_ROWS = 500_000
+CACHE_ROWS = 200_000
 UNKNOWN = "und"
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 DDL = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -237,7 +237,7 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRA
 
 def _predict(model: Crf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 10 << 20):
+        for b in sliced(batches, "text", 2 << 20):
             texts = [t or "" for t in b["text"].to_pylist()]
             found = model.predict(texts) if model.languages else [(UNKNOWN, 0.0)] * len(texts)
             yield batch(PREDICTED, doc_id=b["doc_id"], held_out=b["held_out"], lang_pred=[x for x, _ in found], score=[x for _, x in found])
@@ -253,7 +253,7 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
 
 def _predict_rows(model: Crf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 10 << 20):
+        for b in sliced(batches, "text", 2 << 20):
             texts = [t or "" for t in b["text"].to_pylist()]
             found = model.predict(texts) if model.languages else [(UNKNOWN, 0.0)] * len(texts)
             cols = [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]

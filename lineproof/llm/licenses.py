@@ -31,7 +31,7 @@ WORDS = 5
 BANDS = 24
 CONTAINMENT = 0.8
 LEAST_BLOCK = 8
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 #: Wordings of public license notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -115,7 +115,7 @@ class Scanner:
 def _scan(templates: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        for b in sliced(batches, "text", 4 << 20):
+        for b in sliced(batches, "text", 2 << 20):
             found = [sorted(scanner.scan(t or "").items()) for t in b["text"].to_pylist()]
             yield batch(FOUND, doc_id=b["doc_id"], licenses=[[n for n, _ in f] for f in found], containment=[[c for _, c in f] for f in found])
 

@@ -221,7 +221,7 @@ def collisions(names: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def _replace(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "lineproof_text", 8 << 20):
+        for b in sliced(batches, "lineproof_text", 3 << 20):
             moved = [dict(m) if m else {} for m in b["lineproof_moved"].to_pylist()]
             out = [(None, 0) if t is None else replaced(t, m, key) for t, m in zip(b["lineproof_text"].to_pylist(), moved, strict=True)]
             kept = [c for c in b.schema.names if c not in ("lineproof_text", "lineproof_moved")]
