@@ -93,15 +93,16 @@ class Scanner:
         found: dict[str, float] = {}
         if not len(h):
             return found
+        starts = np.arange(0, len(h), LEAST_BLOCK)
         with np.errstate(over="ignore"):
-            valued = [h * a + b for a, b in MULTIPLIERS.T]
-        for size, own in self.classes.items():
-            starts = np.arange(0, len(h), size)
-            hits = np.zeros((len(starts), len(own)), bool)
-            for band, v in enumerate(valued):
-                low = np.minimum.reduceat(v, starts)
-                window = np.minimum(low, np.append(low[1:], low[-1:]))
-                hits |= window[:, None] == self.mins[size][None, :, band]
+            low = np.array([np.minimum.reduceat(h * a + b, starts) for a, b in MULTIPLIERS.T])
+        for size, own in sorted(self.classes.items()):
+            while low.shape[1] > -(-len(h) // size):
+                low = np.minimum.reduceat(low, np.arange(0, low.shape[1], 2), axis=1)
+            window = np.minimum(low, np.append(low[:, 1:], low[:, -1:], axis=1))
+            hits = np.zeros((low.shape[1], len(own)), bool)
+            for band, row in enumerate(window):
+                hits |= row[:, None] == self.mins[size][None, :, band]
             for at, k in zip(*np.nonzero(hits), strict=True):
                 near = h[max(0, (at - 1) * size) : (at + 3) * size]
                 want = self.sets[own[k]]
