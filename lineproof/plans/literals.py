@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 from lineproof.functions import literals as V
 from lineproof.sources import views
 
-DEADLINE, AMOUNT, CONTACT, ENGLISH = (F.col(c) for c in ("deadline", "amount", "contact", "english"))
-
 
 def f3_amounts(spark, sf):
-    return views.t1(spark, sf).select("notice_id", F.explode(F.transform(V.amounts(AMOUNT), lambda a: a.cast("long"))).alias("won"))
+    return views.t1(spark, sf).select("notice_id", F.explode(F.transform(V.amounts(F.col("amount")), lambda a: a.cast("long"))).alias("won"))
 
 
 def f4_calendar_dates(spark, sf):
-    return views.t1(spark, sf).select("notice_id", F.inline(V.calendar_dates(DEADLINE)))
+    return views.t1(spark, sf).select("notice_id", F.inline(V.calendar_dates(F.col("deadline"))))
 
 
 def f5_english_date(spark, sf):
@@ -26,21 +24,21 @@ def f5_english_date(spark, sf):
 
 
 def f6_clock_minutes(spark, sf):
-    return views.t1(spark, sf).select("notice_id", F.explode(V.clock_minutes(DEADLINE)).alias("minutes"))
+    return views.t1(spark, sf).select("notice_id", F.explode(V.clock_minutes(F.col("deadline"))).alias("minutes"))
 
 
 def f7_phone_digits(spark, sf):
-    return views.t1(spark, sf).select("notice_id", F.explode(V.phones(CONTACT)).alias("digits", "printed"))
+    return views.t1(spark, sf).select("notice_id", F.explode(V.phones(F.col("contact"))).alias("digits", "printed"))
 
 
 def f8_emails(spark, sf):
-    return views.t1(spark, sf).select("notice_id", F.explode(V.emails(CONTACT)).alias("email"))
+    return views.t1(spark, sf).select("notice_id", F.explode(V.emails(F.col("contact"))).alias("email"))
 
 
 def f9_unsupported_contacts(spark, sf):
     """Telephone digits of an English line that the source lacks; every seventh notice has another number."""
-    line = F.when(F.col("notice_id") % 7 == 0, F.lit("Call 02-555-0199")).otherwise(F.concat(F.lit("Call "), F.regexp_extract(CONTACT, "(02-[0-9]+-[0-9]+)", 1)))
-    found = F.array_except(F.map_keys(V.phones(line)), F.map_keys(V.phones(CONTACT)))
+    line = F.when(F.col("notice_id") % 7 == 0, F.lit("Call 02-555-0199")).otherwise(F.concat(F.lit("Call "), F.regexp_extract(F.col("contact"), "(02-[0-9]+-[0-9]+)", 1)))
+    found = F.array_except(F.map_keys(V.phones(line)), F.map_keys(V.phones(F.col("contact"))))
     return views.t1(spark, sf).select("notice_id", F.explode(found).alias("digits"))
 
 
@@ -49,34 +47,34 @@ def f11_threshold_cells(spark, sf):
 
 
 def f14_literal_counts(spark, sf):
-    whole = F.concat_ws("\n", DEADLINE, AMOUNT, CONTACT)
+    whole = F.concat_ws("\n", F.col("deadline"), F.col("amount"), F.col("contact"))
     return views.t1(spark, sf).select("notice_id", F.size(V.literal_rows(whole)).alias("n_literals"))
 
 
 def f18_missing_values(spark, sf):
-    return views.t1(spark, sf).select("notice_id", F.explode(V.missing_values(F.concat_ws("\n", AMOUNT, CONTACT), ENGLISH)).alias("missing"))
+    return views.t1(spark, sf).select("notice_id", F.explode(V.missing_values(F.concat_ws("\n", F.col("amount"), F.col("contact")), F.col("english"))).alias("missing"))
 
 
 def f36_deadline_display(spark, sf):
-    parts = F.concat(F.regexp_extract_all(DEADLINE, F.lit(r"([0-9]{4}\.[0-9]{2}\.[0-9]{2})"), F.lit(1)), F.regexp_extract_all(DEADLINE, F.lit(V.CLOCK), F.lit(0)))
+    parts = F.concat(F.regexp_extract_all(F.col("deadline"), F.lit(r"([0-9]{4}\.[0-9]{2}\.[0-9]{2})"), F.lit(1)), F.regexp_extract_all(F.col("deadline"), F.lit(V.CLOCK), F.lit(0)))
     return views.t1(spark, sf).select("notice_id", F.array_join(parts, " – ").alias("shown"))
 
 
 def a21_reading_disagreement(spark, sf):
     """The kind of gap between a primary reading and an alternate: values first, then wording."""
-    other = F.when(F.col("notice_id") % 4 == 0, F.concat(F.lit("지원금 "), F.lit("7원"))).when(F.col("notice_id") % 4 == 1, F.concat(AMOUNT, F.lit(" 지급"))).otherwise(AMOUNT)
+    other = F.when(F.col("notice_id") % 4 == 0, F.concat(F.lit("지원금 "), F.lit("7원"))).when(F.col("notice_id") % 4 == 1, F.concat(F.col("amount"), F.lit(" 지급"))).otherwise(F.col("amount"))
     values = lambda c: F.transform(V.literal_rows(c), lambda r: F.concat_ws(":", r["kind"], r["value"]))
-    gap = F.when(F.array_sort(values(AMOUNT)) != F.array_sort(values(other)), "value").when(AMOUNT != other, "wording").otherwise("none")
+    gap = F.when(F.array_sort(values(F.col("amount"))) != F.array_sort(values(other)), "value").when(F.col("amount") != other, "wording").otherwise("none")
     return views.t1(spark, sf).select("notice_id", gap.alias("gap"))
 
 
 def c12_literal_index(spark, sf):
-    lines = F.posexplode(F.array(DEADLINE, AMOUNT, CONTACT)).alias("line", "text")
+    lines = F.posexplode(F.array(F.col("deadline"), F.col("amount"), F.col("contact"))).alias("line", "text")
     return views.t1(spark, sf).select("notice_id", lines).select("notice_id", "line", F.inline(V.literal_rows(F.col("text"))))
 
 
 def c13_pair_verdicts(spark, sf):
-    found = views.t1(spark, sf).select("notice_id", F.explode(V.missing_values(F.concat_ws("\n", AMOUNT, CONTACT), ENGLISH)).alias("missing"))
+    found = views.t1(spark, sf).select("notice_id", F.explode(V.missing_values(F.concat_ws("\n", F.col("amount"), F.col("contact")), F.col("english"))).alias("missing"))
     return found.groupBy("notice_id", F.substring_index("missing", ":", 1).alias("issue_kind")).agg(F.count(F.lit(1)).alias("n_issues"))
 
 
