@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -64,18 +65,17 @@ def reference_match(docs: DataFrame, references: DataFrame, least: int = 40) ->
 
 
 def cut(text: str, most: int) -> list[str]:
-    """Pieces of at most that many UTF-8 bytes that join to the text: whole lines where they fit, then words, then characters."""
+    """Pieces of at most that many UTF-8 bytes that join to the text: whole lines where they fit, then words, then characters; a character above the bound stays whole."""
     out, held, size = [], [], 0
     stack = text.splitlines(keepends=True)[::-1]
     while stack:
         part = stack.pop()
         n = len(part.encode("utf-8", "surrogatepass"))
-        if n > most:
-            words = [w + " " for w in part.split(" ")]
-            words[-1] = words[-1][:-1]
-            stack.extend(([w for w in words if w] if len(words) > 1 else list(part))[::-1])
+        if n > most and len(part) > 1:
+            words = re.findall(r" *[^ ]+ ?| +", part)
+            stack.extend((words if len(words) > 1 else list(part))[::-1])
             continue
-        if size + n > most:
+        if size and size + n > most:
             out.append("".join(held))
             held, size = [], 0
         held.append(part)

@@ -77,7 +77,9 @@ def p14_recovery(spark, sf):
 
 
 def p16_fragments(spark, sf):
-    return lines(spark, sf).withColumn("why", J.fragment(F.col("line"))).filter("why is not null").groupBy("doc_id", "why").agg(F.count(F.lit(1)).alias("n"))
+    """Clauses stand for lines that were cut short."""
+    clauses = lines(spark, sf).select("doc_id", F.explode(F.split("line", "[,.]")).alias("line")).withColumn("line", F.trim("line"))
+    return clauses.withColumn("why", J.fragment(F.col("line"))).filter("why is not null").groupBy("doc_id", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p17_fee_evidence(spark, sf):
@@ -297,7 +299,7 @@ SQL = {
     "p11_short_cells": f"with {G2} select notice_id, role, bool_and(length(txt) <= 8) as short from g2 group by 1, 2",
     "p14_recovery": "select o_orderkey as notice_id, o_orderkey % 7 = 0 or o_orderkey % 4 = 0 or o_custkey % 100 < 5 as needs_recovery from orders",
     "p16_fragments": rf"""with {LINES_SQL}, w as (select doc_id, case when length(regexp_replace(line, '[^(]', '', 'g')) > length(regexp_replace(line, '[^)]', '', 'g')) then 'open bracket'
-        when regexp_matches(line, '(?i)(^|\s)(and|or|of|et|de|mit|und)$') then 'dangling connective' when regexp_matches(line, '^[,;)]') then 'connector start' end as why from lines)
+        when regexp_matches(line, '(?i)(^|\s)(and|or|of|et|de|mit|und)$') then 'dangling connective' when regexp_matches(line, '^[,;)]') then 'connector start' end as why from (select doc_id, trim(unnest(string_split_regex(line, '[,.]'))) as line from lines))
         select doc_id, why, count(*) as n from w where why is not null group by 1, 2""",
     "p17_fee_evidence": "select o_orderkey as notice_id, case o_orderkey % 3 when 1 then 'award' when 2 then 'no payment wording' end as issue from orders",
     "p21_roles": "select o_orderkey as notice_id, line::int as line, ['deadline', 'funding', 'contact'][line + 1] as role from orders, range(3) r(line)",
