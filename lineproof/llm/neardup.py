@@ -7,12 +7,13 @@ child of its minwise token there. Nodes of at most NODE_ROWS classes are compare
 branch on. Nodes that stay large after MAX_DEPTH levels (near copies that agree nearly everywhere) are compared in
 blocks, and each block also gets the node's shared leaders, so a block never holds more than NODE_ROWS + LEADERS.
 
-Within a node the candidates kept are a maximum spanning forest of the estimated similarities and each class's NEAREST
-best partners above a margin under the threshold, so a group of n near copies gives O(n) candidates, not n^2. Every
-candidate is confirmed on the full shingle sets. Components come from minimum-label propagation with pointer jumping;
-nothing is collected.
+Within a node the classes connected by estimated similarities above a margin under the threshold form a list. A list is
+compared on the full shingle sets: each pair is confirmed, refuted, or already connected by confirmed links, so a group
+of n near copies gives n - 1 links and no pair is left out. Components come from minimum-label propagation with pointer
+jumping; nothing is collected.
 
-At the threshold a pair survives a tree of depth 3 with probability about 0.7, so 10 trees miss it with about 1e-5.
+At the threshold a pair survives a tree of depth 3 with probability 0.70 (0.64 at 0.80). As the trees share one sketch,
+the average over sketches counts: 10 trees miss it with 2.5e-5 (1.0e-4 at 0.80), a pair above the threshold more rarely.
 
 Defined cases: null or blank texts have the empty set, link with nothing and keep themselves; texts with fewer words
 than a shingle have one shingle, the whole sequence; a null doc_id gives null component and kept; rows that share a
@@ -38,10 +39,10 @@ MAX_DEPTH = 8
 COORDINATES = 128
 NODE_ROWS = 2048
 LEADERS = 64
-#: Of the NEAREST best partners of a class in a node the FIRM first are always candidates, the others with probability
-#: SHARE; a class meets its partners in about 16 nodes, so all of them are tried, but not all in every node.
-NEAREST, FIRM, SHARE = 12, 2, 0.3
-MARGIN = 0.11
+#: A pair at the threshold is estimated lower by more than this with probability under 1e-5.
+MARGIN = 0.17
+#: Shingles of the sets that one task holds at once; heavier lists are cut in blocks of which all pairs are compared.
+LIST_SHINGLES = 1 << 21
 WORD_CACHE = 200_000
 SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("nodes", pa.list_(pa.int64())), ("sketch", pa.binary())])
 SIGNATURES_DDL = "doc_id long, n_shingles long, set_hi long, set_lo long, nodes array<long>, sketch binary"
@@ -122,60 +123,65 @@ def _signatures(words: int, trees: int, second: float):
     return run
 
 
-def _candidates(threshold: float):
-    """Spanning forest and nearest partners of a node's members by their sketches."""
+def cut_lists(members: np.ndarray, weights: np.ndarray, most: int) -> list[np.ndarray]:
+    """Lists of about most weight in which every two members meet: all pairs of blocks where the whole is heavier."""
+    place = np.cumsum(weights) // (most // 2)
+    blocks = [members[place == k] for k in np.unique(place)]
+    if len(blocks) < 3:
+        return [members]
+    return [np.sort(np.concatenate([x, y])) for i, x in enumerate(blocks) for y in blocks[i + 1 :]]
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
+
+def _lists(threshold: float):
+    """Members of a task that are connected by sketches above the margin; members of one component need no comparison."""
+
+    def run(group: pa.Table) -> pa.Table:
         # A leader meets its own block's copy of itself once.
         ids, first = np.unique(group.column("cid").to_numpy(), return_index=True)
         raw = group.column("sketch").to_pylist()
         sketch = np.array([np.frombuffer(raw[i], "<u2") for i in first])
-        n = len(ids)
-        found: set[tuple[int, int]] = set()
-        if n > 1:
-            left, right, value = [], [], []
-            for i in range(n - 1):
-                same = (sketch[i + 1 :] == sketch[i]).mean(1)
-                hit = np.flatnonzero(same >= threshold - MARGIN)
-                left.append(np.full(len(hit), i))
-                right.append(hit + i + 1)
-                value.append(same[hit])
-            left, right, value = np.concatenate(left), np.concatenate(right), np.concatenate(value)
-            order = np.argsort(-value, kind="stable")
-            parent, taken = list(range(n)), [0] * n
-            drawn = np.random.default_rng(key[0].as_py() & (2**63 - 1)).random(len(order)) < SHARE
-            for a, b, lucky in zip(left[order].tolist(), right[order].tolist(), drawn.tolist(), strict=True):
-                x, y = a, b
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                while parent[y] != y:
-                    parent[y] = y = parent[parent[y]]
-                seen = min(taken[a], taken[b])
-                if x != y:
-                    parent[x] = y
-                elif seen >= NEAREST:
-                    continue
-                taken[a] += 1
-                taken[b] += 1
-                if x != y or seen < FIRM or lucky:
-                    found.add((a, b))
-        pairs = np.array(sorted(found)).reshape(-1, 2).astype(np.int64)
-        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        known, weights = group.column("component").to_numpy()[first], group.column("n_shingles").to_numpy()[first]
+        label = np.arange(len(ids))
+        for i in range(len(ids) - 1):
+            apart = np.flatnonzero((label[i + 1 :] != label[i]) & (known[i + 1 :] != known[i])) + i + 1
+            for k in np.unique(label[apart[(sketch[apart] == sketch[i]).mean(1) >= threshold - MARGIN]]):
+                label[label == k] = label[i]
+        found = []
+        for k in np.flatnonzero(np.bincount(label) > 1):
+            found += cut_lists(ids[label == k], weights[label == k], LIST_SHINGLES)
+        return pa.table({"members": pa.array([x.tolist() for x in found], pa.list_(pa.int64()))})
 
     return run
 
 
-def _confirmed(numerator: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for part in batches:
-            for b in (part.slice(i, 256) for i in range(0, part.num_rows, 256)):
-                keep = []
-                for x, y in zip(b["set_a"], b["set_b"], strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= numerator * (len(x) + len(y) - both))
-                yield b.select(["a", "b"]).filter(pa.array(keep)).cast(schema)
+def _links(numerator: int):
+    """Links that connect the members of a list: a pair is tested on full sets unless links or components connect it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, first = np.unique(group.column("cid").to_numpy(), return_index=True)
+        raw = group.column("shingles").to_pylist()
+        sets = [np.frombuffer(raw[i], np.uint64) for i in first]
+        label = np.unique(group.column("component").to_numpy()[first], return_inverse=True)[1]
+        sizes = np.array([len(x) for x in sets])
+        # The places of the shingles among those of the list, so that a lookup counts what two sets share.
+        every, place = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.split(place, np.cumsum(sizes)[:-1])
+        held = np.zeros(len(every), np.int64)
+        left, right = [], []
+        for i in range(len(ids) - 1):
+            low, high = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+            apart = np.flatnonzero((label[i + 1 :] != label[i]) & (100 * low >= numerator * high)) + i + 1
+            if not len(apart):
+                continue
+            held[own[i]] = 1
+            both = np.add.reduceat(held[np.concatenate([own[j] for j in apart])], np.cumsum(sizes[apart]) - sizes[apart])
+            held[own[i]] = 0
+            for j in apart[100 * both >= numerator * (sizes[i] + sizes[apart] - both)]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    left.append(ids[i])
+                    right.append(ids[j])
+        return pa.table({"a": left, "b": right}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
@@ -239,19 +245,24 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("a", "component")
 
 
+def links_within(tasks: DataFrame, classes: DataFrame, docs: DataFrame, words: int, numerator: int) -> DataFrame:
+    """Confirmed (a, b) links that connect what is linked within a task. tasks: (node, cid, component)."""
+    sketched = tasks.join(classes.select("cid", "sketch", "n_shingles"), "cid")
+    # Trees often hold the same members; a list of them is compared once.
+    lists = sketched.groupBy("node").applyInArrow(_lists(numerator / 100), "members array<long>").distinct()
+    listed = stored(lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("cid")), "near-lists")
+    known = tasks.select("cid", "component").distinct()
+    # Texts stay where they are: a bounded filter picks those needed, with a few more that no list asks for.
+    texts = marked(docs.select(F.col("doc_id").cast("long").alias("cid"), "text"), "cid", listed.select("cid").distinct(), "needed").filter("needed")
+    sets = stored(texts.select("cid", "text").mapInArrow(_sets(words), "cid long, shingles binary"), "near-sets")
+    full = listed.join(known, "cid").join(sets, "cid")
+    return stored(full.groupBy("list").applyInArrow(_links(numerator), "a long, b long").distinct(), "near-confirmed")
+
+
 def links_between(classes: DataFrame, docs: DataFrame, words: int, numerator: int) -> DataFrame:
     """Confirmed (a, b) links between classes."""
-    second = 100 / numerator - 1
-    members = nodes_to_compare(classes, second)
-    # Trees often hold the same members; a node is compared once a member list.
-    sketched = members.join(classes.select("cid", "sketch"), "cid")
-    pairs = stored(sketched.groupBy("node").applyInArrow(_candidates(numerator / 100), "a long, b long").distinct(), "near-candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    # Texts stay where they are: a bounded filter picks those needed, with a few more that no pair asks for.
-    texts = marked(docs.select(F.col("doc_id").cast("long").alias("cid"), "text"), "cid", needed, "needed").filter("needed")
-    sets = stored(texts.select("cid", "text").mapInArrow(_sets(words), "cid long, shingles binary"), "near-sets")
-    one, two = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(numerator), "a long, b long").distinct()
+    members = nodes_to_compare(classes, 100 / numerator - 1)
+    return links_within(members.withColumn("component", F.col("cid")), classes, docs, words, numerator)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, trees: int = TREES) -> DataFrame:
@@ -260,7 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     signatures = stored(rows.mapInArrow(_signatures(words, trees, 100 / numerator - 1), SIGNATURES_DDL), "near-signatures")
     linked = signatures.filter("doc_id is not null and n_shingles > 0")
     key = ["set_hi", "set_lo"]
-    classes = stored(linked.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")), "near-classes")
+    classes = stored(linked.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "near-classes")
     labels = components(links_between(classes, rows, words, numerator))
     by_set = classes.select(*key, "cid").join(labels, "cid", "left").select(*key, F.coalesce("component", "cid").alias("component"))
     found = signatures.select("doc_id", "n_shingles", *key).join(by_set, key, "left")

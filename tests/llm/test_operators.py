@@ -62,6 +62,22 @@ def test_near_duplicates(spark, docs):
     assert [r.kept for r in neardup.near_duplicates(spark.createDataFrame([(None, "a b c")], "doc_id long, text string")).collect()] == [None]
 
 
+def test_only_link_of_dense_groups(spark):
+    """Pairs of groups of 50 near copies: only the pair of texts with fewer changes links them (0.854), all others are below 0.85."""
+    rng, texts = random.Random(11), []
+    for _ in range(10):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(800)]
+        other = [f"o{i}" if i in range(7, 457, 30) else w for i, w in enumerate(base)]
+        for name, words, slots in (("a", base, range(10, 772, 12)), ("b", other, range(16, 772, 12))):
+            for i in range(50):
+                own = rng.sample(slots, 4 if i else 3)
+                texts.append(" ".join(f"{name}{i}x{at}" if at in own else w for at, w in enumerate(words)))
+    assert set(c for _, c in brute_components(list(enumerate(texts[:100]))).values()) == {0}
+    assert len({c for _, c in brute_components([(i, texts[i]) for i in range(100) if i != 50]).values()}) == 2
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, *texts)).collect()}
+    assert got == {i: i - i % 100 for i in range(len(texts))}
+
+
 def test_large_nodes_are_cut(spark, monkeypatch):
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
