@@ -3,9 +3,10 @@
 Every document becomes the set of its word shingles. Equal sets form one class first, so copies cost one row each.
 Classes then enter TREES independent random trees. A node of a tree selects one minwise coordinate (a second one with
 probability 1/threshold - 1, so that a pair at the threshold keeps one common child on average) and a class goes to the
-child of its minwise token there. Nodes of at most NODE_ROWS classes are compared exhaustively on sketches; larger ones
-branch on. Nodes that stay large after MAX_DEPTH levels (near copies that agree nearly everywhere) are compared in
-blocks, and each block also gets the node's shared leaders, so a block never holds more than NODE_ROWS + LEADERS.
+child of its minwise token there, to DEPTH. Nodes of at most NODE_ROWS classes are compared whole. Larger ones are first
+cut in blocks, each with the node's shared leaders, which connects most of a group of near copies; then every two blocks
+that hold a pair not connected by then are compared, so a task never holds many more than NODE_ROWS classes and all
+pairs of a node meet.
 
 Within a node the classes connected by estimated similarities above a margin under the threshold form a list. A list is
 compared on the full shingle sets: each pair is confirmed, refuted, or already connected by confirmed links, so a group
@@ -35,7 +36,6 @@ from lineproof.llm.shared import batch, marked, sliced, stored
 WORDS, NUMERATOR = 3, 85
 TREES = 10
 DEPTH = 3
-MAX_DEPTH = 8
 COORDINATES = 128
 NODE_ROWS = 2048
 LEADERS = 64
@@ -196,37 +196,40 @@ def _sets(words: int):
     return run
 
 
-def branch(entries: DataFrame, sketches: DataFrame, second: float) -> DataFrame:
-    """The children of (node, cid) rows one level deeper, by sketch coordinates."""
-    r = F.xxhash64("node", F.lit(17))
-    first, other = F.pmod(r, F.lit(COORDINATES)), F.pmod(F.shiftrightunsigned(r, 20), F.lit(COORDINATES))
-    twice = (F.shiftrightunsigned(r, 40) / float(2**24) < second) & (first != other)
-    chosen = F.explode(F.when(twice, F.array(first, other)).otherwise(F.array(first)))
-    down = entries.join(sketches, "cid").withColumn("c", chosen)
-    token = F.substring("sketch", F.col("c").cast("int") * 2 + 1, F.lit(2))
-    return down.select(F.xxhash64("node", "c", token).alias("node"), "cid")
+def nodes_of(classes: DataFrame) -> DataFrame:
+    """(node, cid, count) of the nodes of two classes or more."""
+    entries = stored(classes.select(F.explode("nodes").alias("node"), "cid"), "near-entries")
+    return stored(entries.join(entries.groupBy("node").count().filter("count > 1"), "node"), "near-nodes")
 
 
-def nodes_to_compare(classes: DataFrame, second: float) -> DataFrame:
-    """(node, cid): members of the nodes of 2 to NODE_ROWS classes, and of blocks of those that stay larger."""
-    entries = stored(classes.select(F.explode("nodes").alias("node"), "cid"), "near-entries")
-    small = None
-    for depth in range(DEPTH, MAX_DEPTH + 1):
-        sizes = entries.groupBy("node").count().filter("count > 1")
-        known = stored(entries.join(sizes, "node"), "near-nodes")
-        fit = known.filter(F.col("count") <= NODE_ROWS).select("node", "cid")
-        small = fit if small is None else small.unionByName(fit)
-        large = known.filter(F.col("count") > NODE_ROWS)
-        if large.isEmpty():
-            return small
-        if depth < MAX_DEPTH:
-            entries = stored(branch(large.select("node", "cid"), classes.select("cid", "sketch"), second), "near-entries")
+def nodes_to_compare(nodes: DataFrame) -> DataFrame:
+    """(node, cid): members of the nodes of up to NODE_ROWS classes, and of blocks of larger ones."""
+    small, large = nodes.filter(F.col("count") <= NODE_ROWS), nodes.filter(F.col("count") > NODE_ROWS)
     blocks = F.ceil(F.col("count") / NODE_ROWS).cast("long")
     place = F.pmod(F.xxhash64("cid", "node"), blocks)
     # Leaders: about LEADERS members of least hash; each goes to every block of its node.
     leads = F.shiftrightunsigned(F.xxhash64("node", "cid", F.lit(5)), 40) * F.col("count") < float(LEADERS * 2**24)
     spread = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(place)))
-    return small.unionByName(large.select("node", "cid", spread.alias("block")).select(F.xxhash64("node", "block").alias("node"), "cid"))
+    return small.select("node", "cid").unionByName(large.select("node", "cid", spread.alias("block")).select(F.xxhash64("node", "block").alias("node"), "cid"))
+
+
+def pairs_of_blocks(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, cid, component): tasks in which every two members of a large node meet that no link connects so far.
+
+    The members outside the node's largest component form blocks, then those inside it. An outer block meets every
+    block; two inner blocks hold nothing to compare.
+    """
+    told = stored(large.select("node", "cid").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "near-told")
+    sizes = told.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
+    each = max(1, NODE_ROWS // 2)
+    outer, inner = F.ceil(F.col("outside") / each).cast("long"), F.ceil(F.col("inside") / each).cast("long")
+    placed = told.join(main.filter("outside > 0"), "node").withColumn("outer", outer).withColumn("inner", inner)
+    outsider, draw = F.col("component") != F.col("main"), F.xxhash64("cid", "node", F.lit(9))
+    block = F.when(outsider, F.pmod(draw, F.col("outer"))).otherwise(F.col("outer") + F.pmod(draw, F.col("inner")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("outer") - 1 + F.when(outsider, F.col("inner")).otherwise(0))
+    met = placed.withColumn("block", block).withColumn("other", F.explode(others))
+    return met.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "cid", "component")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,10 +262,15 @@ def links_within(tasks: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     return stored(full.groupBy("list").applyInArrow(_links(numerator), "a long, b long").distinct(), "near-confirmed")
 
 
-def links_between(classes: DataFrame, docs: DataFrame, words: int, numerator: int) -> DataFrame:
-    """Confirmed (a, b) links between classes."""
-    members = nodes_to_compare(classes, 100 / numerator - 1)
-    return links_within(members.withColumn("component", F.col("cid")), classes, docs, words, numerator)
+def labels_between(classes: DataFrame, docs: DataFrame, words: int, numerator: int) -> DataFrame:
+    """(cid, component) of every class with a link."""
+    nodes = nodes_of(classes)
+    links = links_within(nodes_to_compare(nodes).withColumn("component", F.col("cid")), classes, docs, words, numerator)
+    labels = components(links)
+    large = nodes.filter(F.col("count") > NODE_ROWS)
+    if large.isEmpty():
+        return labels
+    return components(links.unionByName(links_within(pairs_of_blocks(large, labels), classes, docs, words, numerator)))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, trees: int = TREES) -> DataFrame:
@@ -272,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     linked = signatures.filter("doc_id is not null and n_shingles > 0")
     key = ["set_hi", "set_lo"]
     classes = stored(linked.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "near-classes")
-    labels = components(links_between(classes, rows, words, numerator))
+    labels = labels_between(classes, rows, words, numerator)
     by_set = classes.select(*key, "cid").join(labels, "cid", "left").select(*key, F.coalesce("component", "cid").alias("component"))
     found = signatures.select("doc_id", "n_shingles", *key).join(by_set, key, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))

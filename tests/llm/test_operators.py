@@ -88,6 +88,21 @@ def test_large_nodes_are_cut(spark, monkeypatch):
     assert got == {0}
 
 
+def test_sparse_links_of_a_large_node(spark, monkeypatch):
+    """Texts at about 0.79 to each other, of which 40 have one partner at 0.886: partners meet though the nodes are cut in blocks."""
+    rng = random.Random(6)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(400)], []
+    for i in range(120):
+        own = rng.sample(range(10, 370, 6), 8)
+        for at in (own, [*own[:-4], *rng.sample(sorted(set(range(10, 370, 6)) - set(own)), 4)])[: 2 if i < 40 else 1]:
+            texts.append(" ".join(f"c{i}x{k}" if k in at else w for k, w in enumerate(base)))
+    monkeypatch.setattr(neardup, "NODE_ROWS", 8)
+    monkeypatch.setattr(neardup, "LEADERS", 0)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, *texts), trees=5).collect()}
+    want = {d: c for d, (_, c) in brute_components(list(enumerate(texts))).items()}
+    assert len(set(want.values())) == 120 and got == want
+
+
 def test_line_dedup_edges(spark):
     rows = {r.doc_id: r for r in lines.dedup_lines(frame(spark, *EDGE)).collect()}
     assert rows[5].kept_text == "x" and rows[5].n_dropped == 1 and rows[7].n_dropped == 0
