@@ -7,9 +7,10 @@ forward-backward gradients on sequences made of lines of several languages, so t
 runs forward-backward over every word of a text; a document's language has the largest mean posterior over its words
 that hold a letter, which is also the score.
 
-The model is fitted on a bounded sample: for each language the TRAIN_DOCS labelled documents of least hash, of each at
-most TRAIN_CHARS characters. Prediction takes whole texts. Neither the language, source nor id of a document is an
-input of its prediction.
+The model is fitted on a bounded sample: for each language the TRAIN_DOCS labelled documents of least hash, and of all
+their runs of TRAIN_WORDS words the TRAIN_RUNS of least hash, wherever in a text they stand. Prediction takes whole
+texts. Neither the language, source nor id of a document is an input of its prediction. identify_words labels the words
+of code-switched text one by one.
 
 Defined cases: null text and text without a letter give `und` with score 0; without any labelled row all texts give
 `und`; documents without doc_id are not trained on and not held out; ties go to the language first in order; repeated
@@ -18,6 +19,7 @@ rows give repeated results; other columns are ignored; an empty table gives no r
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,17 +33,16 @@ from pyspark.sql import types as T
 
 from lineproof.llm.shared import batch, sliced
 
-TRAIN_DOCS = 120
-TRAIN_CHARS = 12_000
+TRAIN_DOCS = 240
+TRAIN_RUNS = 1500
+TRAIN_WORDS = 40
 LEXICON_WORDS = 300
 BUCKETS = 1 << 16
 EPOCHS = 12
 RATE = 0.3
-LINES_EACH = 6
+RUNS_EACH = 6
 CACHE_ROWS = 200_000
 UNKNOWN = "und"
-PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-DDL = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def ngram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +75,9 @@ def ngram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owner)
 
 
+WORD = re.compile(r"\S+")
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -117,15 +121,27 @@ class Crf:
         self.held[known : known + len(new)] = np.column_stack([e, letters])
         self.place.update(zip(new, range(known, known + len(new)), strict=True))
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        split = [words_of(t) for t in texts]
+    def marginals(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(posteriors, whether the word holds a letter) of the words of all texts, with the texts' starts and lengths."""
         self.learn(set().union(*split))
-        n, lengths = len(self.languages), np.array([len(s) for s in split])
+        n, lengths = len(self.languages), np.array([len(s) for s in split], np.int64)
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
         table = self.held[at]
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        marginals = posteriors(table[:, :n], starts, lengths, np.exp(self.transitions).astype(np.float32), np.exp(self.start).astype(np.float32))
-        counted = table[:, n]
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        found = posteriors(table[:, :n], starts, lengths, np.exp(self.transitions).astype(np.float32), np.exp(self.start).astype(np.float32))
+        return found, table[:, n], starts, lengths
+
+    def label(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        """(start, end, language, posterior) of every word with a letter, in characters of the text."""
+        places = [[m.span() for m in WORD.finditer(t)] for t in texts]
+        split = [[t[a:b].lower() for a, b in spans] for t, spans in zip(texts, places, strict=True)]
+        found, letters, starts, _ = self.marginals(split)
+        best = found.argmax(1)
+        return [[(*span, self.languages[best[i]], float(found[i, best[i]])) for i, span in enumerate(spans, start) if letters[i]] for start, spans in zip(starts.tolist(), places, strict=True)]
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        n = len(self.languages)
+        marginals, counted, starts, lengths = self.marginals([words_of(t) for t in texts])
         full = lengths > 0
         total = np.zeros((len(texts), n + 1))
         total[full] = np.add.reduceat(np.column_stack([marginals * counted[:, None], counted]), starts[full], 0, np.float64) if full.any() else 0
@@ -134,8 +150,11 @@ class Crf:
         return [(self.languages[b], min(1.0, float(m[b]))) if has else (UNKNOWN, 0.0) for b, m, has in zip(best, mean, total[:, n], strict=True)]
 
 
-def posteriors(potentials: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Word marginals by scaled forward-backward; sequences run side by side, the longest first, the ended ones leave."""
+def posteriors(potentials: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Word marginals by scaled forward-backward; sequences run side by side, the longest first, the ended ones leave.
+
+    pairs, where given, receives the expected number of each transition: the sum over neighbours of their joint marginals.
+    """
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left").tolist()
@@ -157,8 +176,13 @@ def posteriors(potentials: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
         a, span = active[t], slice(base[t], base[t + 1])
         if a > len(beta):
             beta = np.concatenate([beta, np.ones((a - len(beta), pot.shape[1]), pot.dtype)])
+        right = beta * pot[span]
+        if pairs is not None and t:
+            # Joint marginal of words t - 1 and t: alpha[t - 1] * trans * potential[t] * beta[t], normalised a sequence.
+            joint = alpha[base[t - 1] : base[t - 1] + a, :, None] * trans * right[:, None, :]
+            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         alpha[span] *= beta
-        beta = (beta * pot[span]) @ back
+        beta = right @ back
         beta /= (beta @ ones)[:, None]
     alpha /= (alpha @ ones)[:, None]
     out = np.empty_like(pot)
@@ -167,11 +191,11 @@ def posteriors(potentials: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def train(rows: list[tuple[str, str]], seed: int = 1, epochs: int = EPOCHS) -> Crf:
-    """rows: (language, text). Stochastic gradient steps with per-weight rates (AdaGrad) on batches of sequences."""
+    """rows: (language, run of words). Stochastic gradient steps with per-weight rates (AdaGrad) on batches of sequences."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for lang, _ in rows})
     n = len(languages)
-    lines = [(languages.index(lang), w) for lang, text in rows for line in text.split("\n") if (w := words_of(line))]
+    lines = [(languages.index(lang), w) for lang, text in rows if (w := words_of(text))]
     counts = [Counter(w for k, ws in lines if k == lang for w in ws) for lang in range(n)]
     lexicons = [frozenset(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]) for c in counts]
     model = Crf(languages, np.zeros((BUCKETS, n)), lexicons, np.zeros((n, n)), np.zeros((n, n)), np.zeros(n))
@@ -186,9 +210,9 @@ def train(rows: list[tuple[str, str]], seed: int = 1, epochs: int = EPOCHS) -> C
     squares = [np.full(x.shape, 1e-6) for x in (model.weights, model.lexicon_weights, model.transitions, model.start)]
     for _ in range(epochs):
         mixed = rng.permutation(len(lines))
-        for at in range(0, len(mixed), 32 * LINES_EACH):
-            some = mixed[at : at + 32 * LINES_EACH]
-            sequences = [[lines[j] for j in some[i : i + LINES_EACH]] for i in range(0, len(some), LINES_EACH)]
+        for at in range(0, len(mixed), 32 * RUNS_EACH):
+            some = mixed[at : at + 32 * RUNS_EACH]
+            sequences = [[lines[j] for j in some[i : i + RUNS_EACH]] for i in range(0, len(some), RUNS_EACH)]
             ids = np.array([number[w] for seq in sequences for _, ws in seq for w in ws])
             gold = np.array([k for seq in sequences for k, ws in seq for _ in ws])
             lengths = np.array([sum(len(ws) for _, ws in seq) for seq in sequences])
@@ -199,21 +223,19 @@ def train(rows: list[tuple[str, str]], seed: int = 1, epochs: int = EPOCHS) -> C
             scores = np.stack([np.bincount(own, model.weights[flat, k], len(types)) for k in range(n)], 1) + in_lexicons[types] @ model.lexicon_weights
             pot = np.exp(scores - scores.max(1, keepdims=True))[place] + 1e-12
             trans = np.exp(model.transitions)
-            post = posteriors(pot, starts, lengths, trans, np.exp(model.start))
+            expected = np.zeros((n, n))
+            post = posteriors(pot, starts, lengths, trans, np.exp(model.start), expected)
             diff = -post
             diff[np.arange(len(gold)), gold] += 1
             by_type = np.stack([np.bincount(place, diff[:, k], len(types)) for k in range(n)], 1)
-            # Expected transitions, from the marginals of neighbours (pairwise posteriors factor through the potentials).
             inner = np.ones(len(ids), bool)
             inner[starts] = False
             right = np.flatnonzero(inner)
-            pair = post[right - 1][:, :, None] * trans[None] * post[right][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
             seen = np.zeros((n, n))
             np.add.at(seen, (gold[right - 1], gold[right]), 1)
             grads = [
                 np.stack([np.bincount(flat, by_type[own, k], BUCKETS) for k in range(n)], 1),
-                in_lexicons[types].T @ by_type, (seen - pair.sum(0)) / 10, np.bincount(gold[starts], minlength=n) - post[starts].sum(0),
+                in_lexicons[types].T @ by_type, seen - expected, np.bincount(gold[starts], minlength=n) - post[starts].sum(0),
             ]
             for w, g, s in zip((model.weights, model.lexicon_weights, model.transitions, model.start), grads, squares, strict=True):
                 s += g * g
@@ -227,12 +249,16 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """The labelled rows to fit on: of each language those of least hash that are not held out."""
+def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_runs: int = TRAIN_RUNS, train_words: int = TRAIN_WORDS) -> list[tuple[str, str]]:
+    """(language, run of words) to fit on, of labelled documents that are not held out; both bounds hold a language."""
     fit = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
-    picked = fit.select("doc_id", "lang", F.left("text", F.lit(train_chars)).alias("text")).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= train_docs)
-    return sorted((r.lang, r.text) for r in picked.select("lang", "text").collect())
+    least = lambda *by: F.row_number().over(Window.partitionBy("lang").orderBy(*by))
+    picked = fit.select("doc_id", "lang", "text").withColumn("n", least(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")).filter(F.col("n") <= train_docs)
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / train_words)), lambda i: F.array_join(F.slice("w", (i * train_words + 1).cast("int"), train_words), " "))
+    cut = picked.withColumn("w", words).select("doc_id", "lang", F.posexplode(runs).alias("place", "run"))
+    kept = cut.withColumn("n", least(F.xxhash64("place", "doc_id", "run"), "doc_id", "place", "run")).filter(F.col("n") <= train_runs)
+    return sorted((r.lang, r.run) for r in kept.select("lang", "run").collect())
 
 
 def _predict(model: Crf):
@@ -240,31 +266,38 @@ def _predict(model: Crf):
         for b in sliced(batches, "text", 2 << 20):
             texts = [t or "" for t in b["text"].to_pylist()]
             found = model.predict(texts) if model.languages else [(UNKNOWN, 0.0)] * len(texts)
-            yield batch(PREDICTED, doc_id=b["doc_id"], held_out=b["held_out"], lang_pred=[x for x, _ in found], score=[x for _, x in found])
+            cols = [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "lang_pred", "lang_score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every document."""
-    model = model or train(sample(docs))
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(_predict(model), DDL)
-
+def _label(model: Crf):
+    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())])))])
 
-def _predict_rows(model: Crf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 2 << 20):
+        for b in sliced(batches, "text", 1 << 20):
             texts = [t or "" for t in b["text"].to_pylist()]
-            found = model.predict(texts) if model.languages else [(UNKNOWN, 0.0)] * len(texts)
-            cols = [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "lang_pred", "lang_score"])
+            found = model.label(texts) if model.languages else [[]] * len(texts)
+            yield batch(schema, doc_id=b["doc_id"], words=[[dict(zip(("start", "end", "lang", "score"), w, strict=True)) for w in words] for words in found])
 
     return run
 
 
+def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document."""
+    told = identify_rows(docs.select("doc_id", "text", held_out().alias("held_out")), model or train(sample(docs)))
+    return told.select(F.col("doc_id").cast("long"), "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def identify_words(docs: DataFrame, model: Crf | None = None) -> DataFrame:
+    """(doc_id, words): places, language and posterior of each word that holds a letter; none for null texts."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_label(model or train(sample(docs))), "doc_id long, words array<struct<start: int, end: int, lang: string, score: double>>")
+
+
 def identify_rows(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """docs with lang_pred and lang_score beside its own columns (own columns of these names give way)."""
     model = model or train(sample(docs))
     own = docs.drop("lang_pred", "lang_score")
     schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return own.mapInArrow(_predict_rows(model), schema)
+    return own.mapInArrow(_predict(model), schema)
