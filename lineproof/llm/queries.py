@@ -80,7 +80,7 @@ SQL: dict[str, str] = {
         select doc_id, count(*) as n_lines, count(*) filter (where keeper <> doc_id) as n_dropped,
             sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where keeper is null or keeper = doc_id), '')) as kept_sha256
         from keyed left join repeated using (key) group by doc_id""",
-    "op3_archive_converter": """
+    "op3_archive_converter": r"""
         with bits as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
         coded as (select page_id, hex, strlen(body) as payload_bytes, list_aggregate(list_transform(range(32), lambda i:
             substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::bigint
@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
         select c.page_id, payload_bytes, payload_digest,
             case when first_page = c.page_id then 'response' else 'revisit' end as record_type,
             case when first_page <> c.page_id then first_page end as refers_to,
-            coalesce(url, 'urn:page:' || c.page_id) as target_uri, '2024-01-01T00:00:00Z' as warc_date
+            coalesce(regexp_replace(url, '\s', '%20', 'g'), 'urn:page:' || c.page_id) as target_uri, '2024-01-01T00:00:00Z' as warc_date
         from coded c join firsts using (hex) join pages p on p.page_id = c.page_id""",
     "op6_exact_top_k": """
         with scaled as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
