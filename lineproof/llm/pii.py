@@ -1,47 +1,84 @@
 """Surrogates for personal data: keyed, of the same type and format, distinct and coreferent over the whole corpus.
 
-Emails, telephone numbers, IPv4 addresses, card numbers, US social security numbers, access keys, quoted tokens,
-passwords and titled names are detected. All but names are replaced by a keyed permutation of the strings of their own
-format: each letter stays a letter of its case, each digit a digit, punctuation stays; card numbers keep the state of
-their check digit, public addresses stay public, area codes keep a valid first digit. A permutation maps different
-entities to different surrogates and one entity always to the same, without any table. Names get keyed names of the
-gender that the title tells, token by token, so that a surname alone still meets its full form; those come from a finite
-stock, so a corpus-wide check groups the distinct names by surrogate and moves all but one of a collision on.
+Emails, telephone numbers, IPv4 and IPv6 addresses, card numbers, IBANs, US social security numbers, access keys, quoted
+tokens, passwords and names are detected. All but names are replaced by a keyed permutation of the strings of their own
+format: each letter stays a letter of its script and case, each digit a digit, punctuation stays; card numbers and IBANs
+keep the state of their check digits, public addresses stay public, area codes keep a valid first digit. A permutation
+maps different entities to different surrogates and one entity always to the same, without any table. Emails count as
+equal whatever their case, which the surrogate takes from each mention.
+
+Names are found behind a title of TITLES, in Latin, Cyrillic or Greek script, and then wherever their tokens stand in
+the same text, titled or not. Each token (double-barrelled names have two) gets a keyed name of the gender that the title
+tells, of its script, in the case of the mention, with an accent where it had one, so that a surname alone still meets
+its full form. A corpus-wide check groups all surrogates and all names found, whatever their gender and script, and moves
+on all but one of those that coincide; each move adds a syllable, so the stock never runs out.
+
+The key is the caller's. With it the permutations can be inverted, so it must not be published with the result.
 
 Defined cases: null text stays null with 0 entities; a surrogate never equals its original; overlapping detections go
-to the leftmost, then the type first in order; repeated rows give repeated results; other columns are kept by
-pseudonymise; an empty table gives no rows.
+to the leftmost, then the longest; neighbouring name tokens count as one entity; repeated rows give repeated results; rows
+without doc_id are treated as all others; other columns, whatever their names, are kept by pseudonymise but for
+n_entities, which gives way; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import ipaddress
+import os
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineproof.llm.shared import sliced, stored
+from lineproof.llm.shared import batch, marked, sliced, stored
 
-KEY = b"lineproof surrogate key"
+KEY_SETTING = "spark.lineproof.pii.key"
 ROUNDS = 8
 DETECT = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.+-])\w[\w.+%-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
     r"|(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"
     r"|(?P<secret>(?i:\b(?:token|secret|api[_-]?key|password|passwd|pwd)\b)\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_-]{8,}))"
+    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<card>(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))"
 )
 #: Titles by the gender they tell; "" where they tell none.
-TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Dr": "", "Prof": ""}
-NAME = re.compile(r"\b(" + "|".join(TITLES) + r")(\.? )([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+)?)")
-SYLLABLES = "ba be bi bo da de di do fa fe ga ge ha he ja jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo wa we".split()
-ENDINGS = {"m": ["n", "r", "s", "k", "rt", "ld", "l", "m"], "f": ["na", "ra", "la", "sa", "ne", "lie", "ria", "tta"], "": ["n", "ne", "r", "l", "s", "le", "th", "x"]}
+TITLES = {
+    "Mr": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f",
+    "Doña": "f", "Г-н": "m", "Господин": "m", "Г-жа": "f", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f", "Dr": "", "Prof": "", "Др": "",
+}
+UPPER_LETTER = "A-ZÀ-ÖØ-ÞĀ-ſΆ-ΫЀ-Я"
+LETTER = r"[^\W\d_]"
+TOKEN = rf"[{UPPER_LETTER}]{LETTER}*(?:['’-]{LETTER}{{2,}})*"
+NAME = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})(\.? )({TOKEN}(?: (?:[{UPPER_LETTER}]\. )?{TOKEN}){{0,2}})")
+#: Parts of a name token that are names of their own; a possessive ending and single letters are none.
+PART = re.compile(rf"{LETTER}{{2,}}")
+POSSESSIVE = re.compile(r"['’][sS]$")
+#: Syllables and gendered endings of surrogate names, by script.
+SYLLABLES = {
+    "latin": "ba be bi bo da de di do fa fe ga ge ha he ja jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo wa we".split(),
+    "cyrillic": "ба бе би бо ва ве ви во га го да де ди до жа за зо ка ки ко ла ле ли ло ма ме ми мо на не ни но па пе по ра ре ри ро са се си со та те ти то фа фе хо ча ша".split(),
+    "greek": "βα βε βι βο γα γε γι γο δα δε δι δο ζα ζε ζω θα θε θο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο πα πε πι πο ρα ρε ρι ρο σα σε σι σο τα τε τι το φα φε".split(),
+}
+ENDINGS = {
+    "latin": {"m": ["n", "r", "s", "k", "rt", "ld", "l", "m"], "f": ["na", "ra", "la", "sa", "ne", "lie", "ria", "tta"], "": ["n", "ne", "r", "l", "s", "le", "th", "x"]},
+    "cyrillic": {"m": ["н", "р", "с", "к", "л", "м", "т", "й"], "f": ["на", "ра", "ла", "са", "ня", "лия", "рия", "та"], "": ["н", "р", "ль", "к", "с", "нко", "х", "т"]},
+    "greek": {"m": ["ος", "ης", "ας", "ων", "ις", "ευς", "νος", "ρος"], "f": ["η", "α", "ια", "ις", "νη", "ρα", "λη", "τα"], "": ["ου", "η", "ας", "ης", "ίδη", "άκη", "ος", "ις"]},
+}
+PLAIN_VOWELS, ACCENTED = "aeiou", "áéíóú"
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The surrogate key that the session names in KEY_SETTING; without one a new random key, so that no two calls agree."""
+    told = spark.conf.get(KEY_SETTING, None)
+    return told.encode()[:64] if told else os.urandom(32)
 
 
 def digest(key: bytes, *parts: object) -> int:
@@ -69,7 +106,11 @@ def moved_on(key: bytes, label: str, value: int, size: int) -> int:
     return permuted(key, label, (permuted(key, label, value, size) + 1) % size, size, back=True)
 
 
-RADIX = [("abcdefghijklmnopqrstuvwxyz", "a"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), ("0123456789", "0")]
+def span(first: str, last: str, without: str = "") -> str:
+    return "".join(c for c in map(chr, range(ord(first), ord(last) + 1)) if c not in without)
+
+
+RADIX = [("abcdefghijklmnopqrstuvwxyz", "a"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), ("0123456789", "0"), (span("à", "þ", "÷"), "à"), (span("À", "Þ", "×"), "À"), (span("а", "я"), "а"), (span("А", "Я"), "А"), (span("α", "ω", "ς"), "α"), (span("Α", "Ω", "\u03a2"), "Α")]
 CLASS = {c: alphabet for alphabet, _ in RADIX for c in alphabet}
 SHAPE = {c: mark for alphabet, mark in RADIX for c in alphabet}
 
@@ -110,12 +151,35 @@ def walk(key: bytes, label: str, text: str, fine) -> str:
     return out
 
 
-def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
+def cased(new: str, old: str) -> str:
+    """new with the case of old, character by character."""
+    return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for n, o in zip(new, old, strict=True))
+
+
+def iban_check(text: str) -> int:
+    """The remainder that is 1 for a valid IBAN."""
+    moved = text[4:] + text[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
+def surrogate(kind: str, text: str, key: bytes) -> str:
     """The replacement of one entity; injective within a kind."""
     if kind == "email":
-        local, _, domain = text.lower().rpartition("@")
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        local, _, domain = low.rpartition("@")
         labels = domain.split(".")
-        return same_shape(key, "local", local) + "@" + ".".join([same_shape(key, "label", x) for x in labels[:-1]] + labels[-1:])
+        return cased(same_shape(key, "local", local) + "@" + ".".join([same_shape(key, "label", x) for x in labels[:-1]] + labels[-1:]), text)
+    if kind == "iban":
+        solid = text.replace(" ", "")
+        body = same_shape(key, "iban" + solid[:2], solid[4:])
+        check = f"{98 - iban_check(solid[:2] + '00' + body):02d}"
+        it = iter(solid[:2] + check + body)
+        return "".join(c if c == " " else next(it) for c in text)
+    if kind == "ipv6":
+        number = int(ipaddress.IPv6Address(text))
+        new = ipaddress.IPv6Address(number >> 112 << 112 | moved_on(key, f"ipv6 {number >> 112}", number & (1 << 112) - 1, 1 << 112))
+        out = str(new) if "::" in text else new.exploded if any(len(p) == 4 and p[0] == "0" for p in text.split(":")) else ":".join(f"{int(p, 16):x}" for p in new.exploded.split(":"))
+        return out.upper() if text.upper() == text else out
     digits = "".join(c for c in text if c.isdigit())
     if kind == "card":
         state = luhn(digits)
@@ -145,112 +209,164 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return same_shape(key, "secret", text)
 
 
-def name_surrogate(token: str, gender: str, attempt: int = 0, key: bytes = KEY) -> str:
-    n = digest(key, "name", gender, token, attempt)
-    out = ""
-    for _ in range(3):
-        n, at = divmod(n, len(SYLLABLES))
-        out += SYLLABLES[at]
-    ends = ENDINGS[gender]
-    out = (out + ends[n % len(ends)]).capitalize()
-    return out if out != token else name_surrogate(token, gender, attempt + 1000, key)
+def script(token: str) -> str:
+    c = token[0]
+    return "cyrillic" if "\u0400" <= c <= "\u04ff" else "greek" if "\u0370" <= c <= "\u03ff" else "latin"
 
 
-def name_tokens(text: str) -> list[tuple[str, str]]:
-    """(token, gender) of the titled names; the last token is a surname and has no gender."""
-    out = []
+def name_surrogate(token: str, gender: str, attempt: int, key: bytes) -> str:
+    """The lower-case surrogate of a lower-case token; each attempt has a syllable more, up to eight."""
+    kind = script(token)
+    n = digest(key, "name", gender, token, attempt)
+    out, syllables = "", SYLLABLES[kind]
+    for _ in range(min(3 + attempt, 8)):
+        n, at = divmod(n, len(syllables))
+        out += syllables[at]
+    ends = ENDINGS[kind][gender]
+    out += ends[n % len(ends)]
+    if kind == "latin" and not token.isascii():
+        at = next(i for i, c in enumerate(out) if c in PLAIN_VOWELS)
+        out = out[:at] + ACCENTED[PLAIN_VOWELS.index(out[at])] + out[at + 1 :]
+    return out if out != token else name_surrogate(token, gender, attempt + 1, key)
+
+
+def name_tokens(text: str) -> dict[str, str]:
+    """Lower-case parts of the titled names with their gender; parts of the last token are surnames, which have none."""
+    out: dict[str, str] = {}
     for m in NAME.finditer(text):
         tokens = m[3].split(" ")
-        out += [(t, TITLES[m[1]]) for t in tokens[:-1]] + [(tokens[-1], "")]
+        for i, token in enumerate(tokens):
+            gender = TITLES[m[1]] if i < len(tokens) - 1 else ""
+            for part in PART.findall(POSSESSIVE.sub("", token)):
+                # A token that is a surname somewhere in the text is one everywhere in it.
+                out[part.lower()] = "" if not gender else out.get(part.lower(), gender)
     return out
 
 
-def replaced(text: str, moved: dict[str, int] | None = None, key: bytes = KEY) -> tuple[str, int]:
+def name_spans(text: str, names: dict[str, str], moved: dict[str, int], key: bytes) -> list[tuple[int, int, str, bool]]:
+    """(start, end, new, True) of every mention of the names' tokens that starts with a capital."""
+    if not names:
+        return []
+    mention = re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(names, key=lambda x: (-len(x), x))))})(?![^\W_])", re.IGNORECASE)
+    found = []
+    for m in mention.finditer(text):
+        token = m[0].lower()
+        if m[0][0].isupper() and token in names:
+            new = name_surrogate(token, names[token], moved.get(f"{names[token]}:{token}", 0), key)
+            found.append((m.start(), m.end(), new.upper() if m[0].isupper() else new.capitalize(), True))
+    return found
+
+
+def told_entity(m: re.Match, key: bytes) -> tuple[int, int, str, bool] | None:
+    """(start, end, new, False) of a match of DETECT; null where its check tells that it is none."""
+    kind = "secret" if m["secret"] else m.lastgroup
+    start, end, text = (m.start("value"), m.end("value"), m["value"]) if kind == "secret" else (m.start(), m.end(), m[0])
+    if kind == "card" and luhn("".join(c for c in text if c.isdigit())) and not 15 <= sum(c.isdigit() for c in text) <= 16:
+        return None
+    if kind == "iban" and iban_check(text.replace(" ", "")) != 1:
+        return None
+    if kind == "ipv6":
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        if int(ipaddress.IPv6Address(text)) < 1 << 32:
+            return None
+    return start, end, surrogate(kind, text, key), False
+
+
+def replaced(text: str, moved: dict[str, int] | None, key: bytes) -> tuple[str, int]:
     """The text with surrogates and the number of entities replaced."""
-    n, moved = 0, moved or {}
-
-    def put(m: re.Match) -> str:
-        nonlocal n
-        kind = m.lastgroup if m.lastgroup != "value" else "secret"
-        if kind == "card" and luhn("".join(c for c in m[0] if c.isdigit())) and not 15 <= sum(c.isdigit() for c in m[0]) <= 16:
-            return m[0]
-        n += 1
-        if m["secret"]:
-            return m[0][: m.start("value") - m.start()] + surrogate("secret", m["value"], key)
-        return surrogate(kind, m[0], key)
-
-    def put_name(m: re.Match) -> str:
-        nonlocal n
-        n += 1
-        tokens = m[3].split(" ")
-        genders = [TITLES[m[1]]] * (len(tokens) - 1) + [""]
-        return m[1] + m[2] + " ".join(name_surrogate(t, g, moved.get(f"{g}:{t}", 0), key) for t, g in zip(tokens, genders, strict=True))
-
-    if "@" in text or SOME_DIGIT.search(text) or SECRET_WORD.search(text):
-        text = DETECT.sub(put, text)
-    return NAME.sub(put_name, text), n
+    spans = []
+    if "@" in text or SOME_DIGIT.search(text) or SECRET_WORD.search(text) or "::" in text:
+        spans = [x for m in DETECT.finditer(text) if (x := told_entity(m, key))]
+    if TITLE.search(text):
+        spans = sorted(spans + name_spans(text, name_tokens(text), moved or {}, key), key=lambda x: (x[0], -x[1]))
+    out, n, at, name_end = [], 0, 0, -1
+    for start, end, new, is_name in spans:
+        if start < at:
+            continue
+        # Tokens side by side are one name.
+        n += not (is_name and name_end >= 0 and text[name_end:start] in (" ", "-"))
+        name_end = end if is_name else -1
+        out += [text[at:start], new]
+        at = end
+    return "".join([*out, text[at:]]), n
 
 
 SOME_DIGIT = re.compile("[0-9]")
 SECRET_WORD = re.compile("(?i)token|secret|api.?key|passw|pwd")
-TITLE_SQL = r"\b(" + "|".join(TITLES) + r")\.? \p{Lu}"
+TITLE = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? [{UPPER_LETTER}]")
+TITLE_SQL = r"(?U)\b(" + "|".join(TITLES) + r")\.? \p{Lu}"
+NAMES = pa.schema([("id", pa.string()), ("token", pa.string()), ("gender", pa.string())])
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = sorted({x for t in b["text"].to_pylist() for x in name_tokens(t or "")})
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([g for _, g in found], pa.string())], ["token", "gender"])
+        found = sorted({(i, *x) for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True) for x in name_tokens(t or "").items()})
+        yield batch(NAMES, **{c: [x[k] for x in found] for k, c in enumerate(NAMES.names)})
+
 
+def _told(key: bytes):
+    schema = pa.schema([("token", pa.string()), ("gender", pa.string()), ("attempt", pa.int32()), ("s", pa.string())])
 
-def collisions(names: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(token, gender, attempt) of the names that must move on because a smaller name of their gender has their surrogate.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(b[c].to_pylist() for c in ("token", "gender", "attempt")), strict=True))
+            yield batch(schema, token=b["token"], gender=b["gender"], attempt=b["attempt"], s=[name_surrogate(t, g, a, key) for t, g, a in rows])
+
+    return run
+
+
+def collisions(names: DataFrame, key: bytes) -> DataFrame:
+    """(token, gender, attempt) of the names that must move on: another name has their surrogate, or is it.
 
     Each round gives the moved names new surrogates and checks all names again, until no two share one.
     """
-    new_name = F.udf(lambda t, g, a: name_surrogate(t, g, a, key))
-    state = stored(names.distinct().withColumn("attempt", F.lit(0)), "pii-names")
+    state = stored(names.select("token", "gender").distinct().withColumn("attempt", F.lit(0)), "pii-names")
+    real = state.select(F.col("token").alias("s"), F.lit(1).alias("real")).distinct()
     while True:
-        told = stored(state.withColumn("s", new_name("token", "gender", "attempt")), "pii-names")
-        least = told.groupBy("gender", "s").agg(F.min(F.struct("attempt", "token")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if least.isEmpty():
+        told = stored(state.mapInArrow(_told(key), "token string, gender string, attempt int, s string"), "pii-names")
+        least = told.groupBy("s").agg(F.min(F.struct("attempt", "token", "gender")).alias("m"), F.count(F.lit(1)).alias("n"))
+        bad = least.join(real, "s", "left").filter("n > 1 or real = 1")
+        if bad.isEmpty():
             return told.filter("attempt > 0").select("token", "gender", "attempt")
-        both = told.join(least, ["gender", "s"], "left")
-        clash = F.col("n").isNotNull() & (F.col("m.token") != F.col("token"))
-        state = both.select("token", "gender", (F.col("attempt") + F.when(clash, 1).otherwise(0)).alias("attempt"))
+        both = told.join(bad, "s", "left")
+        stays = F.col("n").isNull() | (F.col("real").isNull() & (F.col("m.token") == F.col("token")) & (F.col("m.gender") == F.col("gender")))
+        state = both.select("token", "gender", (F.col("attempt") + F.when(stays, 0).otherwise(1)).cast("int").alias("attempt"))
 
 
 def _replace(key: bytes):
+    schema = pa.schema([("new", pa.string()), ("n", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "lineproof_text", 3 << 20):
-            moved = [dict(m) if m else {} for m in b["lineproof_moved"].to_pylist()]
-            out = [(None, 0) if t is None else replaced(t, m, key) for t, m in zip(b["lineproof_text"].to_pylist(), moved, strict=True)]
-            kept = [c for c in b.schema.names if c not in ("lineproof_text", "lineproof_moved")]
-            cols = [b[c] for c in kept] + [pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, [*kept, "lineproof_new", "lineproof_n"])
+        for b in sliced(batches, "text", 3 << 20):
+            moved = [dict(m) if m else {} for m in b["moved"].to_pylist()]
+            out = [(None, 0) if t is None else replaced(t, m, key) for t, m in zip(b["text"].to_pylist(), moved, strict=True)]
+            told = batch(schema, new=[t for t, _ in out], n=[n for _, n in out])
+            yield pa.RecordBatch.from_arrays([b["row"], *told.columns], ["row", "new", "n"])
 
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with text replaced and n_entities beside its own columns."""
-    named = docs.filter(F.col("text").rlike(TITLE_SQL))
-    names = stored(named.select("text").mapInArrow(_names, "token string, gender string").distinct(), "pii-names")
-    moved = collisions(names, key)
-    rows = docs.withColumn("lineproof_text", F.col("text")).drop("text", "n_entities")
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
+    """docs with text replaced and n_entities beside its own columns. key: the caller's, up to 64 bytes."""
+    row = F.struct(F.lit(0).alias("lineproof"), *[F.col(c) for c in docs.columns if c not in ("text", "n_entities")])
+    rows = docs.select(F.col("text").cast("string").alias("text"), row.alias("row"))
+    titled = rows.filter(F.col("text").rlike(TITLE_SQL)).select(F.md5("text").alias("id"), "text")
+    names = stored(titled.mapInArrow(_names, "id string, token string, gender string"), "pii-mentions")
+    moved = stored(collisions(names, key), "pii-moved")
     empty = F.lit(None).cast("map<string,int>")
     if moved.isEmpty():
-        rows = rows.withColumn("lineproof_moved", empty)
+        told = rows.withColumn("moved", empty)
     else:
-        per_doc = named.select("doc_id", "text").mapInArrow(_doc_names, "doc_id long, token string, gender string").distinct().join(moved, ["token", "gender"])
-        maps = per_doc.groupBy(F.col("doc_id").alias("lineproof_id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "gender", "token"), "attempt"))).alias("lineproof_moved"))
-        rows = rows.join(maps, F.col("doc_id") == F.col("lineproof_id"), "left").drop("lineproof_id")
-    fields = [f for f in rows.schema.fields if f.name not in ("lineproof_text", "lineproof_moved")]
-    schema = T.StructType([*fields, T.StructField("lineproof_new", T.StringType()), T.StructField("lineproof_n", T.LongType())])
-    out = rows.mapInArrow(_replace(key), schema)
-    return out.select(*[F.col("lineproof_new").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_entities"], F.col("lineproof_n").alias("n_entities"))
+        # Texts that hold a moved name meet its number by their digest; all others stay where they are.
+        maps = names.distinct().join(moved, ["token", "gender"]).groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "gender", "token"), "attempt"))).alias("moved"))
+        maps = stored(maps, "pii-maps")
+        asked = marked(rows.withColumn("short", F.xxhash64(F.md5("text"))), "short", maps.select(F.xxhash64("id").alias("short")).distinct(), "asked")
+        met = asked.filter("asked").withColumn("id", F.md5("text")).join(maps, "id", "left").select("text", "row", "moved")
+        told = met.unionByName(asked.filter("not asked").select("text", "row").withColumn("moved", empty))
+    schema = T.StructType([rows.schema["row"], T.StructField("new", T.StringType()), T.StructField("n", T.LongType())])
+    out = told.mapInArrow(_replace(key), schema)
+    return out.select(*[F.col("new").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_entities"], F.col("n").alias("n_entities"))
 
-
-def _doc_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = sorted({(d, *x) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) if d is not None for x in name_tokens(t or "")})
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "token", "gender"])

@@ -49,7 +49,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.key_of(spark)).select("doc_id", "n_entities", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
