@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates in place of personal data."""
-    return with_text(pii.pseudonymise(docs), docs.columns, F.col("text"))
+    return with_text(pii.pseudonymise(docs, pii.key_of(spark)), docs.columns, F.col("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tables that cut the lineage of iterative operators, in the folder that the session names for checkpoints."""
+"""Tables that cut the lineage of longer jobs, in the folder that the session names for checkpoints."""
 
 from __future__ import annotations
 
@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a local one only where it names none (tests)."""
+    """The folder shared by all executors. A session in one JVM may leave it unset (tests); on a cluster it must be named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lineproof-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{root(spark)}/lineproof/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def path(spark: SparkSession, name: str) -> str:
+    return f"{root(spark)}/lineproof/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df from a Parquet table in the shared folder; a lost executor costs no recomputation."""
+    at = path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
