@@ -18,7 +18,8 @@ the average over sketches counts: 10 trees miss it with 2.5e-5 (1.0e-4 at 0.80),
 
 Defined cases: null or blank texts have the empty set, link with nothing and keep themselves; texts with fewer words
 than a shingle have one shingle, the whole sequence; a null doc_id gives null component and kept; rows that share a
-doc_id are one document; ties do not arise (smallest doc_id wins); other columns are ignored; empty tables give no rows.
+doc_id are one document, linked with all that any of its texts is linked with; ties do not arise (smallest doc_id wins);
+other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -101,14 +102,19 @@ def leaves(mins: np.ndarray, trees: int, depth: int, second: float) -> tuple[np.
     return rows, node
 
 
+def digests_of(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits a set, as two integers."""
+    import xxhash
+
+    return np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8") for s in sets]).reshape(-1, 2).astype(np.int64)
+
+
 def _signatures(words: int, trees: int, second: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         shingle = Shingler(words)
         for b in sliced(batches, "text", 2 << 20):
             sets = [shingle(t) for t in b["text"].to_pylist()]
-            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8") for s in sets]).reshape(-1, 2)
+            digests = digests_of(sets)
             mins = np.array([minwise(s) for s in sets]).reshape(-1, COORDINATES)
             full = np.flatnonzero([len(s) > 0 for s in sets])
             rows, node = leaves(mins[full], trees, DEPTH, second)
@@ -118,7 +124,7 @@ def _signatures(words: int, trees: int, second: float):
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             nodes = pa.ListArray.from_arrays(pa.array(ends), pa.array(node[order].view(np.int64)))
             sketches = (mins >> np.uint64(48)).astype("<u2")
-            yield batch(SIGNATURES, doc_id=b["doc_id"], n_shingles=[len(s) for s in sets], set_hi=digests[:, 0].astype(np.int64), set_lo=digests[:, 1].astype(np.int64), nodes=nodes, sketch=[x.tobytes() for x in sketches])
+            yield batch(SIGNATURES, doc_id=b["doc_id"], n_shingles=[len(s) for s in sets], set_hi=digests[:, 0], set_lo=digests[:, 1], nodes=nodes, sketch=[x.tobytes() for x in sketches])
 
     return run
 
@@ -273,15 +279,53 @@ def labels_between(classes: DataFrame, docs: DataFrame, words: int, numerator: i
     return components(links.unionByName(links_within(pairs_of_blocks(large, labels), classes, docs, words, numerator)))
 
 
+def _keyed(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("set_hi", pa.int64()), ("set_lo", pa.int64())])
+        shingle = Shingler(words)
+        for b in sliced(batches, "text", 2 << 20):
+            digests = digests_of([shingle(t) for t in b["text"].to_pylist()])
+            yield batch(schema, doc_id=b["doc_id"], text=b["text"], set_hi=digests[:, 0], set_lo=digests[:, 1])
+
+    return run
+
+
+#: Ids of single rows of documents with several sets lie from here on.
+ROW_IDS = 1 << 62
+
+
+def by_set(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """rows (doc_id, set_hi, set_lo, ...) with a column id: doc_id, or for documents in twice a number of the row's set."""
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", "set_hi", "set_lo"), 2) + ROW_IDS
+    return rows.join(twice.withColumn("several", F.lit(True)), "doc_id", "left").withColumn("id", F.when(F.col("several"), own).otherwise(F.col("doc_id"))).drop("several")
+
+
+def united(found: DataFrame, twice: DataFrame) -> DataFrame:
+    """found (doc_id, component, ...) with the components of the rows of one document made one."""
+    links = found.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component").alias("b")).distinct()
+    whole = components(links).select(F.col("cid").alias("component"), F.col("component").alias("wider"))
+    return found.join(whole, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, trees: int = TREES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs; links need similarity >= numerator / 100."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signatures = stored(rows.mapInArrow(_signatures(words, trees, 100 / numerator - 1), SIGNATURES_DDL), "near-signatures")
-    linked = signatures.filter("doc_id is not null and n_shingles > 0")
     key = ["set_hi", "set_lo"]
-    classes = stored(linked.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "near-classes")
-    labels = labels_between(classes, rows, words, numerator)
-    by_set = classes.select(*key, "cid").join(labels, "cid", "left").select(*key, F.coalesce("component", "cid").alias("component"))
-    found = signatures.select("doc_id", "n_shingles", *key).join(by_set, key, "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    twice = stored(signatures.filter("doc_id is not null").select("doc_id", *key).distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-twice")
+    several = not twice.isEmpty()
+    if several:
+        signatures = by_set(signatures, twice)
+        apart = rows.filter("doc_id is not null").join(twice, "doc_id", "left_semi").mapInArrow(_keyed(words), "doc_id long, text string, set_hi long, set_lo long")
+        texts = rows.join(twice, "doc_id", "left_anti").unionByName(by_set(apart, twice).select(F.col("id").alias("doc_id"), "text"))
+    else:
+        signatures, texts = signatures.withColumn("id", F.col("doc_id")), rows
+    linked = signatures.filter("id is not null and n_shingles > 0")
+    classes = stored(linked.groupBy(*key).agg(F.min("id").alias("cid"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "near-classes")
+    labels = labels_between(classes, texts, words, numerator)
+    of_set = classes.select(*key, "cid").join(labels, "cid", "left").select(*key, F.coalesce("component", "cid").alias("component"))
+    found = signatures.select("doc_id", "n_shingles", *key).join(of_set, key, "left")
+    found = found.withColumn("component", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")))
+    if several:
+        found = united(stored(found, "near-found"), twice)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
