@@ -270,7 +270,8 @@ def told_entity(m: re.Match, key: bytes) -> tuple[int, int, str, bool] | None:
             ipaddress.IPv6Address(text)
         except ValueError:
             return None
-        if int(ipaddress.IPv6Address(text)) < 1 << 32:
+        # Short forms without a digit are more often code than addresses.
+        if int(ipaddress.IPv6Address(text)) < 1 << 32 or not SOME_DIGIT.search(text):
             return None
     return start, end, surrogate(kind, text, key), False
 

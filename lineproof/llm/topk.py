@@ -33,7 +33,8 @@ EVERY = 100
 SCALE = 1024
 PIVOTS = 64
 SAMPLE_ROWS = 4096
-STEP = 256
+#: Candidates are evaluated in runs, the first of so many, each following one twice as long up to a bound.
+STEP, LONGEST = 64, 2048
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("evaluated", pa.int64())])
 
 
@@ -99,7 +100,7 @@ def _search(k: int, top: float, step: int):
             n, at, got_id, got_s = len(ids) - int(own.sum()), 0, np.zeros(0, np.int64), np.zeros(0)
             first = np.argsort(-limit, kind="stable")
             while at < n:
-                some = first[at : min(n, at + step)]
+                some = first[at : min(n, at + min(LONGEST, max(step, at)))]
                 if limit[some[0]] < max(least, got_s[-1] if len(got_s) == k else -np.inf):
                     break
                 all_id, all_s = np.concatenate([got_id, ids[some]]), np.concatenate([got_s, products(x[some], one)])
