@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,8 +50,33 @@ def derived_id(prefix: str, source: Column, most: int = 128) -> Column:
 
 
 def printed_values(text: Column) -> Column:
-    """Upper-case runs of letters, digits and inner punctuation that hold a digit."""
-    return F.regexp_extract_all(F.upper(text), F.lit(r"([0-9A-Z][0-9A-Z.,:/@+-]*[0-9][0-9A-Z]*|[0-9])"), F.lit(1))
+    """Upper-case runs of a number with its sign, its leading letters, inner separators and trailing letters."""
+    return F.regexp_extract_all(F.upper(text), F.lit(r"([+−-]?[A-Z]*[0-9]+(?:[.,:/-][0-9]+)*(?:[A-Z]+[0-9]*)*)"), F.lit(1))
+
+
+#: Forms of values that two readings of a page must share exactly.
+EXACT_FORMS = [r"https?://\S+", r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", r"₩\s?[0-9,]+", r"[0-9]{2,4}[./-][0-9]{1,2}(?:[./-][0-9]{1,2})?", r"[0-9]{1,2}:[0-9]{2}", r"[0-9]{2,4}-[0-9]{3,4}-[0-9]{4}", r"[A-Za-z][0-9]{2,4}"]
+
+
+def exact_values(text: Column) -> Column:
+    """Distinct links, addresses, amounts, dates, times, numbers and form codes as printed, without the stops behind them."""
+    found = F.regexp_extract_all(text, F.lit(f"({'|'.join(EXACT_FORMS)})"), F.lit(1))
+    return F.array_distinct(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda v: F.regexp_replace(v, r"[.,)]+$", "")))
+
+
+@F.pandas_udf("string")
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+#: Characters that have a compatibility form: most Latin, Hangul and Han text holds none and stays in the JVM.
+COMPATIBILITY = r"[\u00a0\u00a8\u00aa\u00af\u00b2-\u00b5\u00b8-\u00ba\u00bc-\u00be\u0132-\u0149\u017f\u0300-\u036f\u1100-\u11ff\u2000-\u2bff\u2e80-\u2fdf\u3000\u3130-\u318f\u3200-\u33ff\ufb00-\uffef]"
+
+
+def folded_key(text: Column) -> Column:
+    """The comparison key after compatibility normalisation, which rows without a compatibility character skip."""
+    needs = text.rlike(COMPATIBILITY)
+    return comparison_key(F.when(needs, _compatible(F.when(needs, text))).otherwise(text))
 
 
 def csv_safe(cell: Column) -> Column:

@@ -17,7 +17,6 @@ from lineproof.sources import views
 from lineproof.sources.views import table
 
 USEFUL = r"[^\s@]+@[^\s@]+\.[A-Za-z][A-Za-z]|https?://|(19|20)[0-9][0-9][.-][0-9]+[.-][0-9]+|0[0-9]+-[0-9]+-[0-9]+"
-CUES = [("(?i)que", "(?i)the", "scope"), ("(?i)ein", "(?i)and", "time"), ("[0-9]", "(?i)er", "number")]
 CLAIM = "[0-9]|que"
 
 
@@ -135,11 +134,6 @@ def f19_unsupported_values(spark, sf):
     return t1(spark, sf).select("notice_id", F.explode(J.unsupported_values(F.col("english"), F.col("amount"))).alias("added"))
 
 
-def f20_cue_issues(spark, sf):
-    """Documents hold source cues; whether an English cue stands in the same line is asked line by line."""
-    return lines(spark, sf).select("doc_id", F.explode(J.cue_issues(F.col("line"), F.col("line"), CUES)).alias("label")).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
-
-
 def f21_pair_issues(spark, sf):
     return t1(spark, sf).select("notice_id", F.explode(J.pair_issues(F.concat_ws("\n", "amount", "contact"), F.col("english"))).alias("issue"))
 
@@ -275,7 +269,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p3_glyph_height, p5_useful_lines, p6_readable_gate, p7_constraints, p8_span_text, p11_short_cells, p14_recovery, p16_fragments, p17_fee_evidence, p21_roles,
-        f10_damaged_phones, f12_exam_scores, j25_score_claims, f13_romanized, f15_closed_cells, f16_fallback_text, f17_lost_phrases, f19_unsupported_values, f20_cue_issues,
+        f10_damaged_phones, f12_exam_scores, j25_score_claims, f13_romanized, f15_closed_cells, f16_fallback_text, f17_lost_phrases, f19_unsupported_values,
         f21_pair_issues, f24_glossary, f27_display_text, f31_answer_scoring, f32_claim_removal, f35_work_list, u1_single_reading, u6_removed_text, j7_reconciled_units,
         j18_recovered_contacts, j19_phrase_places, s5_observations, s12_reference_match, s14_inline_payloads, a13_folded_duplicates, w11_byte_chunks, k6_catalog_order,
         c9_overlays, c3_region_status, x1_answered_chunks, x4_stand_ins,
@@ -312,9 +306,6 @@ SQL = {
     "f17_lost_phrases": """select o_orderkey as notice_id, 'Form No ' || o_orderkey as phrase from orders where o_orderkey % 5 = 0
         union all select o_orderkey, 'two copies' from orders where o_orderkey % 5 <> 0""",
     "f19_unsupported_values": f"select o_orderkey as notice_id, 'amount:1' as added from orders where o_orderkey % 5 = 0 and {WON} <> 1",
-    "f20_cue_issues": f"""with {LINES_SQL}, c as (select doc_id, unnest([case when regexp_matches(line, '(?i)que') and not regexp_matches(line, '(?i)the') then 'scope' end,
-        case when regexp_matches(line, '(?i)ein') and not regexp_matches(line, '(?i)and') then 'time' end, case when regexp_matches(line, '[0-9]') and not regexp_matches(line, '(?i)er') then 'number' end]) as label from lines)
-        select doc_id, label, count(*) as n from c where label is not null group by 1, 2""",
     "f21_pair_issues": f"with {MISSING} select notice_id, 'missing:' || missing as issue from m union all select o_orderkey, 'added:amount:1' from orders where o_orderkey % 5 = 0 and {WON} <> 1",
     "f24_glossary": """select o_orderkey as notice_id, 'grant KRW ' || o_orderkey || case when o_orderkey % 2 = 0 then ', question: office' else ', inquiries: office' end as english from orders""",
     "f27_display_text": "select p_partkey, concat_ws(' | ', nullif(p_name, 'small ring'), p_type || case when p_size % 3 = 0 then ' (optional)' else '' end, 'size ' || p_size) as shown from part",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +45,17 @@ def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(G2.format(div="p_partkey div 12", str="string", part="{part}"), part=table(spark, sf_dir, "part"))
+
+
+def cases(spark: SparkSession, sf_dir: str, rows: list[tuple], *names: str) -> DataFrame:
+    """(notice_id, kase, names...): every order with one of the rows in turn; {n} in a text becomes a number of three digits."""
+    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 900 + 100
+    kase = (F.col("o_orderkey") % len(rows)).cast("int")
+    column = lambda i: F.replace(F.element_at(F.array(*[F.lit(r[i]).cast("string") for r in rows]), kase + 1), F.lit("{n}"), n.cast("string"))
+    return o.select(F.col("o_orderkey").alias("notice_id"), kase.alias("kase"), *[column(i).alias(name) for i, name in enumerate(names)])
+
+
+def cases_sql(expected: list[str | None]) -> str:
+    """The SQL that lists what is expected of each order's row."""
+    texts = ", ".join("null" if e is None else "'" + e.replace("'", "''") + "'" for e in expected)
+    return f"select o_orderkey as notice_id, (o_orderkey % {len(expected)})::int as kase, replace(list_extract([{texts}], o_orderkey % {len(expected)} + 1)::varchar, '{{n}}', (o_orderkey % 900 + 100)::varchar) as found from orders"
