@@ -57,10 +57,18 @@ def folded_duplicates(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.groupBy(key, X.comparison_key(F.col("line")).alias("line_key")).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_places"), F.bool_and("supported").alias("supported"))
 
 
-def reference_match(docs: DataFrame, references: DataFrame, least: int = 40) -> DataFrame:
-    """Each text with the smallest reference whose first characters it holds, white space aside; null where none."""
-    heads = references.select("item_id", F.substring(X.comparison_key(F.col("text")), 1, least).alias("text"))
-    found = L.evidence_pairs(docs, heads, least=least).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+def reference_match(docs: DataFrame, references: DataFrame, head: int = 40) -> DataFrame:
+    """Each text with the smallest reference that it equals, white space aside, or whose title or first characters it holds.
+
+    references: (item_id, title, text). Equality is an equi-join on a digest of the key; titles and heads of any length
+    meet the texts through blocks of their first characters.
+    """
+    key = lambda c: X.comparison_key(F.col(c))
+    equal = docs.select("doc_id", F.sha2(key("text"), 256).alias("k")).join(references.filter(F.length(key("text")) > 0).select("item_id", F.sha2(key("text"), 256).alias("k")), "k").select("doc_id", "item_id")
+    heads = F.array_compact(F.array(key("title"), F.when(F.length(key("text")) >= head, F.substring(key("text"), 1, head))))
+    parts = references.select(F.col("item_id").alias("quote_id"), F.explode(heads).alias("quote_key"))
+    inside = L.contained_quotes(docs.select(F.col("doc_id").alias("text_id"), key("text").alias("text_key")), parts)
+    found = equal.unionByName(inside.select(F.col("text_id").alias("doc_id"), F.col("quote_id").alias("item_id"))).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
     return docs.select("doc_id").join(found, "doc_id", "left")
 
 

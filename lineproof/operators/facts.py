@@ -108,3 +108,20 @@ def contaminated(cites: DataFrame, unverified: DataFrame, scratch) -> DataFrame:
         if (now := seen.count()) == n:
             return seen
         n = now
+
+
+#: The collections of a notice that hold grounded items, in their fixed order.
+COLLECTIONS = ("audience", "eligibility", "exceptions", "warnings", "consequences", "locations", "fees", "financial_support", "links", "key_details", "actions", "deadlines", "required_documents", "contacts", "conditional_groups")
+
+
+def flattened(notices: DataFrame, key: str, collections: tuple[str, ...] = COLLECTIONS) -> DataFrame:
+    """(key, field, item): every item of every collection of a notice; one pass over the arrays, no union of scans."""
+    named = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("items")) for c in collections])
+    return notices.select(key, F.inline(named)).select(key, "field", F.explode("items").alias("item"))
+
+
+def coverage_lists(units: DataFrame, key: str, unit: Column, lists: dict[str, Column], message: Column, gap: Column) -> DataFrame:
+    """The ordered distinct ids of each list as texts, and the distinct messages of the units that are gaps."""
+    text = lambda c, sep: F.array_join(F.array_sort(F.collect_set(c)), sep)
+    ids = {name: F.array_join(F.transform(F.array_sort(F.collect_set(F.when(test, unit))), lambda i: i.cast("string")), ",") for name, test in lists.items()}
+    return units.groupBy(key).agg(*[c.alias(name) for name, c in ids.items()], text(F.when(gap, message), "; ").alias("gaps"))

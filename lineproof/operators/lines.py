@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,18 +27,26 @@ def line_inventory(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return first.withColumn("ordinal", ordinal).select(key, "ordinal", F.format_string("P001-L%04d", "ordinal").alias("line_id"), "pos", "line", "line_key")
 
 
+def grams_of(text: Column, size: int) -> Column:
+    """Distinct runs of size characters at every place of a text that has as many."""
+    at = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
 def quoted_lines(inventory: DataFrame, quotes: DataFrame, quote: str = "text", least: int = LEAST_QUOTE) -> DataFrame:
     """Keys of lines that a quote holds: equal to one of its lines, or inside it from least characters on.
 
-    Containment is an equi-join on the first characters of a line with the character n-grams of the quotes, then an
-    exact test, so neither side is broadcast and no pair without a common n-gram is formed.
+    Containment is an equi-join on the hash of a line's first characters, more of them for longer lines, with those of
+    the quotes' runs of that size. Quotes travel by number; their texts meet the pairs that are left, for an exact test.
     """
     keys = inventory.select("line_key").distinct()
     equal = quotes.select(F.explode(X.lines(F.col(quote))).alias("q")).select(X.comparison_key(F.col("q")).alias("line_key")).distinct()
-    whole = quotes.select(X.comparison_key(F.col(quote)).alias("quote_key")).filter(F.length("quote_key") >= least)
-    grams = whole.select("quote_key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("quote_key") - least + 1), lambda i: F.substring("quote_key", i, F.lit(least))))).alias("gram"))
-    long_keys = keys.filter(F.length("line_key") >= least).withColumn("gram", F.substring("line_key", 1, least))
-    inside = long_keys.join(grams, "gram").filter(F.contains("quote_key", "line_key")).select("line_key")
+    whole = quotes.select(X.comparison_key(F.col(quote)).alias("quote_key")).filter(F.length("quote_key") >= least).distinct().withColumn("quote", F.xxhash64("quote_key"))
+    sizes = [least, 3 * least]
+    grams = whole.select("quote", F.explode(F.array_union(*[F.transform(grams_of(F.col("quote_key"), n), lambda g: F.xxhash64(g)) for n in sizes])).alias("gram"))
+    head = F.when(F.length("line_key") >= sizes[1], F.substring("line_key", 1, sizes[1])).otherwise(F.substring("line_key", 1, least))
+    near = keys.filter(F.length("line_key") >= least).withColumn("gram", F.xxhash64(head)).join(grams, "gram").select("line_key", "quote")
+    inside = near.join(whole, "quote").filter(F.contains("quote_key", "line_key")).select("line_key")
     return keys.join(equal, "line_key", "left_semi").unionByName(inside).distinct()
 
 
@@ -46,19 +57,46 @@ def citation_coverage(docs: DataFrame, quotes: DataFrame, key: str = "doc_id") -
     return inventory.join(hit, "line_key", "left").groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("covered"), (F.count(F.lit(1)) - F.count("hit")).alias("uncovered"))
 
 
-def evidence_pairs(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", quote_id: str = "item_id", least: int = 24) -> DataFrame:
-    """(key, quote_id) pairs where the white-space-free quote, of least characters or more, lies in the white-space-free text.
+def solid(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+", "")
+
+
+def contained_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(text_id, quote_id) pairs where text_key holds quote_key, both without white space, quotes not empty.
 
-    A text is cut into blocks of half that length; a quote that it holds covers one of them whole, so the quote's own
-    n-grams of the block length meet the blocks in an equi-join. An exact test follows.
+    A text is cut into blocks of half a length class of quotes; a quote of that class that it holds covers one of them
+    whole, so blocks meet the quotes' runs of that size by hash. Quotes under eight characters meet every run of their
+    own length. Ids alone travel; an exact test follows on the pairs that are left.
     """
-    m = least // 2
-    q = quotes.select(quote_id, X.comparison_key(F.col("text")).alias("quote_key")).filter(F.length("quote_key") >= least)
-    grams = q.select(quote_id, "quote_key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("quote_key") - m + 1), lambda i: F.substring("quote_key", i, F.lit(m))))).alias("gram"))
-    t = docs.select(key, X.comparison_key(F.col("text")).alias("text_key"))
-    blocks = t.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text_key", F.lit(f"(?s)(.{{{m}}})"), F.lit(1)))).alias("gram"))
-    near = blocks.join(grams, "gram").select(key, quote_id, "quote_key").distinct()
-    return near.join(t, key).filter(F.contains("text_key", "quote_key")).select(key, quote_id)
+    size = F.when(F.length("quote_key") >= 24, 12).when(F.length("quote_key") >= 8, 4).otherwise(F.length("quote_key"))
+    sized = quotes.filter("quote_key <> ''").withColumn("size", size)
+    held = sorted({(r.size, r.short) for r in sized.select("size", (F.length("quote_key") < 8).alias("short")).distinct().collect()})  # at most nine
+    near = None
+    for n, short in held:
+        some = sized.filter((F.col("size") == n) & ((F.length("quote_key") < 8) == short))
+        grams = some.select("quote_id", F.explode(grams_of(F.col("quote_key"), n)).alias("gram")).select("quote_id", F.xxhash64("gram").alias("gram"))
+        blocks = grams_of(F.col("text_key"), n) if short else F.array_distinct(F.regexp_extract_all("text_key", F.lit(f"(?s)(.{{{n}}})"), F.lit(1)))
+        met = texts.select("text_id", F.explode(blocks).alias("gram")).select("text_id", F.xxhash64("gram").alias("gram")).join(grams, "gram").select("text_id", "quote_id")
+        near = met if near is None else near.unionByName(met)
+    if near is None:
+        return texts.join(quotes, F.lit(False)).select("text_id", "quote_id")
+    return near.distinct().join(quotes, "quote_id").join(texts, "text_id").filter(F.contains("text_key", "quote_key")).select("text_id", "quote_id")
+
+
+def evidence_pairs(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", quote_id: str = "item_id") -> DataFrame:
+    """(key, quote_id) pairs of a text and a quote that matches it, white space aside.
+
+    A quote of one line lies anywhere in the text. A quote of several needs every line, as often as it has it, among the
+    text's whole lines, wherever they stand. A quote without a sign matches nothing.
+    """
+    parts = F.filter(F.transform(X.lines(F.col("text")), solid), lambda x: x != "")
+    q = quotes.select(F.col(quote_id).alias("quote_id"), parts.alias("parts"))
+    texts = docs.select(F.col(key).alias("text_id"), solid(F.col("text")).alias("text_key"))
+    single = contained_quotes(texts, q.filter(F.size("parts") == 1).select("quote_id", F.col("parts")[0].alias("quote_key")).distinct())
+    several = q.filter(F.size("parts") > 1).withColumn("whole", F.size(F.array_distinct("parts"))).select("quote_id", "whole", F.explode("parts").alias("line")).groupBy("quote_id", "whole", "line").agg(F.count(F.lit(1)).alias("need"))
+    lines = docs.select(F.col(key).alias("text_id"), F.explode(parts).alias("line")).join(several.select("line").distinct(), "line", "left_semi").groupBy("text_id", "line").agg(F.count(F.lit(1)).alias("have"))
+    every = lines.join(several, "line").filter("have >= need").groupBy("text_id", "quote_id", "whole").count().filter("count = whole").select("text_id", "quote_id")
+    return single.unionByName(every).distinct().select(F.col("text_id").alias(key), F.col("quote_id").alias(quote_id))
 
 
 def unquoted_lines(docs: DataFrame, quotes: DataFrame, most: int = 30, key: str = "doc_id") -> DataFrame:
@@ -108,17 +146,28 @@ def request_plan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def packed_batches(rows: DataFrame, size: Column, most_rows: int, most_size: int, key: str) -> DataFrame:
-    """Greedy batches of each group's ordered rows: a row that would pass a cap opens the next batch."""
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", size.cast("long").alias("size")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<pos:int,batch:int>>").alias("out"))
+    """(key, pos, batch): greedy batches of each group's rows in the order of pos; one that would pass a cap opens the next.
+
+    A group's rows come sorted, in slices of bounded size, through one task with a carry of three numbers; nothing of a
+    group is held. Callers key by notice, whose rows are bounded.
+    """
 
-    def step(acc: Column, row: Column) -> Column:
-        over = (acc["n"] > 0) & ((acc["n"] >= most_rows) | (acc["held"] + row["size"] > most_size))
-        batch = acc["batch"] + F.when(over, 1).otherwise(0)
-        out = F.concat(acc["out"], F.array(F.struct(row["pos"].cast("int").alias("pos"), batch.alias("batch"))))
-        return F.struct(batch.alias("batch"), F.when(over, 1).otherwise(acc["n"] + 1).alias("n"), F.when(over, row["size"]).otherwise(acc["held"] + row["size"]).alias("held"), out.alias("out"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, n, held = None, 0, 0, 0
+        for f in frames:
+            out = []
+            for k, s in zip(f[key].tolist(), f["size"].tolist(), strict=True):
+                if k != now:
+                    now, batch, n, held = k, 0, 0, 0
+                if n and (n >= most_rows or held + s > most_size):
+                    batch, n, held = batch + 1, 0, 0
+                n, held = n + 1, held + s
+                out.append(batch)
+            yield pd.DataFrame({key: f[key], "pos": f["pos"], "batch": out})
 
-    return ordered.select(key, F.inline(F.aggregate("rows", start, step, lambda acc: acc["out"])))
+    sized = rows.select(key, "pos", size.cast("long").alias("size")).repartition(key).sortWithinPartitions(key, "pos")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return sized.mapInPandas(run, f"{key} {kind[key]}, pos {kind['pos']}, batch int")
 
 
 def assembled_pages(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
@@ -140,3 +189,16 @@ def web_links(rows: DataFrame, url: str = "url") -> DataFrame:
     c = F.col(url)
     fine = F.lower(F.try_parse_url(c, F.lit("PROTOCOL"))).isin("http", "https") & F.try_parse_url(c, F.lit("HOST")).isNotNull()
     return rows.filter(fine & (F.length(c) <= 2048) & ~c.rlike(r"[\x00-\x20\x7f]") & F.try_parse_url(c, F.lit("USERINFO")).isNull())
+
+
+def page_faults(marked: DataFrame, key: str, pages: Column | None = None, text: str = "marked") -> DataFrame:
+    """(key, fault) of texts whose page markers cannot be trusted: text before the first, repeated, out of range, missing, out of order."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\[Page (\d+)\][ \t]*$"), F.lit(1)), lambda n: n.cast("int"))
+    n = F.coalesce(pages, F.size("numbers")) if pages is not None else F.size("numbers")
+    told = marked.withColumn("numbers", numbers).withColumn("n_pages_told", n)
+    first = F.trim(F.element_at(F.split(text, r"(?m)^\[Page \d+\]", 2), 1))
+    fault = (
+        F.when(F.size("numbers") == 0, "no marker").when(first != "", "text before the first page").when(F.size(F.array_distinct("numbers")) < F.size("numbers"), "repeated page")
+        .when(F.exists("numbers", lambda i: (i < 1) | (i > F.col("n_pages_told"))), "page out of range").when(F.size("numbers") < F.col("n_pages_told"), "missing page").when(F.array_sort("numbers") != F.col("numbers"), "out of order")
+    )
+    return told.select(key, fault.alias("fault"))

@@ -211,7 +211,9 @@ def s5_observations(spark, sf):
 
 
 def s12_reference_match(spark, sf):
-    return A.reference_match(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    """Passages as references, their first line as title."""
+    known = table(spark, sf, "benchmark").withColumn("title", F.substring_index("text", "\n", 1))
+    return A.reference_match(table(spark, sf, "documents"), known)
 
 
 def s14_inline_payloads(spark, sf):
@@ -324,8 +326,9 @@ SQL = {
         k as (select distinct item_id, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) as run from b)
         select doc_id, item_id, count(*) as n_places from r join k using (run) group by 1, 2""",
     "s5_observations": f"with {G1} select notice_id, ord, 't' || l_partkey as text, conf / 100 as score, x / 1000 as x, h / 1000 as h from g1",
-    "s12_reference_match": r"""with b as (select item_id, substr(lower(regexp_replace(text, '\s+', '', 'g')), 1, 40) as q from benchmark), d as (select doc_id, lower(regexp_replace(text, '\s+', '', 'g')) as t from documents)
-        select doc_id, min(item_id) as item_id from d left join b on contains(t, q) and length(q) >= 40 group by 1""",
+    "s12_reference_match": r"""with k as (select item_id, lower(regexp_replace(text, '\s+', '', 'g')) as w, lower(regexp_replace(split_part(text, chr(10), 1), '\s+', '', 'g')) as title from benchmark),
+        d as (select doc_id, lower(regexp_replace(text, '\s+', '', 'g')) as t from documents)
+        select doc_id, min(item_id) as item_id from d left join k on (t = w and w <> '') or (title <> '' and contains(t, title)) or (length(w) >= 40 and contains(t, substr(w, 1, 40))) group by 1""",
     "s14_inline_payloads": """select doc_id, case when doc_id % 5 = 0 then 'type' when doc_id % 3 <> 0 then 'magic' when strlen(coalesce(text, '')) + 4 > 2000 then 'size' else 'accepted' end as status from documents""",
     "a13_folded_duplicates": f"with {LINES_SQL} select doc_id, min(pos) as first_pos, count(*) as n_places, bool_and(pos % 4 <> 0) as supported from keyed group by doc_id, line_key",
     "w11_byte_chunks": "select doc_id, md5(text) as joined_md5, true as bounded from documents where text <> ''",

@@ -32,17 +32,17 @@ def a3_fidelity(spark, sf):
 
 def j6_reconciled_responses(spark, sf):
     requests = table(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"))
-    responses = table(spark, sf, "lineitem").filter("l_suppkey % 13 = 0").select(F.col("l_partkey").alias("chunk_id"), F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_returnflag")).alias("text"), (F.col("l_discount") > 0.09).alias("error"))
+    responses = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("chunk_id"), F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_returnflag")).alias("text"), (F.col("l_discount") > 0.09).alias("error"))
     return A.reconciled(requests, responses, "chunk_id")
 
 
 def p25_support_verdicts(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 7 = 0")
+    e = table(spark, sf, "events")
     return A.verdicts(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), e.select("user_id", F.col("event_type").alias("status")), "user_id", ["click", "view"])
 
 
 def a16_assignment_audit(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_suppkey % 17 = 0")
+    li = table(spark, sf, "lineitem")
     return A.assignment_audit(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), li.select((F.col("l_partkey") + F.when(F.col("l_quantity") > 49, 1_000_000).otherwise(0)).alias("id"), F.col("l_returnflag").alias("list")), "id")
 
 
@@ -56,11 +56,11 @@ def u5_retry_sets(spark, sf):
 
 
 def u2_flattened_items(spark, sf):
-    o = table(spark, sf, "orders")
-    urgent = o.filter(F.col("o_orderpriority").isin(URGENT)).select(F.col("o_orderkey").alias("notice_id"), F.lit("warnings").alias("field"), F.col("o_orderpriority").alias("text"))
-    dates = o.select(F.col("o_orderkey").alias("notice_id"), F.lit("deadlines").alias("field"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text"))
-    acts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("notice_id"), F.lit("actions").alias("field"), F.concat_ws("-", F.col("l_returnflag"), F.col("l_linestatus")).alias("text"))
-    return urgent.unionByName(dates).unionByName(acts).groupBy("notice_id", "field").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("last"))
+    """A notice's fifteen collections as arrays of one row, flattened to items with their field."""
+    held = F.array_sort(F.collect_list(F.struct("n", "text")))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("notice_id"), F.element_at(F.array(*map(F.lit, A.COLLECTIONS)), (F.col("l_partkey") % 15 + 1).cast("int")).alias("field"), F.col("l_linenumber").alias("n"), F.concat_ws("-", "l_returnflag", "l_suppkey").alias("text"))
+    notices = li.groupBy("notice_id").pivot("field", list(A.COLLECTIONS)).agg(held)
+    return A.flattened(notices, "notice_id").select("notice_id", "field", F.col("item.n").alias("n"), F.col("item.text").alias("text"))
 
 
 def p23_templates(spark, sf):
@@ -78,7 +78,7 @@ def f28_digest(spark, sf):
 
 
 def k1_newest_notices(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200)
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey")
 
 
 def w8_renumbered(spark, sf):
@@ -134,23 +134,22 @@ def a7_token_usage(spark, sf):
 
 
 def a18_coverage_lists(spark, sf):
+    """Ordered ids of each list and the distinct gap messages of the lines that fell back."""
     li = table(spark, sf, "lineitem")
-    pick = lambda cond: F.size(F.collect_set(F.when(cond, F.col("l_linenumber"))))
-    return li.groupBy("l_orderkey").agg(pick(F.lit(True)).alias("n_source"), pick(F.col("l_linestatus") == "O").alias("n_translated"), pick(F.col("l_returnflag") == "R").alias("n_fallback"))
+    return A.coverage_lists(li, "l_orderkey", F.col("l_linenumber"), {"source": F.lit(True), "translated": F.col("l_linestatus") == "O", "fallback": F.col("l_returnflag") == "R"}, F.concat(F.lit("no reading of "), F.col("l_returnflag"), F.lit("-"), F.col("l_linestatus")), F.col("l_returnflag") == "R")
 
 
 def w15_trailing_requests(spark, sf):
-    e = table(spark, sf, "events").withColumn("user_id", F.col("user_id") % 5)
-    return A.trailing_counts(e, "user_id", 3600, 6)
+    return A.trailing_counts(table(spark, sf, "events"), "user_id", 3600, 6)
 
 
 def u3_group_closure(spark, sf):
-    edges = table(spark, sf, "lineitem").filter("l_suppkey % 10 = 0 and l_partkey % 3 = 0").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b"))
+    edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b"))
     return A.closure(edges, stored)
 
 
 def j24_contamination(spark, sf):
-    cites = table(spark, sf, "lineitem").filter("l_suppkey % 10 = 1 and l_partkey % 5 = 0").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("line"))
+    cites = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("line"))
     return A.contaminated(cites, cites.filter("line % 50 = 0"), stored)
 
 
@@ -208,10 +207,10 @@ SQL = {
     "j4_fact_references": f"with {FACTS_SQL} select * from issues",
     "a3_fidelity": f"""with {FACTS_SQL} select *, concat_ws('; ', case when n_missing > 0 then n_missing || ' critical facts missing' end, case when n_invented > 0 then n_invented || ' references invented' end) as checks,
         n_missing > 0 or n_invented > 0 as serious from fid""",
-    "j6_reconciled_responses": """with r as (select l_partkey as chunk_id, case when l_linenumber = 7 then '' else l_returnflag end as text, l_discount > 0.09 as error from lineitem where l_suppkey % 13 = 0),
+    "j6_reconciled_responses": """with r as (select l_partkey as chunk_id, case when l_linenumber = 7 then '' else l_returnflag end as text, l_discount > 0.09 as error from lineitem),
         n as (select chunk_id, count(*) as n, min(text) as text, bool_or(error) as error from r group by 1)
         select p_partkey as chunk_id, coalesce(n, 0) as n_responses, case when n is null then 'missing' when n > 1 then 'repeated' when error then 'error' when trim(text) = '' then 'empty' else 'accepted' end as status from part left join n on chunk_id = p_partkey""",
-    "j24_contamination": """with recursive c as (select l_orderkey as item, l_partkey as line from lineitem where l_suppkey % 10 = 1 and l_partkey % 5 = 0),
+    "j24_contamination": """with recursive c as (select l_orderkey as item, l_partkey as line from lineitem),
         r as (select line from c where line % 50 = 0 union select c2.line from r join c c1 on c1.line = r.line join c c2 on c2.item = c1.item) select distinct line from r""",
     "j26_context_expansion": """with t as (select * from lineitem where l_partkey % 40 = 0) select distinct l_orderkey, l_linenumber, l_partkey from lineitem u
         where exists (select 1 from t where t.l_orderkey = u.l_orderkey and (t.l_returnflag = u.l_returnflag or t.l_linestatus = u.l_linestatus))""",
@@ -220,7 +219,7 @@ SQL = {
     "p23_templates": """with f as (select l_orderkey as notice_id, case when l_returnflag = 'R' then 'actions' when l_linestatus = 'O' then 'documents' when l_quantity > 45 then 'warnings' else 'information' end as field from lineitem),
         g as (select notice_id, count(*) filter (where field = 'documents') > 0 as checklist, count(*) filter (where field = 'actions') > 1 as step_flow, false as timeline, false as decision, count(*) filter (where field = 'warnings') > 0 as warnings from f group by 1)
         select *, not (checklist or step_flow or timeline or decision or warnings) as information from g""",
-    "p25_support_verdicts": """with g as (select user_id, count(*) as n, min(event_type) as status from events where event_id % 7 = 0 group by 1)
+    "p25_support_verdicts": """with g as (select user_id, count(*) as n, min(event_type) as status from events group by 1)
         select c_custkey as user_id, case when n = 1 and status in ('click', 'view') then status else 'insufficient' end as status from customer left join g on user_id = c_custkey""",
     "a4_study_metrics": """with s as (select user_id, count(*) filter (where event_type <> 'error' and value > 10) as correct, count(*) filter (where event_type <> 'error' and value is not null) as scored from events group by 1)
         select user_id, correct::int as correct, scored::int as scored, round(case when scored > 0 then correct / scored end, 6) as accuracy, round(case when scored > 0 then 1 - correct / scored end, 6) as miss_rate from s""",
@@ -229,19 +228,19 @@ SQL = {
     "a6_acquisition": """select l_orderkey as notice_id, sum(trunc(l_quantity)::bigint)::bigint as latency_ms, count(*) as requests, sum(case when l_linenumber <> 5 then l_partkey end)::bigint as tokens,
         bool_and(l_returnflag <> 'R' and l_linenumber <> 5) as complete from lineitem group by 1""",
     "a7_token_usage": "select o_custkey % 200 as run_id, sum(case when o_orderkey % 9 <> 0 then o_orderkey % 1000 end)::bigint as tokens, bool_and(o_orderkey % 9 <> 0) as complete from orders group by 1",
-    "a16_assignment_audit": """with a as (select l_partkey + case when l_quantity > 49 then 1000000 else 0 end as id, l_returnflag as list from lineitem where l_suppkey % 17 = 0),
+    "a16_assignment_audit": """with a as (select l_partkey + case when l_quantity > 49 then 1000000 else 0 end as id, l_returnflag as list from lineitem),
         n as (select id, count(*) as n, count(distinct list) as lists from a group by 1),
         j as (select coalesce(n.id, p_partkey) as id, case when p_partkey is null then 'unknown' when n is null then 'unassigned' when lists > 1 then 'overlap' when n > 1 then 'duplicate' end as issue from n full join part on p_partkey = n.id)
         select * from j where issue is not null""",
-    "a18_coverage_lists": """select l_orderkey, count(distinct l_linenumber)::int as n_source, count(distinct case when l_linestatus = 'O' then l_linenumber end)::int as n_translated, count(distinct case when l_returnflag = 'R' then l_linenumber end)::int as n_fallback from lineitem group by 1""",
+    "a18_coverage_lists": """select l_orderkey, coalesce(string_agg(distinct l_linenumber, ',' order by l_linenumber), '') as source, coalesce(string_agg(distinct l_linenumber, ',' order by l_linenumber) filter (where l_linestatus = 'O'), '') as translated,
+        coalesce(string_agg(distinct l_linenumber, ',' order by l_linenumber) filter (where l_returnflag = 'R'), '') as fallback, coalesce(string_agg(distinct 'no reading of ' || l_returnflag || '-' || l_linestatus, '; ' order by 'no reading of ' || l_returnflag || '-' || l_linestatus) filter (where l_returnflag = 'R'), '') as gaps
+        from lineitem group by 1""",
     "w8_renumbered": """select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)::int as step from lineitem where l_discount > 0.02""",
-    "w15_trailing_requests": """with e as (select event_id, user_id % 5 as user_id, ts from events), n as (select *, count(*) over (partition by user_id order by ts range between interval 3600 seconds preceding and current row) as n_recent from e)
+    "w15_trailing_requests": """with e as (select event_id, user_id, ts from events), n as (select *, count(*) over (partition by user_id order by ts range between interval 3600 seconds preceding and current row) as n_recent from e)
         select event_id, user_id, n_recent, n_recent > 6 as over_rate from n""",
-    "k1_newest_notices": "select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 200",
-    "u2_flattened_items": """with a as (select o_orderkey as notice_id, 'warnings' as field, o_orderpriority as text from orders where o_orderpriority in ('1-URGENT', '2-HIGH')
-        union all select o_orderkey, 'deadlines', strftime(o_orderdate, '%Y-%m-%d') from orders union all select l_orderkey, 'actions', l_returnflag || '-' || l_linestatus from lineitem)
-        select notice_id, field, count(*) as n, max(text) as last from a group by 1, 2""",
-    "u3_group_closure": """with recursive e as (select distinct l_orderkey as a, -l_partkey - 1 as b from lineitem where l_suppkey % 10 = 0 and l_partkey % 3 = 0), s as (select a, b from e union select b, a from e),
+    "k1_newest_notices": "select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey",
+    "u2_flattened_items": f"select l_orderkey as notice_id, ({list(A.COLLECTIONS)})[l_partkey % 15 + 1] as field, l_linenumber as n, l_returnflag || '-' || l_suppkey as text from lineitem",
+    "u3_group_closure": """with recursive e as (select distinct l_orderkey as a, -l_partkey - 1 as b from lineitem), s as (select a, b from e union select b, a from e),
         r as (select a as node, a as other from s union select r.node, s.b from r join s on s.a = r.other) select node, min(other) as component from r group by 1""",
     "u4_batch_merge": """select 'batch-' || (o_orderkey % 4) || '-' as batch, count(*) as n, sum(o_custkey % 50)::bigint as ms, max('batch-' || (o_orderkey % 4) || '-' || o_orderkey) as last_block from orders group by 1""",
     "u5_retry_sets": """with retry as (select o_orderkey as id from orders where o_orderpriority = '1-URGENT') select distinct l_orderkey as id, 'kept' as status from lineitem where l_orderkey not in (select id from retry)

@@ -92,7 +92,7 @@ def f1_comparison_key(spark, sf):
 
 
 def f26_derived_id(spark, sf):
-    return docs(spark, sf).select("doc_id", X.derived_id("block-", F.substring("text", 1, 160)).alias("block_id"))
+    return docs(spark, sf).select("doc_id", X.derived_id("block-", F.col("text")).alias("block_id"))
 
 
 def f30_printed_values(spark, sf):
@@ -141,13 +141,26 @@ def s3_split_pages(spark, sf):
     return L.split_pages(marked, "conv_id").select("conv_id", "page", F.md5("text").alias("text_md5"))
 
 
+def s3b_page_faults(spark, sf):
+    """Marked conversations, damaged in turn: text before the first page, a page repeated, renumbered, left out, two swapped."""
+    marked = L.assembled_pages(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+    n, k, pages = F.col("n_pages"), F.col("conv_id") % 6, F.col("marked")
+    last = F.concat(F.lit("\n[Page "), n.cast("string"), F.lit("]"))
+    damaged = (
+        F.when(k == 1, F.concat(F.lit("loose\n"), pages)).when(k == 2, F.concat(pages, F.lit("\n[Page 1]\nagain"))).when(k == 3, F.concat(pages, F.lit("\n[Page 99]\nfar")))
+        .when(k == 4, F.lit("plain text")).when(k == 5, F.concat(F.lit("[Page 2]\nb\n[Page 1]\na"))).otherwise(pages)
+    )
+    told = F.when(k == 5, F.lit(2)).otherwise(n).cast("int")
+    return L.page_faults(marked.withColumn("marked", damaged).withColumn("told", told), "conv_id", F.col("told")).filter("fault is not null")
+
+
 def s13_web_links(spark, sf):
     return L.web_links(table(spark, sf, "pages")).select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"))
 
 
 def w12_batches(spark, sf):
-    rows = docs(spark, sf).withColumn("pos", F.col("doc_id").cast("int"))
-    return L.packed_batches(rows, F.length("text"), 40, 40_000, "source").select("source", F.col("pos").cast("long").alias("doc_id"), "batch")
+    """Lines as units of their notice."""
+    return L.packed_batches(L.source_lines(docs(spark, sf)), F.length("line"), 4, 300, "doc_id")
 
 
 def s2_ingest_batches(spark, sf):
@@ -169,10 +182,15 @@ def c11_unavailable(spark, sf):
     return d.join(lines, "doc_id", "left").select("doc_id", status.alias("status"), F.coalesce("n_lines", F.lit(0)).alias("n_unverified"))
 
 
-QUERIES = {f.__name__: f for f in (s1_text_scan, s2_ingest_batches, s3_split_pages, s4_assembled_pages, s6_segments, s7_geometry_by_occurrence, s13_web_links, a1_line_inventory, a2_coverage_totals, a12_pass_dedup, a19_gap_messages, a20_request_plan, j1_evidence_match, j2_unique_provenance, j3_citation_coverage, j5_unquoted_lines, j16_retry_context, j17_blocked_source, p4_script_share, p10_layout_kind, p15_full_detail, f1_comparison_key, f2_exact_values, f26_derived_id, f30_printed_values, k3_examples, w12_batches, c11_unavailable)}
+QUERIES = {f.__name__: f for f in (s1_text_scan, s2_ingest_batches, s3_split_pages, s3b_page_faults, s4_assembled_pages, s6_segments, s7_geometry_by_occurrence, s13_web_links, a1_line_inventory, a2_coverage_totals, a12_pass_dedup, a19_gap_messages, a20_request_plan, j1_evidence_match, j2_unique_provenance, j3_citation_coverage, j5_unquoted_lines, j16_retry_context, j17_blocked_source, p4_script_share, p10_layout_kind, p15_full_detail, f1_comparison_key, f2_exact_values, f26_derived_id, f30_printed_values, k3_examples, w12_batches, c11_unavailable)}
 
-PAIRS_SQL = r"""pairs as (select doc_id, item_id from (select doc_id, lower(regexp_replace(text, '\s+', '', 'g')) as t from documents) d
-    join (select item_id, lower(regexp_replace(text, '\s+', '', 'g')) as q from benchmark) b on contains(t, q) where length(q) >= 24)"""
+PAIRS_SQL = r"""qparts as (select item_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g')), lambda x: x <> '') as p from benchmark),
+    solid as (select doc_id, regexp_replace(text, '\s+', '', 'g') as t, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g')), lambda x: x <> '') as p from documents),
+    needs as (select item_id, line, count(*) as need from (select item_id, unnest(p) as line from qparts where len(p) > 1) group by all),
+    haves as (select doc_id, line, count(*) as have from (select doc_id, unnest(p) as line from solid) where line in (select line from needs) group by all),
+    pairs as (select doc_id, item_id from solid join qparts on len(qparts.p) = 1 and contains(t, qparts.p[1])
+        union all select doc_id, item_id from haves join needs using (line) where have >= need group by doc_id, item_id
+        having count(*) = (select count(*) from needs n where n.item_id = needs.item_id))"""
 COVER_SQL = f"""with {QUOTED_SQL} select doc_id, count(*) as total, count(h.line_key) as covered, count(*) - count(h.line_key) as uncovered
     from inventory left join hits h using (line_key) group by doc_id"""
 SQL = {
@@ -180,6 +198,8 @@ SQL = {
     "s2_ingest_batches": """select doc_id // 8 as batch_id, count(*) as n_files, sum(strlen(text))::bigint as n_bytes, case when count(*) > 12 then 'count'
         when max(strlen(text)) > 15000 then 'file size' when sum(strlen(text)) > 50000 then 'batch size' else 'accepted' end as status from documents group by 1""",
     "s3_split_pages": "select conv_id, (turn + 1)::int as page, md5(trim(text)) as text_md5 from conversations",
+    "s3b_page_faults": """select conv_id, case conv_id % 6 when 1 then 'text before the first page' when 2 then 'repeated page' when 3 then 'page out of range' when 4 then 'no marker' else 'out of order' end as fault
+        from (select distinct conv_id from conversations) where conv_id % 6 > 0""",
     "s4_assembled_pages": """select conv_id, md5(string_agg('[Page ' || (turn + 1) || ']' || chr(10) || coalesce(trim(text), ''), chr(10) order by turn, trim(text))) as marked_md5,
         count(*) filter (where coalesce(trim(text), '') = '') as n_blank, count(*) as n_pages from conversations group by conv_id""",
     "s6_segments": """with n as (select doc_id, text, unnest(range(greatest(ceil(length(text) / 2000)::int, 1))) as piece from documents)
@@ -213,17 +233,17 @@ SQL = {
     "p15_full_detail": f"with {LINES_SQL} select doc_id, pos, regexp_matches(line, '[,;·]|및|또는|그러나|다만') as full_detail from lines",
     "f1_comparison_key": r"select doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) as key_md5, length(trim(regexp_replace(text, '\s+', ' ', 'g')))::int as n_spaced from documents",
     "f2_exact_values": r"""select doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '([A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})'), lambda x: lower(x)))), '|') as emails from documents""",
-    "f26_derived_id": """with s as (select doc_id, 'block-' || substr(text, 1, 160) as v from documents)
+    "f26_derived_id": """with s as (select doc_id, 'block-' || text as v from documents)
         select doc_id, case when length(v) <= 128 then v else substr(v, 1, 111) || '-' || substr(sha256(v), 1, 16) end as block_id from s""",
     "f30_printed_values": "select doc_id, len(regexp_extract_all(text, '[0-9]+'))::int as n_values, array_to_string(regexp_extract_all(text, '[0-9]+'), '|') as printed from documents",
     "k3_examples": f"""with {LINES_SQL} select doc_id, array_to_string(list(printf('P001-L%04d', ordinal) order by ordinal)[1:5], ', ')
         || case when count(*) > 5 then ' (+' || (count(*) - 5) || ' more)' else '' end as examples from inventory group by doc_id""",
-    "w12_batches": """with recursive o as (select source, doc_id, length(text) as size, row_number() over (partition by source order by doc_id) as i from documents),
-        f as (select source, doc_id, i, size as held, 1 as n, 0 as batch from o where i = 1
-            union all select o.source, o.doc_id, o.i, case when f.n >= 40 or f.held + o.size > 40000 then o.size else f.held + o.size end,
-                case when f.n >= 40 or f.held + o.size > 40000 then 1 else f.n + 1 end, f.batch + case when f.n >= 40 or f.held + o.size > 40000 then 1 else 0 end
-            from f join o on o.source = f.source and o.i = f.i + 1)
-        select source, doc_id, batch::int as batch from f""",
+    "w12_batches": f"""with recursive {LINES_SQL}, o as (select doc_id, pos, length(line) as size, row_number() over (partition by doc_id order by pos) as i from lines),
+        f as (select doc_id, pos, i, size as held, 1 as n, 0 as batch from o where i = 1
+            union all select o.doc_id, o.pos, o.i, case when f.n >= 4 or f.held + o.size > 300 then o.size else f.held + o.size end,
+                case when f.n >= 4 or f.held + o.size > 300 then 1 else f.n + 1 end, f.batch + case when f.n >= 4 or f.held + o.size > 300 then 1 else 0 end
+            from f join o on o.doc_id = f.doc_id and o.i = f.i + 1)
+        select doc_id, pos, batch::int as batch from f""",
     "c11_unavailable": f"""with {LINES_SQL}, n as (select doc_id, count(*) as n_lines from inventory group by 1)
         select doc_id, case when length(regexp_replace(text, '[^\\pL]', '', 'g')) < 400 then 'unavailable' else 'readable' end as status, coalesce(n_lines, 0) as n_unverified from documents left join n using (doc_id)""",
 }
