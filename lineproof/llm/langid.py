@@ -41,7 +41,7 @@ BUCKETS = 1 << 16
 EPOCHS = 12
 RATE = 0.3
 RUNS_EACH = 6
-CACHE_ROWS = 200_000
+CACHE_ROWS, LEARN_ROWS = 150_000, 8192
 UNKNOWN = "und"
 
 
@@ -114,11 +114,13 @@ class Crf:
             return
         while len(self.held) < known + len(new):
             self.held = np.concatenate([self.held, np.empty_like(self.held)])
-        e = self.emissions(new)
-        e = np.exp(e - e.max(1, keepdims=True)) + 1e-9
-        letters = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in new])
-        e[~letters] = 1.0
-        self.held[known : known + len(new)] = np.column_stack([e, letters])
+        for at in range(0, len(new), LEARN_ROWS):
+            some = new[at : at + LEARN_ROWS]
+            e = self.emissions(some)
+            e = np.exp(e - e.max(1, keepdims=True)) + 1e-9
+            letters = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in some])
+            e[~letters] = 1.0
+            self.held[known + at : known + at + len(some)] = np.column_stack([e, letters])
         self.place.update(zip(new, range(known, known + len(new)), strict=True))
 
     def marginals(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -263,7 +265,7 @@ def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_runs: int = TRAI
 
 def _predict(model: Crf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 2 << 20):
+        for b in sliced(batches, "text", 1 << 20):
             texts = [t or "" for t in b["text"].to_pylist()]
             found = model.predict(texts) if model.languages else [(UNKNOWN, 0.0)] * len(texts)
             cols = [*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]

@@ -43,8 +43,8 @@ LEADERS = 64
 #: A pair at the threshold is estimated lower by more than this with probability under 1e-5.
 MARGIN = 0.17
 #: Shingles of the sets that one task holds at once; heavier lists are cut in blocks of which all pairs are compared.
-LIST_SHINGLES = 1 << 21
-WORD_CACHE = 200_000
+LIST_SHINGLES = 1 << 20
+WORD_CACHE = 120_000
 SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("nodes", pa.list_(pa.int64())), ("sketch", pa.binary())])
 SIGNATURES_DDL = "doc_id long, n_shingles long, set_hi long, set_lo long, nodes array<long>, sketch binary"
 ODD = np.random.default_rng(20240101).integers(0, 2**63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,7 +112,7 @@ def digests_of(sets: list[np.ndarray]) -> np.ndarray:
 def _signatures(words: int, trees: int, second: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for b in sliced(batches, "text", 2 << 20):
+        for b in sliced(batches, "text", 1 << 20):
             sets = [shingle(t) for t in b["text"].to_pylist()]
             digests = digests_of(sets)
             mins = np.array([minwise(s) for s in sets]).reshape(-1, COORDINATES)
@@ -196,7 +196,7 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
         shingle = Shingler(words)
-        for b in sliced(batches, "text", 2 << 20):
+        for b in sliced(batches, "text", 1 << 20):
             yield batch(schema, cid=b["cid"], shingles=[shingle(t).tobytes() for t in b["text"].to_pylist()])
 
     return run
@@ -283,7 +283,7 @@ def _keyed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("set_hi", pa.int64()), ("set_lo", pa.int64())])
         shingle = Shingler(words)
-        for b in sliced(batches, "text", 2 << 20):
+        for b in sliced(batches, "text", 1 << 20):
             digests = digests_of([shingle(t) for t in b["text"].to_pylist()])
             yield batch(schema, doc_id=b["doc_id"], text=b["text"], set_hi=digests[:, 0], set_lo=digests[:, 1])
 

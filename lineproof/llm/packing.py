@@ -25,7 +25,7 @@ from lineproof.llm.shared import batch, groups_for, sliced
 CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 40_000
-CACHE_ROWS = 300_000
+CACHE_ROWS = 150_000
 WORD = re.compile(r"([a-zß-öø-ÿ]+)([.,]?)")
 MARK = "\x01"
 VOCABULARY = "word_bpe_49k.json"
@@ -111,7 +111,7 @@ def _pieces(path: str | None, capacity: int):
 
         encoder = Encoder(path or public_tokenizers.path(VOCABULARY))
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for b in sliced(batches, "text", 2 << 20):
+        for b in sliced(batches, "text", 1 << 20):
             cols: dict[str, list] = {f.name: [] for f in PIECES}
             texts = [t or "" for t in b.column("text").to_pylist()]
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
