@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The line boundaries of Unicode text.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -64,7 +65,7 @@ def exact_values(text: Column) -> Column:
     return F.array_distinct(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda v: F.regexp_replace(v, r"[.,)]+$", "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

@@ -107,7 +107,7 @@ def cue_issues(source: Column, english: Column, rules: list[tuple[str, str, str]
 def glossary_applied(source: Column, english: Column, rules: list[tuple[str, str, str]]) -> Column:
     """(source term, wrong English, right English) rules in order, each only where the source has its term."""
     for term, wrong, right in rules:
-        english = F.when(F.contains(source, F.lit(term)), F.regexp_replace(english, rf"(?i)\b{wrong}\b", right)).otherwise(english)
+        english = F.regexp_replace(english, F.when(F.contains(source, F.lit(term)), rf"(?i)\b{wrong}\b").otherwise(F.lit("(?!)")), F.lit(right))
     return english
 
 
@@ -150,9 +150,9 @@ def fragment(text: Column) -> Column:
     return F.when(count(r"\(") > count(r"\)"), "open bracket").when(text.rlike(r"(?i)(^|\s)(and|or|of|et|de|mit|und)$"), "dangling connective").when(text.rlike(r"^[,;)]"), "connector start")
 
 
-def without_claims(text: Column, claim: str) -> Column:
+def without_claims(text: Column, claim: str, ends: str = r"(?<=[,;.])") -> Column:
     """The clauses of a text that hold no claim, joined again."""
-    return F.array_join(F.filter(F.split(text, r"(?<=[,;.])"), lambda c: ~c.rlike(claim)), "")
+    return F.array_join(F.filter(F.split(text, ends), lambda c: ~c.rlike(claim)), "")
 
 
 def scored(expected: Column, given: Column) -> Column:

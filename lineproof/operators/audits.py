@@ -23,10 +23,12 @@ def inventory_violations(units: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def reconciled_units(units: DataFrame, responses: DataFrame) -> DataFrame:
-    """Every unit with the state of its response: accepted only if single and with an unchanged source text."""
+    """Every unit with the state of its response: accepted only if single, with an unchanged source text and citing known units."""
     found = responses.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"), F.first("source_text").alias("returned"))
-    state = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").when(~F.col("returned").eqNullSafe(F.col("source_text")), "changed").otherwise("accepted")
-    return units.join(found, "unit_id", "left").select("unit_id", state.alias("state"))
+    cites = responses.select("unit_id", F.explode("cited").alias("to")).distinct()
+    wrong = cites.join(units.select(F.col("unit_id").alias("to")), "to", "left_anti").select("unit_id", F.lit(True).alias("wrong")).distinct()
+    state = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").when(~F.col("returned").eqNullSafe(F.col("source_text")), "changed").when(F.col("wrong"), "unknown citation").otherwise("accepted")
+    return units.join(found, "unit_id", "left").join(wrong, "unit_id", "left").select("unit_id", state.alias("state"))
 
 
 def recovered_candidates(units: DataFrame, text: str, alternates: str, usable: Callable[[Column], Column], least_share: int = 65) -> DataFrame:

@@ -125,3 +125,10 @@ def coverage_lists(units: DataFrame, key: str, unit: Column, lists: dict[str, Co
     text = lambda c, sep: F.array_join(F.array_sort(F.collect_set(c)), sep)
     ids = {name: F.array_join(F.transform(F.array_sort(F.collect_set(F.when(test, unit))), lambda i: i.cast("string")), ",") for name, test in lists.items()}
     return units.groupBy(key).agg(*[c.alias(name) for name, c in ids.items()], text(F.when(gap, message), "; ").alias("gaps"))
+
+
+def expanded_context(units: DataFrame, targets: DataFrame, section: list[str], block: str, tabled: str) -> DataFrame:
+    """Units of a target's block or table within its section, and the section's headings and conditions; one shuffle by section."""
+    told = targets.groupBy(*section).agg(F.collect_set(block).alias("blocks"), F.collect_set(tabled).alias("tables"))
+    near = F.array_contains("blocks", F.col(block)) | F.array_contains("tables", F.col(tabled)) | F.col("kind").isin("heading", "condition")
+    return units.join(told, section).filter(near).drop("blocks", "tables")

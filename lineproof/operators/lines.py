@@ -12,6 +12,8 @@ from lineproof.functions import text as X
 
 HAS_SIGN = r"[\p{L}\p{N}]"
 LEAST_QUOTE = 8
+#: File types that are read.
+FILE_TYPES = [".png", ".jpg", ".jpeg", ".webp", ".pdf", ".txt"]
 
 
 def source_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,11 +121,11 @@ def attach_by_occurrence(lines: DataFrame, spans: DataFrame, key: str = "doc_id"
     return left.join(right, [key, "line", "k"], "left").select(key, "pos", "k", "span_pos")
 
 
-def context_neighbours(lines: DataFrame, target: Column, reach: int = 3, key: str = "doc_id") -> DataFrame:
-    """Lines within reach of a target on their page that are no targets themselves."""
+def context_neighbours(lines: DataFrame, target: Column, blocked: Column, reach: int = 3, key: str = "doc_id") -> DataFrame:
+    """Lines within reach of a target on their page that are neither targets nor blocked."""
     w = Window.partitionBy(key).orderBy("pos").rangeBetween(-reach, reach)
     told = lines.withColumn("target", target).withColumn("near", F.max(F.col("target").cast("int")).over(w))
-    return told.filter((F.col("near") == 1) & ~F.col("target")).select(key, "pos")
+    return told.filter((F.col("near") == 1) & ~F.col("target") & ~blocked).select(key, "pos")
 
 
 def segments(docs: DataFrame, most: int = 20_000, key: str = "doc_id") -> DataFrame:

@@ -184,9 +184,10 @@ def u6_removed_text(spark, sf):
 
 
 def j7_reconciled_units(spark, sf):
+    """Units sent back with changes, gaps, repeats, and citations of which some name no unit."""
     units = table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("source_text"))
     text = F.when(F.col("unit_id") % 7 == 0, F.concat("source_text", F.lit("!"))).otherwise(F.col("source_text"))
-    back = units.filter("unit_id % 11 <> 0").withColumn("source_text", text)
+    back = units.filter("unit_id % 11 <> 0").withColumn("source_text", text).withColumn("cited", F.array("unit_id", F.when(F.col("unit_id") % 17 == 0, -1).otherwise(F.col("unit_id"))))
     return A.reconciled_units(units, back.unionByName(back.filter("unit_id % 13 = 0")))
 
 
@@ -319,7 +320,7 @@ SQL = {
     "u1_single_reading": f"""select o_orderkey as notice_id, {WON} as won, 'first' as reading from orders where o_orderkey % 5 = 0 and {WON} <> 1
         union all select o_orderkey, 1, 'second' from orders where o_orderkey % 5 = 0 and {WON} <> 1""",
     "u6_removed_text": f"with {QUOTED_SQL} select doc_id, printf('P001-L%04d', ordinal) as line_id, row_number() over (partition by doc_id order by ordinal)::int as n from inventory where line_key not in (select line_key from hits)",
-    "j7_reconciled_units": "select doc_id as unit_id, case when doc_id % 11 = 0 then 'missing' when doc_id % 13 = 0 then 'repeated' when doc_id % 7 = 0 and text is not null then 'changed' else 'accepted' end as state from documents",
+    "j7_reconciled_units": "select doc_id as unit_id, case when doc_id % 11 = 0 then 'missing' when doc_id % 13 = 0 then 'repeated' when doc_id % 7 = 0 and text is not null then 'changed' when doc_id % 17 = 0 then 'unknown citation' else 'accepted' end as state from documents",
     "j18_recovered_contacts": f"with {T1} select notice_id, contact from t1",
     "j19_phrase_places": r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') as w from documents), b as (select item_id, regexp_extract_all(lower(text), '[\pL\pN]+') as w from benchmark),
         r as (select doc_id, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) as run from d),

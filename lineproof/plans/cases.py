@@ -155,3 +155,17 @@ register("f30b_printed_values", "text", [
 register("f1b_compatibility_keys", "text", [
     ("Ａ Ｂ　ｃ", "abc"), ("① ㈜ ㎏", "1(주)kg"), ("ﬁn", "fin"), ("가 나", "가나"), (None, None),
 ], lambda: X.folded_key(C("text")))
+
+register("f32b_claims_removed", "text", [
+    ("TOEIC 800 or higher, apply by mail.", " apply by mail."), ("Apply by mail; IELTS 6.5 needed.", "Apply by mail;"), ("Apply by mail.", "Apply by mail."), ("TOEIC is accepted, {n} seats.", "TOEIC is accepted, {n} seats."), ("TEPS {n}", ""),
+], lambda: J.without_claims(C("text"), E.SCORE_CLAIM, r"(?<=[,;.])(?![0-9])"))
+
+register("f24b_glossary", "text evidence", [
+    ("Original AI technology", "AI 원천 기술", "Core AI technologies"), ("Leaving students may apply", "휴학생", "Students on leave may apply"), ("Comparative integrated management system", "비교과 통합관리시스템", "Extracurricular Integrated Management System"),
+    ("Personal information consent form", "개인정보 수집 및 이용 동의서", "Personal information collection and use consent form"), ("research fees", "연구비", "research funding"), ("research fees", "연구비 납부", "research fees"), ("Research and activity fees", "연구비 및 활동비", "Research funding and activity allowances"),
+    ("Activity fee", "활동비", "Activity allowance"), ("research fees must be paid", "연구비 카드 결제", "research expenses must be paid"), ("Activity fee", "연구비", "Activity fee"),
+], lambda: E.grounded_wording(C("text"), C("evidence")))
+
+register("f27b_display_texts", "field text name required condition items", [
+    ("key_details", "A fact", None, None, None, None, "A fact"), ("required_documents", None, "Form {n}", "no", "if new", None, "Form {n} (optional) — if new"), ("required_documents", None, "Form", "yes", "", None, "Form"), ("actions", "Apply", None, None, "by mail", "Form,Photo", "Apply — by mail — bring: Form; Photo"), ("actions", "Apply", None, None, None, "", "Apply"),
+], lambda: E.display_text(C("field"), C("text"), C("name"), C("required") == "yes", C("condition"), F.filter(F.split(C("items"), ","), lambda x: x != "")))

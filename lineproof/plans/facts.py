@@ -154,12 +154,10 @@ def j24_contamination(spark, sf):
 
 
 def j26_context_expansion(spark, sf):
-    """Units that share the block (order and flag) or the table (supplier and status of the order) of a target."""
+    """Units that share the block (order and flag) or the table (order and status) of a target, and the headings and conditions of its section."""
     u = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey", "l_partkey")
-    t = u.filter("l_partkey % 40 = 0")
-    block = u.join(t, ["l_orderkey", "l_returnflag"], "left_semi")
-    tabled = u.join(t, ["l_orderkey", "l_linestatus"], "left_semi")
-    return block.unionByName(tabled).select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    u = u.withColumn("kind", F.when(F.col("l_suppkey") % 5 == 0, "heading").when(F.col("l_suppkey") % 5 == 1, "condition").otherwise("paragraph"))
+    return A.expanded_context(u, u.filter("l_partkey % 40 = 0"), ["l_orderkey"], "l_returnflag", "l_linestatus").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
 
 
 def u4_batch_merge(spark, sf):
@@ -213,7 +211,7 @@ SQL = {
     "j24_contamination": """with recursive c as (select l_orderkey as item, l_partkey as line from lineitem),
         r as (select line from c where line % 50 = 0 union select c2.line from r join c c1 on c1.line = r.line join c c2 on c2.item = c1.item) select distinct line from r""",
     "j26_context_expansion": """with t as (select * from lineitem where l_partkey % 40 = 0) select distinct l_orderkey, l_linenumber, l_partkey from lineitem u
-        where exists (select 1 from t where t.l_orderkey = u.l_orderkey and (t.l_returnflag = u.l_returnflag or t.l_linestatus = u.l_linestatus))""",
+        where exists (select 1 from t where t.l_orderkey = u.l_orderkey and (t.l_returnflag = u.l_returnflag or t.l_linestatus = u.l_linestatus or u.l_suppkey % 5 < 2))""",
     "p13_page_quality": """select p_partkey, concat_ws(', ', case when p_size * 40 < 900 then 'low resolution' end, case when p_retailprice < 1000 then 'blurred' end,
         case when p_size * 5 < 40 then 'dark' end, case when p_size * 5 > 230 then 'glare' end) as issues, not (p_size * 40 < 900 or p_size * 5 < 40) as readable from part""",
     "p23_templates": """with f as (select l_orderkey as notice_id, case when l_returnflag = 'R' then 'actions' when l_linestatus = 'O' then 'documents' when l_quantity > 45 then 'warnings' else 'information' end as field from lineitem),
@@ -240,8 +238,6 @@ SQL = {
         select event_id, user_id, n_recent, n_recent > 6 as over_rate from n""",
     "k1_newest_notices": "select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey",
     "u2_flattened_items": f"select l_orderkey as notice_id, ({list(A.COLLECTIONS)})[l_partkey % 15 + 1] as field, l_linenumber as n, l_returnflag || '-' || l_suppkey as text from lineitem",
-    "u3_group_closure": """with recursive e as (select distinct l_orderkey as a, -l_partkey - 1 as b from lineitem), s as (select a, b from e union select b, a from e),
-        r as (select a as node, a as other from s union select r.node, s.b from r join s on s.a = r.other) select node, min(other) as component from r group by 1""",
     "u4_batch_merge": """select 'batch-' || (o_orderkey % 4) || '-' as batch, count(*) as n, sum(o_custkey % 50)::bigint as ms, max('batch-' || (o_orderkey % 4) || '-' || o_orderkey) as last_block from orders group by 1""",
     "u5_retry_sets": """with retry as (select o_orderkey as id from orders where o_orderpriority = '1-URGENT') select distinct l_orderkey as id, 'kept' as status from lineitem where l_orderkey not in (select id from retry)
         union all select id, 'unresolved' from retry where id not in (select l_orderkey from lineitem)""",

@@ -69,7 +69,7 @@ def j5_unquoted_lines(spark, sf):
 
 
 def j16_retry_context(spark, sf):
-    return L.context_neighbours(L.source_lines(docs(spark, sf)), F.length("line") % 11 == 0)
+    return L.context_neighbours(L.source_lines(docs(spark, sf)), F.length("line") % 11 == 0, F.length("line") % 13 == 0)
 
 
 def p4_script_share(spark, sf):
@@ -165,9 +165,10 @@ def w12_batches(spark, sf):
 
 def s2_ingest_batches(spark, sf):
     """Documents as uploaded files: per-file and per-batch byte caps and the file count cap of a batch."""
-    d = docs(spark, sf).select(F.floor(F.col("doc_id") / 8).alias("batch_id"), F.octet_length("text").alias("n"))
-    b = d.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_bytes"), F.max("n").alias("largest"))
-    return b.select("batch_id", "n_files", "n_bytes", F.when(F.col("n_files") > 12, "count").when(F.col("largest") > 15_000, "file size").when(F.col("n_bytes") > 50_000, "batch size").otherwise("accepted").alias("status"))
+    kind = F.when(F.col("doc_id") % 50 == 7, ".exe").otherwise(".PNG")
+    d = docs(spark, sf).select(F.floor(F.col("doc_id") / 8).alias("batch_id"), F.octet_length("text").alias("n"), F.lower(kind).isin(L.FILE_TYPES).alias("allowed"))
+    b = d.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_bytes"), F.max("n").alias("largest"), F.bool_and("allowed").alias("allowed"))
+    return b.select("batch_id", "n_files", "n_bytes", F.when(~F.col("allowed"), "type").when(F.col("n_files") > 12, "count").when(F.col("largest") > 15_000, "file size").when(F.col("n_bytes") > 50_000, "batch size").otherwise("accepted").alias("status"))
 
 
 def j17_blocked_source(spark, sf):
@@ -195,7 +196,7 @@ COVER_SQL = f"""with {QUOTED_SQL} select doc_id, count(*) as total, count(h.line
     from inventory left join hits h using (line_key) group by doc_id"""
 SQL = {
     "s1_text_scan": "select doc_id, case when text is null or trim(text) = '' then 'empty' when strlen(text) > 20000 then 'size' else 'accepted' end as status, strlen(text)::int as n_bytes from documents",
-    "s2_ingest_batches": """select doc_id // 8 as batch_id, count(*) as n_files, sum(strlen(text))::bigint as n_bytes, case when count(*) > 12 then 'count'
+    "s2_ingest_batches": """select doc_id // 8 as batch_id, count(*) as n_files, sum(strlen(text))::bigint as n_bytes, case when bool_or(doc_id % 50 = 7) then 'type' when count(*) > 12 then 'count'
         when max(strlen(text)) > 15000 then 'file size' when sum(strlen(text)) > 50000 then 'batch size' else 'accepted' end as status from documents group by 1""",
     "s3_split_pages": "select conv_id, (turn + 1)::int as page, md5(trim(text)) as text_md5 from conversations",
     "s3b_page_faults": """select conv_id, case conv_id % 6 when 1 then 'text before the first page' when 2 then 'repeated page' when 3 then 'page out of range' when 4 then 'no marker' else 'out of order' end as fault
@@ -224,7 +225,7 @@ SQL = {
         r as (select doc_id, row_number() over (partition by doc_id order by ordinal) as rank, printf('P001-L%04d', ordinal) as line_id, count(*) over (partition by doc_id) as in_all from free)
         select * from r where rank <= 30""",
     "j16_retry_context": f"""with {LINES_SQL}, t as (select *, length(line) % 11 = 0 as target from lines)
-        select distinct a.doc_id, a.pos from t a join t b on a.doc_id = b.doc_id and b.target and abs(a.pos - b.pos) <= 3 where not a.target""",
+        select distinct a.doc_id, a.pos from t a join t b on a.doc_id = b.doc_id and b.target and abs(a.pos - b.pos) <= 3 where not a.target and length(a.line) % 13 <> 0""",
     "j17_blocked_source": f"with {QUOTED_SQL} select doc_id, printf('P001-L%04d', ordinal) as line_id from inventory where line_key in (select line_key from hits)",
     "p4_script_share": r"""with n as (select doc_id, length(regexp_replace(text, '[^À-ÿ]', '', 'g'))::double as a, length(regexp_replace(text, '\s', '', 'g')) as b from documents)
         select doc_id, round(case when b > 0 then a / b else 0 end, 6) as share, (case when b > 0 then a / b else 0 end) >= 0.08 as appears from n""",

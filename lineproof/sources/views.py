@@ -59,3 +59,22 @@ def cases_sql(expected: list[str | None]) -> str:
     """The SQL that lists what is expected of each order's row."""
     texts = ", ".join("null" if e is None else "'" + e.replace("'", "''") + "'" for e in expected)
     return f"select o_orderkey as notice_id, (o_orderkey % {len(expected)})::int as kase, replace(list_extract([{texts}], o_orderkey % {len(expected)} + 1)::varchar, '{{n}}', (o_orderkey % 900 + 100)::varchar) as found from orders"
+
+
+def case_rows(spark: SparkSession, sf_dir: str, groups: list[list[tuple]], *names: str) -> DataFrame:
+    """(notice_id, kase, i, names...): every order with the rows of one of the groups in turn; {n} as in cases."""
+    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 900 + 100
+    kase = (F.col("o_orderkey") % len(groups)).cast("int")
+    kind = f"array<array<struct<{','.join(f'{c}:string' for c in names)}>>>"
+    held = F.array(*[F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(names, row, strict=True)]) for row in g]) for g in groups]).cast(kind)
+    rows = o.select(F.col("o_orderkey").alias("notice_id"), n.cast("string").alias("n"), kase.alias("kase"), F.posexplode(F.element_at(held, kase + 1)).alias("i", "row"))
+    return rows.select("notice_id", "kase", "i", *[F.replace(F.col("row")[c], F.lit("{n}"), F.col("n")).alias(c) for c in names])
+
+
+def case_rows_sql(groups: list[list[str | None]]) -> str:
+    """(notice_id, kase, i, found) of what is expected of each group's rows."""
+    text = lambda e: "null" if e is None else "'" + e.replace("'", "''") + "'"
+    lists = ", ".join("[" + ", ".join(map(text, g)) + "]::varchar[]" for g in groups)
+    k = f"o_orderkey % {len(groups)}"
+    return f"""with g as (select o_orderkey, list_extract([{lists}], {k} + 1) as found from orders)
+        select o_orderkey as notice_id, ({k})::int as kase, unnest(range(len(found)))::int as i, replace(unnest(found), '{{n}}', (o_orderkey % 900 + 100)::varchar) as found from g"""

@@ -100,13 +100,12 @@ def correlated(requests: DataFrame, responses: DataFrame, seconds: int = 45) ->
 
 
 def requested_once(stream: DataFrame, key: str = "doc_id", base: str | None = None) -> DataFrame:
-    """Hashes of distinct lines, each landed by the first micro-batch that holds it: later ones drop what the table has."""
-    chunks = L.source_lines(stream, key).select(F.sha2("line", 256).alias("chunk_id"))
-
-    def new(rows: DataFrame, earlier: DataFrame) -> DataFrame:
-        return rows.distinct().join(earlier, "chunk_id", "left_anti")
+    """Hashes of distinct lines, each landed by the first micro-batch that holds it.
 
-    return landed(chunks, before=new, base=base).select("chunk_id").distinct()
+    The state store keeps the hashes seen, dealt by hash, so that a micro-batch reads its own lines alone.
+    """
+    chunks = L.source_lines(stream, key).select(F.sha2("line", 256).alias("chunk_id"))
+    return landed(chunks.dropDuplicates(["chunk_id"]), base=base).select("chunk_id")
 
 
 def current_status(stages: list[DataFrame], key: str, base: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from lineproof import registry
 from tools.compare import plain
 
 SF = "/root/testdata/sf0.001"
+#: Order-dependent or recursive rules that SQL cannot say, or not on whole tables; tests/test_pages.py holds them to brute force.
+WITHOUT_SQL = {"u3_group_closure", "w5_grids", "w7_paragraphs", "w16_regions", "j23_related_crops"}
 
 
 @pytest.fixture(scope="module")
@@ -20,10 +22,11 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert registry.queries().keys() - registry.oracle_sql().keys() == WITHOUT_SQL
+    assert registry.oracle_sql().keys() <= registry.queries().keys()
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, db, name):
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
