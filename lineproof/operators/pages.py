@@ -7,10 +7,10 @@ building carry a little state down one page and run as grouped maps, a page a gr
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,23 +29,43 @@ CELL_FORMS = [
 PROTECTED = r"문의|연락|제외|불가|금지|휴학|지원|[0-9][~–-][0-9].*명|만원|https?://|@"
 
 
-def grouped(units: DataFrame, fold: Callable[[pd.DataFrame], list[tuple]], columns: str) -> DataFrame:
-    """(notice_id, page_number, ord, columns...) of what fold gives for the units of each page."""
-    names = ["notice_id", "page_number", "ord", *[c.split()[0] for c in columns.split(", ")]]
+def grouped(units: DataFrame, fold: Callable[[list[dict]], list[tuple]], columns: str) -> DataFrame:
+    """(notice_id, page_number, ord, columns...) of what fold gives for the units of each page.
 
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *row) for row in fold(page)], columns=names)
-
-    return units.groupBy(*PAGE).applyInPandas(run, f"{KEYS}, {columns}")
+    Pages come one behind the other in sorted partitions, so that thousands of small ones cost one Arrow stream; a task
+    holds one page at a time.
+    """
+    kinds = {"int": pa.int32(), "string": pa.string()}
+    parts = [("notice_id", pa.int64()), ("page_number", pa.int32()), ("ord", pa.int32()), *[(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")]]
+    schema = pa.schema(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, page = None, []
+        for b in batches:
+            out = []
+            for u in b.to_pylist():
+                if (now := (u["notice_id"], u["page_number"])) != key:
+                    out += [(*key, *row) for row in fold(page)] if page else []
+                    key, page = now, []
+                page.append(u)
+            yield batch_of(out)
+        if page:
+            yield batch_of([(*key, *row) for row in fold(page)])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    typed = units.withColumn("notice_id", F.col("notice_id").cast("long"))
+    return typed.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, f"{KEYS}, {columns}")
 
 
 def rows_by_centre(units: DataFrame, share: float = 0.55) -> DataFrame:
     """(page, ord, row): a unit joins the row before it where its centre lies within share of the taller height, its own or
     the row's median, of the row's median centre."""
 
-    def fold(page: pd.DataFrame) -> list[tuple]:
+    def fold(page: list[dict]) -> list[tuple]:
         out, row, centres, heights = [], 0, [], []
-        units = zip(page["y"].tolist(), page["h"].tolist(), page["x"].tolist(), page["ord"].tolist(), strict=True)
+        units = [(u["y"], u["h"], u["x"], u["ord"]) for u in page]
         for y, h, _, n in sorted(units, key=lambda u: (2 * u[0] + u[1], u[2], u[3])):
             if not centres or abs(2 * y + h - median(centres)) > 2 * share * max(h, median(heights)):
                 row, centres, heights = row + 1, [], []
@@ -79,8 +99,8 @@ def grids(units: DataFrame) -> DataFrame:
     it. Labels without a value at its end are left out, and some cell must hold a value.
     """
 
-    def fold(page: pd.DataFrame) -> list[tuple]:
-        cells = page.sort_values(["row", "segment", "x", "ord"]).to_dict("records")
+    def fold(page: list[dict]) -> list[tuple]:
+        cells = sorted(page, key=lambda c: (c["row"], c["segment"], c["x"], c["ord"]))
         segments: list[list[dict]] = []
         for c in cells:
             c["c2"] = 2 * c["x"] + c["w"]
@@ -146,11 +166,11 @@ def paragraphs(units: DataFrame) -> DataFrame:
     open at their edge and start a section. A line at another edge leaves open paragraphs open.
     """
 
-    def fold(page: pd.DataFrame) -> list[tuple]:
+    def fold(page: list[dict]) -> list[tuple]:
         out = []
-        for column, part in page.groupby("column", sort=True):
-            section, opened = -int(column), []
-            for u in part.sort_values(["y", "x", "ord"]).to_dict("records"):
+        for column in sorted({u["column"] for u in page}):
+            section, opened = -column, []
+            for u in sorted((u for u in page if u["column"] == column), key=lambda u: (u["y"], u["x"], u["ord"])):
                 kind, typical = u["kind"], u["typical"]
                 opened = [o for o in opened if u["y"] - o["bottom"] <= 0.8 * typical]
                 fits = [o for o in opened if abs(u["x"] - o["x"]) < 45 and u["y"] - o["bottom"] >= -0.5 * max(u["h"], o["h"])]
@@ -255,8 +275,8 @@ def regions(units: DataFrame) -> DataFrame:
     list mark) and values (printed values).
     """
 
-    def fold(page: pd.DataFrame) -> list[tuple]:
-        spans = page.to_dict("records")
+    def fold(page: list[dict]) -> list[tuple]:
+        spans = page
         over = lambda a, b, p, s: max(0, min(a[p] + a[s], b[p] + b[s]) - max(a[p], b[p]))
 
         def repeats(a: dict, b: dict) -> bool:
@@ -359,10 +379,10 @@ def related_crops(units: DataFrame, score: Column, most: int = 4, share: float =
     """(page, ord, crop): hard units in the order of their score claim what shares their block or lies over them, at most so
     many crops a page. units: with block; score null for units that are not hard."""
 
-    def fold(page: pd.DataFrame) -> list[tuple]:
-        units, used, out, n = page.to_dict("records"), set(), [], 0
+    def fold(page: list[dict]) -> list[tuple]:
+        units, used, out, n = page, set(), [], 0
         over = lambda a, b: max(0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])) * max(0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
-        for u in sorted((u for u in units if u["score"] == u["score"] and u["score"] is not None), key=lambda u: (-u["score"], u["ord"])):
+        for u in sorted((u for u in units if u["score"] is not None), key=lambda u: (-u["score"], u["ord"])):
             if u["ord"] in used or n == most:
                 continue
             mine = [c for c in units if c["ord"] not in used and (c is u or c["block"] == u["block"] or over(u, c) >= share * min(u["w"] * u["h"], c["w"] * c["h"]))]
