@@ -53,7 +53,11 @@ def fitted(rows: DataFrame, sample_rows: int, fit: Callable[[np.ndarray], bytes]
     def run(key: tuple, group: pa.Table) -> pa.Table:
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([fit(matrix(group)[1])], pa.binary())})
 
-    return stored(rows.withColumn("n", least).filter(F.col("n") <= sample_rows).groupBy("dim").applyInArrow(run, "dim int, model binary"), "vector-models")
+    # One count a dimension tells from which hash on a row cannot be among the least: few more than are taken move.
+    counts = {r.dim: r["count"] for r in rows.groupBy("dim").count().collect()}
+    share = F.element_at(F.create_map(*[x for dim, n in counts.items() for x in (F.lit(dim), F.lit(4.0 * sample_rows / n))]), F.col("dim")) if counts else F.lit(0.0)
+    near = rows.filter(F.shiftrightunsigned(F.xxhash64("vec_id"), 24) < share * 2.0**40)
+    return stored(near.withColumn("n", least).filter(F.col("n") <= sample_rows).groupBy("dim").applyInArrow(run, "dim int, model binary"), "vector-models")
 
 
 def indexed(rows: DataFrame, models: DataFrame, build: Callable[[bytes, np.ndarray, np.ndarray], dict[str, bytes]], columns: list[str], row_block: int = ROW_BLOCK) -> DataFrame:

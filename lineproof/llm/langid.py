@@ -251,11 +251,22 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def fit_ids(docs: DataFrame) -> DataFrame:
+    return docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+
+
 def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_runs: int = TRAIN_RUNS, train_words: int = TRAIN_WORDS) -> list[tuple[str, str]]:
     """(language, run of words) to fit on, of labelled documents that are not held out; both bounds hold a language."""
-    fit = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    fit = fit_ids(docs).filter(F.col("text").rlike(r"\p{L}"))
     least = lambda *by: F.row_number().over(Window.partitionBy("lang").orderBy(*by))
-    picked = fit.select("doc_id", "lang", "text").withColumn("n", least(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")).filter(F.col("n") <= train_docs)
+    # One count a language tells from which hash on a document cannot be among the least: few more than are taken move.
+    counts = {r.lang: r["count"] for r in fit_ids(docs).groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    draw = F.xxhash64(F.col("doc_id").cast("string"))
+    share = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(4.0 * train_docs / n))]), F.col("lang"))
+    near = F.shiftrightunsigned(draw, 24) < share * 2.0**40
+    picked = fit.filter(near).select("doc_id", "lang", "text").withColumn("n", least(draw, "doc_id", "text")).filter(F.col("n") <= train_docs)
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / train_words)), lambda i: F.array_join(F.slice("w", (i * train_words + 1).cast("int"), train_words), " "))
     cut = picked.withColumn("w", words).select("doc_id", "lang", F.posexplode(runs).alias("place", "run"))
