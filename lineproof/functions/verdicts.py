@@ -53,7 +53,7 @@ SUPPORTED_CELL = r"^\s*지원\s*을?\s*받는\s*(학생\s*및\s*팀|학생|팀)\
 def closed_cell(text: Column) -> Column:
     """English of a cell that is wholly of one closed form; null for other cells."""
     part = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    amount = F.format_number(V.amounts(F.concat(part(FUNDING_CELL, 3), part(FUNDING_CELL, 4), F.lit("원")))[0], 0)
+    amount = F.format_number(F.get(V.amounts(F.concat(part(FUNDING_CELL, 3), part(FUNDING_CELL, 4), F.lit("원"))), F.lit(0)), 0)
     kind = F.when(part(FUNDING_CELL, 1) == "연구비", "Research").otherwise("Activity")
     funding = F.concat(kind, F.lit(" funding: "), F.when(part(FUNDING_CELL, 2) != "", "up to ").otherwise(""), F.lit("KRW "), amount, F.lit(" per person."))
     term = F.when(part(ENROLLED_CELL, 2) == "1", " in the first semester").when(part(ENROLLED_CELL, 2) == "2", " in the second semester").otherwise("")

@@ -94,7 +94,7 @@ def evidence_pairs(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", quot
     parts = F.filter(F.transform(X.lines(F.col("text")), solid), lambda x: x != "")
     q = quotes.select(F.col(quote_id).alias("quote_id"), parts.alias("parts"))
     texts = docs.select(F.col(key).alias("text_id"), solid(F.col("text")).alias("text_key"))
-    single = contained_quotes(texts, q.filter(F.size("parts") == 1).select("quote_id", F.col("parts")[0].alias("quote_key")).distinct())
+    single = contained_quotes(texts, q.filter(F.size("parts") == 1).select("quote_id", F.get("parts", F.lit(0)).alias("quote_key")).distinct())
     several = q.filter(F.size("parts") > 1).withColumn("whole", F.size(F.array_distinct("parts"))).select("quote_id", "whole", F.explode("parts").alias("line")).groupBy("quote_id", "whole", "line").agg(F.count(F.lit(1)).alias("need"))
     lines = docs.select(F.col(key).alias("text_id"), F.explode(parts).alias("line")).join(several.select("line").distinct(), "line", "left_semi").groupBy("text_id", "line").agg(F.count(F.lit(1)).alias("have"))
     every = lines.join(several, "line").filter("have >= need").groupBy("text_id", "quote_id", "whole").count().filter("count = whole").select("text_id", "quote_id")

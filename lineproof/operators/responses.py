@@ -33,7 +33,7 @@ def evidence_matches(evidence: Column, page: Column) -> Column:
     need, have = evidence_lines(evidence), evidence_lines(page)
     times = lambda all_lines, x: F.size(F.filter(all_lines, lambda y: y == x))
     several = F.forall(F.array_distinct(need), lambda x: times(have, x) >= times(need, x))
-    return F.when(F.size(need) == 0, False).when(F.size(need) == 1, F.contains(L.solid(page), need[0])).otherwise(several)
+    return F.when(F.size(need) == 0, False).when(F.size(need) == 1, F.contains(L.solid(page), F.get(need, F.lit(0)))).otherwise(several)
 
 
 def combined_evidence(first: Column, second: Column) -> Column:
@@ -113,8 +113,8 @@ def recognised(images: DataFrame, key: str, recognise: Callable[[bytes], list[di
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for k, image in zip(f[key], f["content"], strict=True):
-                found = recognise(bytes(image or b""))
-                yield pd.DataFrame({key: [k] * len(found), "ord": range(len(found)), "text": [u["text"] for u in found], "score": [float(u["score"]) for u in found], "box": [u["box"] for u in found]})
+                if found := recognise(bytes(image or b"")):
+                    yield pd.DataFrame({key: [k] * len(found), "ord": range(len(found)), "text": [u["text"] for u in found], "score": [float(u["score"]) for u in found], "box": [u["box"] for u in found]})
 
     kind = images.schema[key].dataType.simpleString()
     return images.select(key, "content").mapInPandas(run, f"{key} {kind}, ord int, text string, score double, box array<int>")
