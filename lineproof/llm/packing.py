@@ -25,7 +25,7 @@ from lineproof.llm.shared import batch, groups_for, sliced
 CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 40_000
-CACHE_ROWS = 150_000
+CACHE_ROWS, DOCS_EACH = 240_000, 256
 WORD = re.compile(r"([a-zß-öø-ÿ]+)([.,]?)")
 MARK = "\x01"
 VOCABULARY = "word_bpe_49k.json"
@@ -44,6 +44,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -64,29 +65,31 @@ class Encoder:
     def plain_words(self, words: list[str]) -> list[bytes]:
         """Ids of single pre-tokens: ASCII letters go straight to the merge model, others through the whole tokenizer."""
         out = dict(zip(others := [w for w in words if not w.isascii()], self.separate(others), strict=True))
-        merge = self.tokenizer.model.tokenize
-        return [out[w] if w in out else b"".join([t.id.to_bytes(4, "little") for t in merge(w)]) for w in words]
+        merge, raw = self.tokenizer.model.tokenize, self.raw
+        return [out[w] if w in out else b"".join([raw[t.id] for t in merge(w)]) for w in words]
 
     def learn(self, chunks: set[str]) -> None:
         """Afterwards the young generation has every chunk; a word and the same word with a stop share the look-up."""
         if len(self.young) > CACHE_ROWS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        parts, words, odd = {}, set(), []
-        for c in chunks:
-            if c in young:
-                continue
-            if c in old:
-                young[c] = old[c]
-            elif m := WORD.fullmatch(c.lower()):
+        missing = chunks.difference(young)
+        # difference() looks keys up in a dictionary, intersection() would walk through it.
+        fresh = missing.difference(old)
+        again = missing.difference(fresh)
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        parts, odd, split = {}, [], WORD.fullmatch
+        for c in fresh:
+            if m := split(c.lower()):
                 parts[c] = m.groups()
-                words.add(m[1])
-                words.add(m[2])
             else:
                 odd.append(c)
+        words = {x for pair in parts.values() for x in pair}
         words.discard("")
-        known = {w: ids for w in words if (ids := young.get(w) or old.get(w)) is not None}
-        new = [w for w in words if w not in known]
+        rest = words.difference(young)
+        new = list(rest.difference(old))
+        known = {w: young[w] for w in words.difference(rest)}
+        known.update((w, old[w]) for w in rest.difference(new))
         known.update(zip(new, self.plain_words(new), strict=True), **{"": b""})
         young.update(zip(odd, self.separate(odd), strict=True))
         young.update((c, known[word] + known[stop]) for c, (word, stop) in parts.items())
@@ -97,8 +100,8 @@ class Encoder:
         odd = sorted(set(range(len(texts))).difference(plain))
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        for at in range(0, len(plain), 64):
-            some = {i: texts[i].split() for i in plain[at : at + 64]}
+        for at in range(0, len(plain), DOCS_EACH):
+            some = {i: texts[i].split() for i in plain[at : at + DOCS_EACH]}
             self.learn(set().union(*some.values()))
             for i, chunks in some.items():
                 out[i] = b"".join(map(self.young.__getitem__, chunks))
@@ -111,7 +114,7 @@ def _pieces(path: str | None, capacity: int):
 
         encoder = Encoder(path or public_tokenizers.path(VOCABULARY))
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for b in sliced(batches, "text", 1 << 20):
+        for b in sliced(batches, "text", 2 << 20):
             cols: dict[str, list] = {f.name: [] for f in PIECES}
             texts = [t or "" for t in b.column("text").to_pylist()]
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
