@@ -11,7 +11,6 @@ input are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import struct
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ from lineproof.llm.shared import batch, sliced
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_ROWS = 250_000
-ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -116,17 +115,13 @@ def _encoded(path: str | None, pattern: str | None):
 
         bpe = ByteBpe(read_ranks(path or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN)
         for b in sliced(batches, "text", 1 << 20):
-            n, ids_sha, text_sha = [], [], []
-            for ids in bpe.encode([t or "" for t in b.column("text").to_pylist()]):
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield batch(ENCODED, doc_id=b.column("doc_id"), n_tokens=n, ids_sha256=ids_sha, decoded_sha256=text_sha)
+            ids = bpe.encode([t or "" for t in b.column("text").to_pylist()])
+            yield batch(ENCODED, doc_id=b.column("doc_id"), n_tokens=[len(x) // 4 for x in ids], ids=ids, decoded=[bpe.decode(x) for x in ids])
 
     return run
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """A row per document: number of ids, digest of the ids, digest of the bytes they decode to."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_encoded(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """(doc_id, n_tokens, ids, decoded) of every document: ids as little-endian 32-bit integers, and the bytes they decode to."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(_encoded(path, pattern), "doc_id long, n_tokens long, ids binary, decoded binary")

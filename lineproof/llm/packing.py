@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineproof.llm.shared import batch, groups_for, sliced
+from lineproof.llm.shared import batch, groups_for, sliced, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,6 +33,8 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Characters for which white space always separates pre-tokens and normalisation is by character; others take whole texts.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ňŊ-ſ]*")
+#: The byte-level alphabet: bytes that print stand for themselves, the others in order for the signs from 256 on.
+BYTE_SIGNS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class Encoder:
@@ -63,13 +65,13 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def plain_words(self, words: list[str]) -> list[bytes]:
-        """Ids of single pre-tokens: ASCII letters go straight to the merge model, others through the whole tokenizer."""
-        out = dict(zip(others := [w for w in words if not w.isascii()], self.separate(others), strict=True))
+        """Ids of single pre-tokens of lower-case Latin letters: their bytes, as the byte-level alphabet writes them, go straight to the merge model."""
         merge, raw = self.tokenizer.model.tokenize, self.raw
-        return [out[w] if w in out else b"".join([raw[t.id] for t in merge(w)]) for w in words]
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_SIGNS) for w in words]
+        return [b"".join([raw[t.id] for t in merge(w)]) for w in shown]
 
     def learn(self, chunks: set[str]) -> None:
-        """Afterwards the young generation has every chunk; a word and the same word with a stop share the look-up."""
+        """Afterwards the young generation has every chunk, in lower case; a word and the same word with a stop share the look-up."""
         if len(self.young) > CACHE_ROWS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -80,7 +82,7 @@ class Encoder:
         young.update(zip(again, map(old.__getitem__, again), strict=True))
         parts, odd, split = {}, [], WORD.fullmatch
         for c in fresh:
-            if m := split(c.lower()):
+            if m := split(c):
                 parts[c] = m.groups()
             else:
                 odd.append(c)
@@ -101,29 +103,31 @@ class Encoder:
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         for at in range(0, len(plain), DOCS_EACH):
-            some = {i: texts[i].split() for i in plain[at : at + DOCS_EACH]}
+            some = {i: texts[i].lower().split() for i in plain[at : at + DOCS_EACH]}
             self.learn(set().union(*some.values()))
             for i, chunks in some.items():
                 out[i] = b"".join(map(self.young.__getitem__, chunks))
         return out
 
 
-def _pieces(path: str | None, capacity: int):
+def _pieces(path: str | None, capacity: int, with_ids: bool = False):
+    schema = PIECES.append(pa.field("ids", pa.binary())) if with_ids else PIECES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         encoder = Encoder(path or public_tokenizers.path(VOCABULARY))
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in sliced(batches, "text", 2 << 20):
-            cols: dict[str, list] = {f.name: [] for f in PIECES}
+            cols: dict[str, list] = {f.name: [] for f in schema}
             texts = [t or "" for t in b.column("text").to_pylist()]
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for name, value in zip(cols, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    for name, value in zip(cols, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
                         cols[name].append(value)
-            yield batch(PIECES, **cols)
+            yield batch(schema, **cols)
 
     return run
 
@@ -179,10 +183,30 @@ def _pack(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """A row per piece: its place in its document, its length and CRC, and its sequence and offset there."""
-    groups = groups_for(docs, group_rows)
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, capacity), ddl)
+PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def placed(pieces: DataFrame, capacity: int, groups: int) -> DataFrame:
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(_pack(capacity), PACKED)
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """A row per piece: its place in its document, its length and CRC, and its sequence and offset there."""
+    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(path, capacity), PIECES_DDL)
+    return placed(pieces, capacity, groups_for(docs, group_rows))
+
+
+def sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(sequence_id, length, ids): the packed sequences themselves, ids as little-endian 32-bit integers.
+
+    Tokens are stored once with a number a piece; the packing sees the numbers, and the tokens meet their place by them.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    told = stored(rows.mapInArrow(_pieces(path, capacity, True), f"{PIECES_DDL}, ids binary").withColumn("number", F.monotonically_increasing_id()), "packing-pieces")
+    # The number takes the document's place, so that pieces of equal documents are told apart.
+    numbered = told.select(F.col("number").alias("doc_id"), "piece", "start", "length", "ids_crc32")
+    places = placed(numbered, capacity, groups_for(docs, group_rows)).select(F.col("doc_id").alias("number"), "sequence_id", "offset")
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    whole = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    return told.join(places, "number").groupBy("sequence_id").agg(F.sum("length").alias("length"), whole.alias("ids"))

@@ -37,7 +37,8 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+    found = bpe.encode_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:

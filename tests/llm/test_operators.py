@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineproof.llm import ann, archive, bpe, langid, licenses, lines, neardup, packing, pii, topk
+from lineproof.llm import ann, archive, bpe, langid, licenses, lines, neardup, packing, pii, queries, topk
 from lineproof.llm.mph import MinimalPerfectHash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -236,6 +236,11 @@ def test_packing(spark, docs):
         assert at <= 4096
     assert len(by_seq) <= -(-sum(r.length for r in rows) // 4096) + 1
     assert packing.pack(df.filter("false")).count() == 0
+    twice = df.filter("doc_id < 20").unionByName(df.filter("doc_id < 20"))
+    whole = [np.frombuffer(r.ids, "<u4") for r in packing.sequences(twice).collect()]
+    assert all(len(w) <= 4096 for w in whole)
+    want = sorted((i for r in twice.collect() for i in [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]))
+    assert sorted(np.concatenate(whole).tolist()) == want
 
 
 def test_best_fit_equals_brute_force():
@@ -270,7 +275,7 @@ def test_encoder_equals_the_tokenizer():
         assert ids == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
-def test_byte_bpe(spark, docs):
+def test_byte_bpe(spark, docs, sf):
     import public_tokenizers
     import tiktoken
 
@@ -280,7 +285,10 @@ def test_byte_bpe(spark, docs):
     texts = {r.doc_id: r.text or "" for r in df.collect()}
     for r in bpe.encode_documents(df).collect():
         ids = enc.encode_ordinary(texts[r.doc_id])
-        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+        assert (r.n_tokens, bytes(r.ids), bytes(r.decoded)) == (len(ids), np.array(ids, "<u4").tobytes(), texts[r.doc_id].encode())
+    row = queries.op7_byte_bpe(spark, sf).filter("doc_id = 0").first()
+    ids = np.array(enc.encode_ordinary(texts[0]), "<u4").tobytes()
+    assert row.ids_sha256 == hashlib.sha256(ids).hexdigest() and row.decoded_sha256 == hashlib.sha256(texts[0].encode()).hexdigest()
 
 
 def recall(vectors, found, k=20):
