@@ -80,17 +80,20 @@ def test_only_link_of_dense_groups(spark):
 
 
 def test_dense_family_loses_no_link(spark):
-    """Pairs at similarity 0.86 inside one family at 0.80: every text has one true partner among hundreds of near misses."""
+    """Pairs at similarity 0.85 to 0.87 inside one family at about 0.80: every text has one true partner among hundreds of near misses."""
     rng, texts = random.Random(21), []
     base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
-    slots = range(3, 597, 3)
     for i in range(150):
-        own = rng.sample(slots, 22)
+        own = rng.sample(range(3, 597, 3), 19)
         for half in range(2):
-            mine = set(own[:15] + rng.sample(sorted(set(slots) - set(own)), 0)) | {own[15 + half]}
-            texts.append(" ".join(f"c{i}x{at}" if at in set(own[:15]) else f"d{i}x{half}x{at}" if at in mine else w for at, w in enumerate(base)))
+            new = {at: f"c{i}x{at}" for at in own[:3]} | {at: f"d{i}x{half}x{at}" for at in own[3 + 8 * half : 11 + 8 * half - i % 2]}
+            texts.append(" ".join(new.get(at, w) for at, w in enumerate(base)))
+    sets = [{tuple(w[k : k + 3]) for k in range(598)} for w in map(str.split, texts)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert all(0.85 <= alike(sets[i], sets[i + 1]) <= 0.875 for i in range(0, 300, 2))
+    assert 0.79 <= min(alike(sets[0], s) for s in sets[2:]) and sum(alike(sets[0], s) for s in sets[2:]) / 298 < 0.82
     want = {d: c for d, (_, c) in brute_components(list(enumerate(texts))).items()}
-    assert {c: sum(x == c for x in want.values()) for c in want.values()} == {2 * i: 2 for i in range(150)}
+    assert len(set(want.values())) > 130
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, *texts)).collect()} == want
 
 
