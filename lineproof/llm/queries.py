@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineproof.llm import ann, archive, bpe, langid, licenses, lines, neardup, packing, pii, topk
+from lineproof.llm import alignment, ann, archive, bpe, langid, lexical, licenses, lines, neardup, packing, pii, substrings, topk
 from lineproof.llm.shared import table
 
 
@@ -53,9 +53,26 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.key_of(spark)).select("doc_id", "n_entities", "text")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeats_removed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_archive_converter, op4_language_id, op5_best_fit_packing, op6_exact_top_k, op7_byte_bpe, op8_anisotropic_search, op9_license_scan, op10_surrogates)
-}
+    f.__name__: f
+    for f in (
+        op1_near_duplicates, op2_line_dedup, op3_archive_converter, op4_language_id, op5_best_fit_packing, op6_exact_top_k, op7_byte_bpe, op8_anisotropic_search, op9_license_scan, op10_surrogates,
+        op11_substring_dedup, op12_ranked_search, op13_token_alignment,
+    )
+}
 
 SQL: dict[str, str] = {
     "op1_near_duplicates": r"""
@@ -100,4 +117,29 @@ SQL: dict[str, str] = {
             from scaled q join scaled c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
         ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
         select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 10""",
+    "op11_substring_dedup": r"""
+        with cut as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+        windows as (select doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) as g
+            from (select doc_id, w, unnest(range(greatest(len(w) - 49, 0))) as i from cut)),
+        lost as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by g) as low from windows) where doc_id > low),
+        covered as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) as p from lost)),
+        words as (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from cut),
+        marked as (select words.*, covered.p is not null as gone from words left join covered using (doc_id, p)),
+        kept as (select doc_id, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by p) filter (where not gone) as t from marked group by doc_id)
+        select cut.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from cut left join kept using (doc_id)""",
+    "op12_ranked_search": r"""
+        with cut as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents where text is not null),
+        docs as (select doc_id, w, len(w)::bigint as n from cut where len(w) > 0),
+        stats as (select count(*)::bigint as nn, sum(n)::bigint as ll from docs),
+        tf as (select doc_id, n, t, count(*)::bigint as tf from (select doc_id, n, unnest(w) as t from docs) group by all),
+        df as (select t, count(*)::bigint as df from tf group by t),
+        items as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+        weighted as (select item_id, t, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint as w from items join df using (t), stats),
+        scored as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::bigint as score
+            from weighted join tf using (t), stats group by all),
+        ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+        select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 50""",
 }
