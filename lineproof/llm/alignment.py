@@ -22,6 +22,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -35,6 +36,8 @@ from lineproof.llm.shared import batch, sliced, stored
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CACHE_ROWS = 120_000
+#: Longer chunks and those with line ends are aligned one by one, the others CHUNKS_EACH at a time.
+PLAIN_CHARS, CHUNKS_EACH = 400, 8192
 FLUSH_PAIRS = 1 << 17
 SHARD_PAIRS = 1 << 18
 PROBE_PAIRS = 1 << 20
@@ -52,7 +55,7 @@ class Chunk(NamedTuple):
     n_b: int
     n_groups: int
     groups: str
-    links: Counter
+    links: bytes
 
 
 class Aligner:
@@ -67,61 +70,100 @@ class Aligner:
         self.a = Tokenizer.from_file(byte_path or public_tokenizers.path(BYTE_VOCABULARY))
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path or public_tokenizers.path(PIECE_VOCABULARY))
-        self.a_bytes = {i: bytes(map(SIGN_BYTES.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in SIGN_BYTES for c in t)}
+        self.a_bytes = {i: bytes(map(SIGN_BYTES.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)]
-        if any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}", p) for p in pieces):
-            raise ValueError("a piece crosses from a word into a space")
-        ends = " " if any("\n" in p for p in pieces) else r" \n"
-        self.cut = re.compile(rf"\s*\S+(?:[^\S{ends}]\s*(?:\S+|\Z))*|\s+").findall
-        self.young: dict[str, Chunk] = {}
-        self.old: dict[str, Chunk] = {}
-
-    def piece_ids(self, chunks: list[str]) -> list[list[int]]:
-        """B's ids of chunks as they stand inside a text: behind a line end, whose own tokens go."""
-        return [ids[2:] for ids in self.b.encode(["\n" + c for c in chunks], num_threads=1)]
+        self.b_bytes = dict(enumerate(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)))
+        if any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}|\n", p) for p in pieces):
+            raise ValueError("a piece crosses from a word into a space or holds a line end")
+        self.end_a, self.end_b = self.a.encode("\n", add_special_tokens=False).ids, self.b.encode("\n")[1:]
+        n = 1 + max(*self.a_bytes, *self.b_bytes)
+        self.sizes_a, self.sizes_b = (np.fromiter((len(x.get(i, b"")) for i in range(n)), np.int64, n) for x in (self.a_bytes, self.b_bytes))
+        self.next_group, self.next_id, self.other_side = (np.array([f"{sign}{i}" for i in range(n)], object) for sign in ";,|")
+        self.cut = re.compile(r"\s*\S+(?:[^\S \n]\s*(?:\S+|\Z))*|\s+").findall
+        self.young: dict[str, Chunk | None] = {}
+        self.old: dict[str, Chunk | None] = {}
 
     def align(self, text: str, a: list[int], b: list[int]) -> Chunk | None:
         """Groups between the offsets where tokens of both end; None where the tokens do not spell the text."""
-        raw_a, raw_b = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(raw_a) == b"".join(raw_b) == text.encode():
+        a_bytes, b_bytes, raw = self.a_bytes, self.b_bytes, text.encode()
+        if b"".join([a_bytes[i] for i in a]) != raw or b"".join([b_bytes[i] for i in b]) != raw:
             return None
-        ends_a, ends_b = np.cumsum([len(x) for x in raw_a]), np.cumsum([len(x) for x in raw_b])
-        both = np.intersect1d(ends_a, ends_b)
-        cuts_a, cuts_b = np.searchsorted(ends_a, both, "right").tolist(), np.searchsorted(ends_b, both, "right").tolist()
-        shown, links, i, j = [], Counter(), 0, 0
-        for to_a, to_b in zip(cuts_a, cuts_b, strict=True):
-            own_a, own_b, i, j = a[i:to_a], b[j:to_b], to_a, to_b
+        shown, links = [], []
+        i = j = end_a = end_b = 0
+        while i < len(a):
+            from_a, from_b = i, j
+            end_a, end_b, i, j = end_a + len(a_bytes[a[i]]), end_b + len(b_bytes[b[j]]), i + 1, j + 1
+            while end_a != end_b:
+                if end_a < end_b:
+                    end_a, i = end_a + len(a_bytes[a[i]]), i + 1
+                else:
+                    end_b, j = end_b + len(b_bytes[b[j]]), j + 1
+            own_a, own_b = a[from_a:i], b[from_b:j]
             shown.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-            if len(own_a) == len(own_b) == 1:
-                links[own_a[0] << 32 | own_b[0]] += 1
-                continue
-            count_b = Counter(own_b)
-            for x, n in Counter(own_a).items():
-                for y, m in count_b.items():
-                    links[x << 32 | y] += n * m
-        return Chunk(len(a), len(b), len(shown), ";".join(shown), links)
+            links += [x << 32 | y for x in own_a for y in own_b]
+        return Chunk(len(a), len(b), len(shown), ";".join(shown), np.array(links, np.int64).tobytes())
+
+    def align_plain(self, chunks: list[str]) -> list[Chunk] | None:
+        """Chunks that begin with a space and hold no line end, in one text with a line end before each; None where that text is not spelt by its tokens."""
+        text = "\n" + "\n".join(chunks) + "\n"
+        end, ids_b, raw = self.end_a, self.b.encode(text)[1:], text.encode()
+        ids_a = [*end, *chain.from_iterable(chain(e.ids, end) for e in self.a.encode_batch_fast(chunks, add_special_tokens=False))]
+        if b"".join(map(self.a_bytes.__getitem__, ids_a)) != raw or b"".join(map(self.b_bytes.__getitem__, ids_b)) != raw:
+            return None
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        at_a, at_b = np.flatnonzero(a == self.end_a[0]), np.flatnonzero(b == self.end_b[0])
+        if not len(at_a) == len(at_b) == len(chunks) + 1:
+            return None
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        mark = np.zeros(len(raw) + 1, bool)
+        mark[ends_a] = True
+        both = ends_b[mark[ends_b]]
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        first_b = np.searchsorted(group_b, np.arange(len(both)))
+        n_b = np.bincount(group_b, minlength=len(both))
+        # Every A token meets the B tokens of its group.
+        each = n_b[group_a]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        nth = np.arange(upto[-1]) - np.repeat(upto[:-1], each)
+        links = (np.repeat(a, each) << 32 | b[np.repeat(first_b[group_a], each) + nth]).tobytes()
+        new_a, new_b = (np.concatenate([[True], g[1:] != g[:-1]]) for g in (group_a, group_b))
+        signs = np.concatenate([np.where(new_a, self.next_group[a], self.next_id[a]), np.where(new_b, self.other_side[b], self.next_id[b])])
+        signs = signs[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        shown, sizes = "".join(signs), np.concatenate([[0], np.cumsum(np.fromiter(map(len, signs), np.int64, len(signs)))])
+        # A line end is one token of each: its two signs come just before those of its chunk.
+        from_sign, to_sign = sizes[(at_a + at_b)[:-1] + 2].tolist(), sizes[(at_a + at_b)[1:]].tolist()
+        from_link, to_link = (8 * upto[at_a[:-1] + 1]).tolist(), (8 * upto[at_a[1:]]).tolist()
+        counts = zip((np.diff(at_a) - 1).tolist(), (np.diff(at_b) - 1).tolist(), (np.diff(group_a[at_a]) - 1).tolist(), from_sign, to_sign, from_link, to_link, strict=True)
+        return [Chunk(x, y, z, shown[i + 1 : j], links[k:m]) for x, y, z, i, j, k, m in counts]
 
     def learn(self, chunks: set[str]) -> None:
         """Afterwards the young generation has every chunk; None stands for one that is not spelt by its tokens."""
         if len(self.young) > CACHE_ROWS:
             self.old, self.young = self.young, {}
         missing = chunks.difference(self.young)
-        fresh = list(missing.difference(self.old))
+        fresh = missing.difference(self.old)
         for c in missing.difference(fresh):
             self.young[c] = self.old[c]
-        a = self.a.encode_batch_fast(fresh, add_special_tokens=False)
-        for c, x, y in zip(fresh, a, self.piece_ids(fresh), strict=True):
-            self.young[c] = self.align(c, x.ids, y)
-
-    def documents(self, texts: list[str | None]) -> Iterator[list[tuple[Chunk, int]] | tuple[list[Chunk], list[tuple[Chunk, int]]]]:
-        """Of each text its chunks in order, and its different chunks with their number; two empty lists where it has no tokens."""
+        plain = [c for c in fresh if c[0] == " " and "\n" not in c and len(c) <= PLAIN_CHARS and not c[-1].isspace()]
+        odd = list(fresh.difference(plain))
+        for at in range(0, len(plain), CHUNKS_EACH):
+            some = plain[at : at + CHUNKS_EACH]
+            if (found := self.align_plain(some)) is None:
+                odd += some
+            else:
+                self.young.update(zip(some, found, strict=True))
+        # Behind a line end, whose own tokens go, B's ids of a chunk are those inside a text.
+        ids_a, ids_b = self.a.encode_batch_fast(odd, add_special_tokens=False), self.b.encode(["\n" + c for c in odd], num_threads=1)
+        for c, x, y in zip(odd, ids_a, ids_b, strict=True):
+            self.young[c] = self.align(c, x.ids, y[2:])
+
+    def documents(self, texts: list[str | None]) -> Iterator[list[Chunk]]:
+        """Of each text its chunks in order; none where it has no tokens."""
         cut = [self.cut(" " + t) if t else [] for t in texts]
         self.learn(set().union(*cut))
         for chunks in cut:
-            found = Counter(chunks)
-            told = [(self.young[c], n) for c, n in found.items()]
-            yield ([], []) if any(x is None for x, _ in told) else ([self.young[c] for c in chunks], told)
+            told = [self.young[c] for c in chunks]
+            yield [] if None in told else told
 
 
 def _counted(paths: tuple):
@@ -137,11 +179,14 @@ def _counted(paths: tuple):
             return pa.RecordBatch.from_pydict({"part": [part], "keys": [keys[order].tobytes()], "counts": [counts.tobytes()]})
 
         for b in sliced(batches, "text", 1 << 20):
-            for _, told in aligner.documents(b.column("text").to_pylist()):
-                held.update(set().union(*[c.links for c, _ in told]))
-                if len(held) >= FLUSH_PAIRS:
-                    yield flushed()
-                    held, part = Counter(), part + 1
+            raw = [b"".join([c.links for c in chunks]) for chunks in aligner.documents(b.column("text").to_pylist())]
+            pairs, which = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
+            doc = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+            counts = np.bincount(np.unique(doc * max(1, len(pairs)) + which) % max(1, len(pairs)), minlength=len(pairs))
+            held.update(dict(zip(pairs.tolist(), counts.tolist(), strict=True)))
+            if len(held) >= FLUSH_PAIRS:
+                yield flushed()
+                held, part = Counter(), part + 1
         if held:
             yield flushed()
 
@@ -258,18 +303,15 @@ def _aligned(paths: tuple, shards: int):
         for b in sliced(batches, "text", 1 << 20):
             cols: dict[str, list] = {f.name: [] for f in ALIGNED}
             numbers, keys, times = [], [], []
-            for doc_id, (chunks, told) in zip(b.column("doc_id").to_pylist(), aligner.documents(b.column("text").to_pylist()), strict=True):
-                links: dict[int, int] = {}
-                for c, n in told:
-                    for pair, m in c.links.items():
-                        links[pair] = links.get(pair, 0) + n * m
-                sums = [sum(c[i] * n for c, n in told) for i in range(3)]
+            for doc_id, chunks in zip(b.column("doc_id").to_pylist(), aligner.documents(b.column("text").to_pylist()), strict=True):
+                links, n = np.unique(np.frombuffer(b"".join([c.links for c in chunks]), np.int64), return_counts=True)
+                sums = [sum([c[i] for c in chunks]) for i in range(3)]
                 digest = hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest() if chunks else ""
-                for name, value in zip(cols, (number, doc_id, *sums, sum(links.values()), digest, None, None, None, None, None), strict=True):
+                for name, value in zip(cols, (number, doc_id, *sums, int(n.sum()), digest, None, None, None, None, None), strict=True):
                     cols[name].append(value)
                 numbers.append(np.full(len(links), number, np.int64))
-                keys.append(np.fromiter(links.keys(), np.int64, len(links)))
-                times.append(np.fromiter(links.values(), np.int64, len(links)))
+                keys.append(links)
+                times.append(n)
                 number += 1
             number_of, key, time = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (numbers, keys, times))
             to = shard_of(key, shards)
@@ -317,7 +359,7 @@ def groups_of(docs: DataFrame, paths: tuple = (None, None)) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*paths)
         for b in sliced(batches, "text", 1 << 20):
-            shown = [";".join([c.groups for c in chunks]) for chunks, _ in aligner.documents(b.column("text").to_pylist())]
+            shown = [";".join([c.groups for c in chunks]) for chunks in aligner.documents(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "groups": shown})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, groups string")
