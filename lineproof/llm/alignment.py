@@ -7,8 +7,9 @@ The second pass aligns the documents again and sends the pairs of a batch, packe
 are looked up; what comes back is summed by document. Shards with many look-ups are copied, so a task holds about
 PROBE_PAIRS of them whatever pair is in every text.
 
-Neither tokenizer joins a character that is not white space with a space or line end after it, so texts are cut there
-and chunks are aligned once a worker, in a bounded cache. A line end counts only where no piece of B holds one.
+Neither tokenizer joins a character that is not white space with a space or line end after it, nor a Latin letter with
+a stop, so texts are cut there and chunks are aligned once a worker, in a bounded cache. B's pieces are searched for
+such joins when it is opened: without cuts before stops where there is one, and not at all where spaces are joined.
 
 Defined cases: a null or empty text, and one whose joined token bytes differ from a space and the text, has no tokens,
 zeros and an empty digest; repeated rows and rows without doc_id are documents of their own; an empty table gives no
@@ -35,7 +36,8 @@ from lineproof.llm.mph import MinimalPerfectHash, mix
 from lineproof.llm.shared import batch, sliced, stored
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CACHE_ROWS = 120_000
+CACHE_ROWS = 200_000
+SLICE_BYTES = 2 << 20
 #: Longer chunks and those with line ends are aligned one by one, the others CHUNKS_EACH at a time.
 PLAIN_CHARS, CHUNKS_EACH = 400, 8192
 FLUSH_PAIRS = 1 << 17
@@ -46,40 +48,44 @@ SPACE_SIGN = "▁"
 #: The byte-level alphabet: bytes that print stand for themselves, the others in order for the signs from 256 on.
 SIGN_BYTES = {chr(b): b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
 SIGN_BYTES |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if chr(b) not in SIGN_BYTES)}
+BYTE_SIGNS = {b: c for c, b in SIGN_BYTES.items()}
+#: Latin letters, and the signs that end a word for A whatever follows; B's pieces are searched for such ends.
+LETTERS, STOPS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
 ALIGNED = pa.schema([("number", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("shard", pa.int32()), ("size", pa.int64()), ("rows", pa.binary()), ("keys", pa.binary()), ("times", pa.binary())])
 ALIGNED_DDL = "number long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, shard int, size long, rows binary, keys binary, times binary"
 
 
 class Chunk(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
     groups: str
     links: bytes
 
 
 class Aligner:
-    """Alignments of chunks of texts, kept in two generations of a bounded cache."""
+    """Alignments of chunks of texts, kept in two generations of a bounded cache; groups only where they are asked for."""
 
-    def __init__(self, byte_path: str | None, piece_path: str | None):
+    def __init__(self, byte_path: str | None, piece_path: str | None, with_groups: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_path or public_tokenizers.path(BYTE_VOCABULARY))
+        self.a, self.with_groups = Tokenizer.from_file(byte_path or public_tokenizers.path(BYTE_VOCABULARY)), with_groups
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path or public_tokenizers.path(PIECE_VOCABULARY))
         self.a_bytes = {i: bytes(map(SIGN_BYTES.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = dict(enumerate(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)))
-        if any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}|\n", p) for p in pieces):
+        spelt = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        if any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}|\n", p) for p in spelt):
             raise ValueError("a piece crosses from a word into a space or holds a line end")
         self.end_a, self.end_b = self.a.encode("\n", add_special_tokens=False).ids, self.b.encode("\n")[1:]
         n = 1 + max(*self.a_bytes, *self.b_bytes)
         self.sizes_a, self.sizes_b = (np.fromiter((len(x.get(i, b"")) for i in range(n)), np.int64, n) for x in (self.a_bytes, self.b_bytes))
-        self.next_group, self.next_id, self.other_side = (np.array([f"{sign}{i}" for i in range(n)], object) for sign in ";,|")
-        self.cut = re.compile(r"\s*\S+(?:[^\S \n]\s*(?:\S+|\Z))*|\s+").findall
+        self.next_group, self.next_a, self.next_b, self.other_side = (np.array([f"{sign}{i}" for i in range(n)], object) for sign in ";,.|")
+        whole = r"\s*\S+(?:[^\S \n]\s*(?:\S+|\Z))*|\s+"
+        stop = any(re.search(f"[{LETTERS}][{STOPS}]", p) for p in spelt)
+        self.cut = re.compile(whole if stop else rf"\s*[{LETTERS}]+(?=[{STOPS}])|{whole}").findall
         self.young: dict[str, Chunk | None] = {}
         self.old: dict[str, Chunk | None] = {}
 
@@ -99,19 +105,27 @@ class Aligner:
                 else:
                     end_b, j = end_b + len(b_bytes[b[j]]), j + 1
             own_a, own_b = a[from_a:i], b[from_b:j]
-            shown.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
+            if self.with_groups:
+                shown.append(",".join(map(str, own_a)) + "|" + ".".join(map(str, own_b)))
             links += [x << 32 | y for x in own_a for y in own_b]
-        return Chunk(len(a), len(b), len(shown), ";".join(shown), np.array(links, np.int64).tobytes())
+        return Chunk(";".join(shown), np.array(links, np.int64).tobytes())
+
+    def byte_ids(self, chunks: list[str]) -> list[list[int]]:
+        """A's ids; a word of Latin letters is one pre-token and goes straight to the merge model, as its byte-level signs."""
+        words, merge = [c for c in chunks if WORD(c)], self.a.model.tokenize
+        found = {w: [t.id for t in merge(w.encode().decode("latin-1").translate(BYTE_SIGNS))] for w in words}
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, [e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
+        return [found[c] for c in chunks]
 
     def align_plain(self, chunks: list[str]) -> list[Chunk] | None:
-        """Chunks that begin with a space and hold no line end, in one text with a line end before each; None where that text is not spelt by its tokens."""
-        text = "\n" + "\n".join(chunks) + "\n"
-        end, ids_b, raw = self.end_a, self.b.encode(text)[1:], text.encode()
-        ids_a = [*end, *chain.from_iterable(chain(e.ids, end) for e in self.a.encode_batch_fast(chunks, add_special_tokens=False))]
+        """Chunks without a line end or other white space at their ends than spaces before, in one text with a line end before each; None where that text is not spelt by its tokens."""
+        text, end = "\n" + "\n".join(chunks) + "\n", self.end_a
+        ids_a, ids_b, raw = [*end, *chain.from_iterable(chain(ids, end) for ids in self.byte_ids(chunks))], self.b.encode(text)[1:], text.encode()
         if b"".join(map(self.a_bytes.__getitem__, ids_a)) != raw or b"".join(map(self.b_bytes.__getitem__, ids_b)) != raw:
             return None
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        at_a, at_b = np.flatnonzero(a == self.end_a[0]), np.flatnonzero(b == self.end_b[0])
+        at_a, at_b = np.flatnonzero(a == end[0]), np.flatnonzero(b == self.end_b[0])
         if not len(at_a) == len(at_b) == len(chunks) + 1:
             return None
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
@@ -126,15 +140,16 @@ class Aligner:
         upto = np.concatenate([[0], np.cumsum(each)])
         nth = np.arange(upto[-1]) - np.repeat(upto[:-1], each)
         links = (np.repeat(a, each) << 32 | b[np.repeat(first_b[group_a], each) + nth]).tobytes()
+        cut = [links[i:j] for i, j in zip((8 * upto[at_a[:-1] + 1]).tolist(), (8 * upto[at_a[1:]]).tolist(), strict=True)]
+        if not self.with_groups:
+            return [Chunk("", x) for x in cut]
         new_a, new_b = (np.concatenate([[True], g[1:] != g[:-1]]) for g in (group_a, group_b))
-        signs = np.concatenate([np.where(new_a, self.next_group[a], self.next_id[a]), np.where(new_b, self.other_side[b], self.next_id[b])])
+        signs = np.concatenate([np.where(new_a, self.next_group[a], self.next_a[a]), np.where(new_b, self.other_side[b], self.next_b[b])])
         signs = signs[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
         shown, sizes = "".join(signs), np.concatenate([[0], np.cumsum(np.fromiter(map(len, signs), np.int64, len(signs)))])
         # A line end is one token of each: its two signs come just before those of its chunk.
-        from_sign, to_sign = sizes[(at_a + at_b)[:-1] + 2].tolist(), sizes[(at_a + at_b)[1:]].tolist()
-        from_link, to_link = (8 * upto[at_a[:-1] + 1]).tolist(), (8 * upto[at_a[1:]]).tolist()
-        counts = zip((np.diff(at_a) - 1).tolist(), (np.diff(at_b) - 1).tolist(), (np.diff(group_a[at_a]) - 1).tolist(), from_sign, to_sign, from_link, to_link, strict=True)
-        return [Chunk(x, y, z, shown[i + 1 : j], links[k:m]) for x, y, z, i, j, k, m in counts]
+        froms, to = sizes[(at_a + at_b)[:-1] + 2].tolist(), sizes[(at_a + at_b)[1:]].tolist()
+        return [Chunk(shown[i + 1 : j], x) for i, j, x in zip(froms, to, cut, strict=True)]
 
     def learn(self, chunks: set[str]) -> None:
         """Afterwards the young generation has every chunk; None stands for one that is not spelt by its tokens."""
@@ -142,9 +157,9 @@ class Aligner:
             self.old, self.young = self.young, {}
         missing = chunks.difference(self.young)
         fresh = missing.difference(self.old)
-        for c in missing.difference(fresh):
-            self.young[c] = self.old[c]
-        plain = [c for c in fresh if c[0] == " " and "\n" not in c and len(c) <= PLAIN_CHARS and not c[-1].isspace()]
+        again = missing.difference(fresh)
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        plain = [c for c in fresh if "\n" not in c and len(c) <= PLAIN_CHARS and (c[0] == " " or not c[0].isspace()) and not c[-1].isspace()]
         odd = list(fresh.difference(plain))
         for at in range(0, len(plain), CHUNKS_EACH):
             some = plain[at : at + CHUNKS_EACH]
@@ -157,20 +172,21 @@ class Aligner:
         for c, x, y in zip(odd, ids_a, ids_b, strict=True):
             self.young[c] = self.align(c, x.ids, y[2:])
 
-    def documents(self, texts: list[str | None]) -> Iterator[list[Chunk]]:
-        """Of each text its chunks in order; none where it has no tokens."""
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[str, np.ndarray]]:
+        """Of each text its groups, B's ids with points between them, and its links; none where it has no tokens."""
         cut = [self.cut(" " + t) if t else [] for t in texts]
         self.learn(set().union(*cut))
         for chunks in cut:
             told = [self.young[c] for c in chunks]
-            yield [] if None in told else told
+            groups, links = zip(*told, strict=True) if told and None not in told else ((), ())
+            yield ";".join(groups) if self.with_groups else "", np.frombuffer(b"".join(links), np.int64)
 
 
 def _counted(paths: tuple):
     """Flushes of sorted distinct pairs with the number of documents that hold each linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, held, part = Aligner(*paths), Counter(), TaskContext.get().partitionId() << 32
+        aligner, held, part = Aligner(*paths, with_groups=False), Counter(), TaskContext.get().partitionId() << 32
 
         def flushed() -> pa.RecordBatch:
             keys = np.fromiter(held.keys(), np.int64, len(held))
@@ -178,11 +194,9 @@ def _counted(paths: tuple):
             counts = np.fromiter(held.values(), np.int64, len(held))[order]
             return pa.RecordBatch.from_pydict({"part": [part], "keys": [keys[order].tobytes()], "counts": [counts.tobytes()]})
 
-        for b in sliced(batches, "text", 1 << 20):
-            raw = [b"".join([c.links for c in chunks]) for chunks in aligner.documents(b.column("text").to_pylist())]
-            pairs, which = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
-            doc = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
-            counts = np.bincount(np.unique(doc * max(1, len(pairs)) + which) % max(1, len(pairs)), minlength=len(pairs))
+        for b in sliced(batches, "text", SLICE_BYTES):
+            found = [np.unique(links) for _, links in aligner.documents(b.column("text").to_pylist())]
+            pairs, counts = np.unique(np.concatenate(found), return_counts=True)
             held.update(dict(zip(pairs.tolist(), counts.tolist(), strict=True)))
             if len(held) >= FLUSH_PAIRS:
                 yield flushed()
@@ -300,14 +314,15 @@ def _aligned(paths: tuple, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = Aligner(*paths), TaskContext.get().partitionId() << 40
-        for b in sliced(batches, "text", 1 << 20):
+        for b in sliced(batches, "text", SLICE_BYTES):
             cols: dict[str, list] = {f.name: [] for f in ALIGNED}
             numbers, keys, times = [], [], []
-            for doc_id, chunks in zip(b.column("doc_id").to_pylist(), aligner.documents(b.column("text").to_pylist()), strict=True):
-                links, n = np.unique(np.frombuffer(b"".join([c.links for c in chunks]), np.int64), return_counts=True)
-                sums = [sum([c[i] for c in chunks]) for i in range(3)]
-                digest = hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest() if chunks else ""
-                for name, value in zip(cols, (number, doc_id, *sums, int(n.sum()), digest, None, None, None, None, None), strict=True):
+            for doc_id, (groups, found) in zip(b.column("doc_id").to_pylist(), aligner.documents(b.column("text").to_pylist()), strict=True):
+                links, n = np.unique(found, return_counts=True)
+                n_groups = groups.count("|")
+                digest = hashlib.sha256(groups.replace(".", ",").encode()).hexdigest() if groups else ""
+                row = (number, doc_id, n_groups + groups.count(","), n_groups + groups.count("."), n_groups, len(found), digest)
+                for name, value in zip(cols, (*row, None, None, None, None, None), strict=True):
                     cols[name].append(value)
                 numbers.append(np.full(len(links), number, np.int64))
                 keys.append(links)
@@ -358,8 +373,8 @@ def groups_of(docs: DataFrame, paths: tuple = (None, None)) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*paths)
-        for b in sliced(batches, "text", 1 << 20):
-            shown = [";".join([c.groups for c in chunks]) for chunks in aligner.documents(b.column("text").to_pylist())]
+        for b in sliced(batches, "text", SLICE_BYTES):
+            shown = [groups.replace(".", ",") for groups, _ in aligner.documents(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "groups": shown})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, groups string")
