@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,18 +100,54 @@ def closure(edges: DataFrame, scratch) -> DataFrame:
 
 
 def contaminated(cites: DataFrame, unverified: DataFrame, scratch) -> DataFrame:
-    """Lines reached from unverified lines through items that cite them, until the number is stable. cites: (item, line)."""
-    seen = scratch(unverified.select("line").distinct())
-    n = seen.count()
-    while True:
-        items = cites.join(seen, "line", "left_semi").select("item").distinct()
-        lines = cites.join(items, "item", "left_semi").select("line").distinct()
-        seen = scratch(seen.unionByName(lines).distinct())
-        if (now := seen.count()) == n:
-            return seen
-        n = now
-
-
+    """Lines reached from unverified lines through items that cite them. cites: (item, line).
+
+    Each round follows only what the one before it found: new lines reach new items, those reach new lines, and the
+    table of reached items and lines is asked once for each new one. The rows moved fall with the frontier, so a long
+    chain costs its length in small rounds, not in scans of all that is seen. scratch cuts the lineage of a round.
+    """
+    fresh = scratch(unverified.select("line").distinct())
+    parts, items = [fresh], []
+    while not fresh.isEmpty():
+        found = cites.join(fresh, "line", "left_semi").select("item").distinct()
+        for seen in items:
+            found = found.join(seen, "item", "left_anti")
+        found = scratch(found)
+        items = [*items, found] if len(items) < FRONTIERS else [scratch(reduce(DataFrame.unionByName, [*items, found]))]
+        fresh = cites.join(found, "item", "left_semi").select("line").distinct()
+        for seen in parts:
+            fresh = fresh.join(seen, "line", "left_anti")
+        fresh = scratch(fresh)
+        parts = [*parts, fresh] if len(parts) < FRONTIERS else [scratch(reduce(DataFrame.unionByName, [*parts, fresh]))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def active_requests(requests: DataFrame, key: str, most: int = 2, slice_seconds: int = 86_400) -> DataFrame:
+    """(event_id, key, n_active, over_active): how many requests of a key run when one starts, itself included.
+
+    requests: (event_id, key, started, ended) in microseconds; one that ends as another starts runs no more, one that
+    ends no later than it starts runs at no time but counts itself. A sweep over starts and ends: each key is cut into
+    slices of time, the slices' totals run up as carries, and inside a slice the changes do; so a task sorts one slice of
+    a key, however many requests the key has.
+    """
+    width = slice_seconds * 1_000_000
+    change = F.explode(F.array(F.struct(F.col("started").alias("at"), F.lit(1).alias("n"), F.col("event_id").alias("start")), F.struct(F.col("ended").alias("at"), F.lit(-1).alias("n"), F.lit(None).cast("long").alias("start"))))
+    runs = F.col("ended") > F.col("started")
+    changes = requests.filter(runs).select(key, change.alias("c")).select(key, "c.*")
+    alone = requests.filter(~runs).select(key, F.col("started").alias("at"), F.lit(0).alias("n"), F.col("event_id").alias("start"))
+    rows = changes.unionByName(alone).withColumn("slice", F.floor(F.col("at") / width))
+    totals = rows.groupBy(key, "slice").agg(F.sum("n").alias("net"))
+    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(key, "slice", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("carry"))
+    # Starts of one moment see each other; ends come first.
+    upto = Window.partitionBy(key, "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.withColumn("inside", F.sum("n").over(upto)).filter("start is not null").join(carried, [key, "slice"])
+    n = F.col("carry") + F.col("inside") + F.when(F.col("n") == 0, 1).otherwise(0)
+    return swept.select(F.col("start").alias("event_id"), key, n.cast("long").alias("n_active"), (n > most).alias("over_active"))
+
+
+#: Frontiers held apart before they become one table.
+FRONTIERS = 8
 #: The collections of a notice that hold grounded items, in their fixed order.
 COLLECTIONS = ("audience", "eligibility", "exceptions", "warnings", "consequences", "locations", "fees", "financial_support", "links", "key_details", "actions", "deadlines", "required_documents", "contacts", "conditional_groups")
 

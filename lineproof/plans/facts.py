@@ -143,6 +143,13 @@ def w15_trailing_requests(spark, sf):
     return A.trailing_counts(table(spark, sf, "events"), "user_id", 3600, 6)
 
 
+def w15b_active_requests(spark, sf):
+    """Requests that run for as many minutes as their value says."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf, "events").select("event_id", "user_id", at.alias("started"), (at + F.floor(F.col("value") * 60).cast("long") * 1_000_000).alias("ended"))
+    return A.active_requests(rows, "user_id", 2)
+
+
 def u3_group_closure(spark, sf):
     edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b"))
     return A.closure(edges, stored)
@@ -188,7 +195,7 @@ def c10_display_records(spark, sf):
     return e.select("user_id").distinct().join(shown, "user_id", "left").select("user_id", F.when(F.col("last_view").isNotNull(), "list,page").otherwise("list").alias("destinations"))
 
 
-QUERIES = {f.__name__: f for f in (s8_latest_snapshot, s9_payload_lookup, s10_study_rows, s11_safe_csv, j4_fact_references, j6_reconciled_responses, j24_contamination, j26_context_expansion, p13_page_quality, p23_templates, p25_support_verdicts, a3_fidelity, a4_study_metrics, a5_study_rollup, a6_acquisition, a7_token_usage, a16_assignment_audit, a18_coverage_lists, w8_renumbered, w15_trailing_requests, k1_newest_notices, u2_flattened_items, u3_group_closure, u4_batch_merge, u5_retry_sets, f28_digest, c7_result, c10_display_records)}
+QUERIES = {f.__name__: f for f in (s8_latest_snapshot, s9_payload_lookup, s10_study_rows, s11_safe_csv, j4_fact_references, j6_reconciled_responses, j24_contamination, j26_context_expansion, p13_page_quality, p23_templates, p25_support_verdicts, a3_fidelity, a4_study_metrics, a5_study_rollup, a6_acquisition, a7_token_usage, a16_assignment_audit, a18_coverage_lists, w8_renumbered, w15_trailing_requests, w15b_active_requests, k1_newest_notices, u2_flattened_items, u3_group_closure, u4_batch_merge, u5_retry_sets, f28_digest, c7_result, c10_display_records)}
 
 FACTS_SQL = """facts as (select o_orderkey % 500 as notice_id, o_orderkey as fact_id, o_orderpriority in ('1-URGENT', '2-HIGH') as critical from orders),
     items as (select l_orderkey % 500 as notice_id, case when l_partkey % 97 = 0 then l_orderkey + 10000000 else l_orderkey end as fact_id from lineitem),
@@ -236,6 +243,8 @@ SQL = {
     "w8_renumbered": """select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)::int as step from lineitem where l_discount > 0.02""",
     "w15_trailing_requests": """with e as (select event_id, user_id, ts from events), n as (select *, count(*) over (partition by user_id order by ts range between interval 3600 seconds preceding and current row) as n_recent from e)
         select event_id, user_id, n_recent, n_recent > 6 as over_rate from n""",
+    "w15b_active_requests": """with r as (select event_id, user_id, epoch_us(ts) as a, epoch_us(ts) + floor(value * 60)::bigint * 1000000 as b from events)
+        select x.event_id, x.user_id, count(*) as n_active, count(*) > 2 as over_active from r x join r y on x.user_id = y.user_id and (y.event_id = x.event_id or (y.a <= x.a and y.b > x.a)) group by 1, 2""",
     "k1_newest_notices": "select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey",
     "u2_flattened_items": f"select l_orderkey as notice_id, ({list(A.COLLECTIONS)})[l_partkey % 15 + 1] as field, l_linenumber as n, l_returnflag || '-' || l_suppkey as text from lineitem",
     "u4_batch_merge": """select 'batch-' || (o_orderkey % 4) || '-' as batch, count(*) as n, sum(o_custkey % 50)::bigint as ms, max('batch-' || (o_orderkey % 4) || '-' || o_orderkey) as last_block from orders group by 1""",
