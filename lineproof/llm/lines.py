@@ -16,9 +16,11 @@ n_lines and n_dropped, which give way.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lineproof.llm.mph import MinimalPerfectHash
 from lineproof.llm.shared import ASCII_SPACE, ascii_lower, marked, stored
@@ -38,10 +40,14 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def hashed(line: Column) -> Column:
-    """Hash pair of a line's key; null for keys too short to count."""
-    key = line_key(line)
-    return F.when(F.length(key) >= MIN_CHARS, F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("fp")))
+def hashed(key: Column) -> Column:
+    """Hash pair of a line's key."""
+    return F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("fp"))
+
+
+def keys_of(text: Column) -> Column:
+    """The different keys of a text's lines that are long enough to count; strings are told apart by a hash set, structs by pairs."""
+    return F.array_distinct(F.filter(F.transform(lines_of(text), line_key), lambda k: F.length(k) >= MIN_CHARS))
 
 
 def _build(key: tuple, group: pa.Table) -> pa.Table:
@@ -88,7 +94,7 @@ def line_shards(occurrences: DataFrame, shards: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, drops): structs (h, fp) of the lines that a document loses."""
-    hashes = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("text")), hashed)))
+    hashes = F.transform(keys_of(F.col("text")), hashed)
     found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), hashes.alias("keys"))
     whole = stored(found, "line-keys")
     # Rows of one doc_id, where there are any, become one document.
@@ -108,6 +114,19 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_rows: int = S
     return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h", "fp")).alias("drops"))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _staying(h: pd.Series, fp: pd.Series, lost_h: pd.Series, lost_fp: pd.Series) -> pd.Series:
+    """Places of the lines whose hash pair is not among the lost ones; a text without losses asks nothing."""
+
+    def one(a, b, c, d):
+        if c is None:
+            return None
+        lost = set(zip(c.tolist(), d.tolist(), strict=True))
+        return [i for i, pair in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if pair not in lost]
+
+    return pd.Series([one(*row) for row in zip(h, fp, lost_h, lost_fp, strict=True)], dtype=object)
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped beside their own columns.
 
@@ -119,9 +138,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     told = marked(rows, "id", drops.select("doc_id"), "asked")
     asked = told.filter("asked").join(drops.withColumnRenamed("doc_id", "loser"), F.col("id") == F.col("loser"), "left").drop("loser", "asked")
     same = told.filter("not asked").drop("asked").withColumn("drops", F.lit(None).cast(drops.schema["drops"].dataType))
-    both = asked.unionByName(same)
     lines = lines_of(F.col("whole"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), hashed(x)), F.lit(False)))
-    kept = F.when(F.col("drops").isNull(), lines).otherwise(kept)
+    # Of a text that loses lines, the places that stay come from one look-up a line in a set of its drops.
+    pairs = F.transform(lines, lambda x: hashed(line_key(x)))
+    stay = _staying(F.transform(pairs, lambda p: p["h"]), F.transform(pairs, lambda p: p["fp"]), F.col("drops.h"), F.col("drops.fp"))
+    kept = F.transform("stay", lambda i: F.get(lines, i))
+    asked = asked.withColumn("stay", F.when(F.col("drops").isNotNull(), stay))
+    same = same.withColumn("stay", F.lit(None).cast("array<int>"))
+    both = asked.unionByName(same)
+    kept = F.when(F.col("stay").isNull(), lines).otherwise(kept)
     n = F.size(lines)
     return both.withColumn("kept", kept).select("row.*", F.array_join("kept", "\n").alias("kept_text"), n.cast("long").alias("n_lines"), (n - F.size("kept")).cast("long").alias("n_dropped"))
