@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType
 
 from lineproof.llm.mph import MinimalPerfectHash
 from lineproof.llm.shared import ASCII_SPACE, ascii_lower, marked, stored
@@ -114,15 +114,15 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_rows: int = S
     return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h", "fp")).alias("drops"))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
+@F.pandas_udf(ArrayType(BooleanType()))
 def _staying(h: pd.Series, fp: pd.Series, lost_h: pd.Series, lost_fp: pd.Series) -> pd.Series:
-    """Places of the lines whose hash pair is not among the lost ones; a text without losses asks nothing."""
+    """Whether each line stays: its hash pair is not among the lost ones. Null for a text without losses."""
 
     def one(a, b, c, d):
         if c is None:
             return None
         lost = set(zip(c.tolist(), d.tolist(), strict=True))
-        return [i for i, pair in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if pair not in lost]
+        return [pair not in lost for pair in zip(a.tolist(), b.tolist(), strict=True)]
 
     return pd.Series([one(*row) for row in zip(h, fp, lost_h, lost_fp, strict=True)], dtype=object)
 
@@ -139,13 +139,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     asked = told.filter("asked").join(drops.withColumnRenamed("doc_id", "loser"), F.col("id") == F.col("loser"), "left").drop("loser", "asked")
     same = told.filter("not asked").drop("asked").withColumn("drops", F.lit(None).cast(drops.schema["drops"].dataType))
     lines = lines_of(F.col("whole"))
-    # Of a text that loses lines, the places that stay come from one look-up a line in a set of its drops.
+    # Of a text that loses lines, one look-up a line in a set of its drops tells which stay.
     pairs = F.transform(lines, lambda x: hashed(line_key(x)))
     stay = _staying(F.transform(pairs, lambda p: p["h"]), F.transform(pairs, lambda p: p["fp"]), F.col("drops.h"), F.col("drops.fp"))
-    kept = F.transform("stay", lambda i: F.get(lines, i))
     asked = asked.withColumn("stay", F.when(F.col("drops").isNotNull(), stay))
-    same = same.withColumn("stay", F.lit(None).cast("array<int>"))
+    same = same.withColumn("stay", F.lit(None).cast("array<boolean>"))
     both = asked.unionByName(same)
-    kept = F.when(F.col("stay").isNull(), lines).otherwise(kept)
+    kept = F.when(F.col("stay").isNull(), lines).otherwise(F.filter(lines, lambda x, i: F.get("stay", i)))
     n = F.size(lines)
     return both.withColumn("kept", kept).select("row.*", F.array_join("kept", "\n").alias("kept_text"), n.cast("long").alias("n_lines"), (n - F.size("kept")).cast("long").alias("n_dropped"))
