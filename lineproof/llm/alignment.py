@@ -24,7 +24,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from lineproof.llm.mph import MinimalPerfectHash, mix
 from lineproof.llm.shared import batch, sliced, stored
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CACHE_ROWS = 200_000
+CACHE_ROWS = 130_000
 SLICE_BYTES = 2 << 20
 #: Longer chunks and those with line ends are aligned one by one, the others CHUNKS_EACH at a time.
 PLAIN_CHARS, CHUNKS_EACH = 400, 8192
@@ -56,9 +55,8 @@ ALIGNED = pa.schema([("number", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.
 ALIGNED_DDL = "number long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, shard int, size long, rows binary, keys binary, times binary"
 
 
-class Chunk(NamedTuple):
-    groups: str
-    links: bytes
+#: The groups of a chunk and its links. Plain tuples of texts and bytes leave the cyclic collector, which would walk a whole cache of objects.
+Chunk = tuple[str, bytes]
 
 
 class Aligner:
@@ -108,7 +106,7 @@ class Aligner:
             if self.with_groups:
                 shown.append(",".join(map(str, own_a)) + "|" + ".".join(map(str, own_b)))
             links += [x << 32 | y for x in own_a for y in own_b]
-        return Chunk(";".join(shown), np.array(links, np.int64).tobytes())
+        return ";".join(shown), np.array(links, np.int64).tobytes()
 
     def byte_ids(self, chunks: list[str]) -> list[list[int]]:
         """A's ids; a word of Latin letters is one pre-token and goes straight to the merge model, as its byte-level signs."""
@@ -121,7 +119,9 @@ class Aligner:
     def align_plain(self, chunks: list[str]) -> list[Chunk] | None:
         """Chunks without a line end or other white space at their ends than spaces before, in one text with a line end before each; None where that text is not spelt by its tokens."""
         text, end = "\n" + "\n".join(chunks) + "\n", self.end_a
-        ids_a, ids_b, raw = [*end, *chain.from_iterable(chain(ids, end) for ids in self.byte_ids(chunks))], self.b.encode(text)[1:], text.encode()
+        ids_a, raw = [*end, *chain.from_iterable(chain(ids, end) for ids in self.byte_ids(chunks))], text.encode()
+        # Each chunk for itself costs less than their text; the space that B sets before it goes.
+        ids_b = [*chain.from_iterable(ids[1:] for ids in self.b.encode(["\n" + c for c in chunks], num_threads=1)), *self.end_b]
         if b"".join(map(self.a_bytes.__getitem__, ids_a)) != raw or b"".join(map(self.b_bytes.__getitem__, ids_b)) != raw:
             return None
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
@@ -142,14 +142,14 @@ class Aligner:
         links = (np.repeat(a, each) << 32 | b[np.repeat(first_b[group_a], each) + nth]).tobytes()
         cut = [links[i:j] for i, j in zip((8 * upto[at_a[:-1] + 1]).tolist(), (8 * upto[at_a[1:]]).tolist(), strict=True)]
         if not self.with_groups:
-            return [Chunk("", x) for x in cut]
+            return [("", x) for x in cut]
         new_a, new_b = (np.concatenate([[True], g[1:] != g[:-1]]) for g in (group_a, group_b))
         signs = np.concatenate([np.where(new_a, self.next_group[a], self.next_a[a]), np.where(new_b, self.other_side[b], self.next_b[b])])
         signs = signs[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
         shown, sizes = "".join(signs), np.concatenate([[0], np.cumsum(np.fromiter(map(len, signs), np.int64, len(signs)))])
         # A line end is one token of each: its two signs come just before those of its chunk.
         froms, to = sizes[(at_a + at_b)[:-1] + 2].tolist(), sizes[(at_a + at_b)[1:]].tolist()
-        return [Chunk(shown[i + 1 : j], x) for i, j, x in zip(froms, to, cut, strict=True)]
+        return [(shown[i + 1 : j], x) for i, j, x in zip(froms, to, cut, strict=True)]
 
     def learn(self, chunks: set[str]) -> None:
         """Afterwards the young generation has every chunk; None stands for one that is not spelt by its tokens."""
