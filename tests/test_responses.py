@@ -57,7 +57,11 @@ def test_long_blocks_are_told_by_chunks(spark):
 
 
 def test_expansions_and_null_pairs(spark):
-    assert E._expanded("Use the SSD or an SSD", "SSD\n(Solid State Drive)") == "Use the SSD (Solid State Drive) or an SSD (Solid State Drive)"
-    assert E._expanded(None, "SSD (Solid State Drive)") is None and E._expanded("SSD", None) == "SSD"
+    cases = [
+        ("Use the SSD or an SSD", "SSD\n(Solid State Drive)", "Use the SSD (Solid State Drive) or an SSD (Solid State Drive)"), (None, "SSD (Solid State Drive)", None), ("SSD", None, "SSD"), ("An SSD [fast]", "SSD (Solid State Drive)", "An SSD [fast]"),
+        ("SSD and (solid state drive)", "SSD (Solid State Drive)", "SSD and (solid state drive)"), ("SSD (solid state drive)", "SSD (Solid State Drive)", "SSD (solid state drive)"), ("SSD, AI", "SSD (Solid State Drive) AI (Applied Ideas", "SSD (Solid State Drive), AI"),
+    ]
+    told = spark.createDataFrame(cases, "t string, e string, want string").select("want", E.expanded(F.col("t"), F.col("e")).alias("x")).collect()
+    assert [r.x for r in told] == [r.want for r in told]
     df = spark.createDataFrame([(None, "x"), ("x", None), (None, None)], "s string, e string")
     assert df.select(E.unit_issues(F.col("s"), F.col("e")).alias("x")).count() == 3
