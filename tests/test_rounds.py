@@ -67,3 +67,36 @@ def test_routes_of_titles_captions_and_lone_units(spark):
     assert {r.unit: (r.ending, r.refs) for r in ends.collect()} == {1: ("item", "key_details:0"), 2: ("item", "title"), 3: ("gap", "translation_view"), 4: ("fallback", "key_details:1"), 5: ("gap", "translation_view")}
     none, ends = O.routed_items(spark.createDataFrame([], unit), blocks.limit(0), spark.createDataFrame([], kind), stored)
     assert none.count() == 0 and ends.count() == 0
+
+
+def test_folds_of_repairs_into_primaries(spark):
+    from lineproof.operators import claims as A
+
+    kind = "notice_id long, item int, field string, rank int, page int, text string, evidence string, fact_ids array<int>, repair boolean, state string, image string"
+    rows = [
+        (1, 1, "fees", 0, 1, "A fee", "가 나", [1], False, "verified", "a"), (1, 2, "fees", 0, 1, "a  FEE", "가나", [2, 1], False, "verified", "b"), (1, 3, "links", 1, 1, "A fee", "다", [9], True, "needs_review", "a"),
+        (1, 4, "links", 1, 2, "A fee", "다", [8], True, "verified", "a"), (1, 5, "links", 1, 2, "A fee", "라", [7], True, "verified", "a"), (1, 6, "fees", 0, 1, "A fee", None, [6], False, "verified", None), (1, 7, "fees", 0, None, "A fee", "가 나", [], False, "verified", "a"),
+    ]
+    got = {r.item: (r.evidence, r.fact_ids, r.state, r.image, r.n) for r in A.folded_facts(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {
+        1: ("가 나\n다", [1, 2, 9], "needs_review", None, 3), 4: ("다\n라", [8, 7], "verified", "a", 2), 6: ("", [6], "verified", None, 1), 7: ("가 나", [], "verified", "a", 1),
+    }
+    assert A.folded_facts(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_quality_without_metrics(spark):
+    from lineproof.operators import claims as A
+
+    names = ("width", "height", "blur", "brightness", "glare", "coverage", "box_x", "box_y", "box_w", "box_h")
+    none = spark.createDataFrame([(None,) * len(names)], ", ".join(f"{n} double" for n in names))
+    assert A.page_quality(none).select("issues", "readable").first() == ([], True)
+
+
+def test_vocabulary_finds_inflected_words(spark):
+    from pyspark.sql import functions as F
+
+    from lineproof.functions import vocabulary as W
+
+    cases = [("교내", "for the on-campus students", []), ("교내", "within our university", []), ("교내", "for students", ["on-campus scope"]), ("불허하지", "x", []), ("연구 주제에 지원 을 받는", "students who received much public funding", []), (None, "x", []), ("최대", None, [])]
+    told = spark.createDataFrame(cases, "s string, e string, want array<string>").select("want", W.unmet(F.col("s"), F.col("e"), W.CONDITIONS).alias("x")).collect()
+    assert [r.x for r in told] == [r.want for r in told]
