@@ -3,14 +3,18 @@
 Emails, telephone numbers, IPv4 and IPv6 addresses, card numbers, IBANs, US social security numbers, access keys, quoted
 tokens, passwords and names are detected. All but names are replaced by a keyed permutation of the strings of their own
 format: each letter stays a letter of its script and case, each digit a digit, punctuation stays; card numbers and IBANs
-keep the state of their check digits, public addresses stay public, area codes keep a valid first digit. A permutation
+keep the state of their check digits, an address stays in its network of NETWORKS or public, a telephone number keeps
+its country and is one number however it is spaced; the American form without a country is of country 1. A permutation
 maps different entities to different surrogates and one entity always to the same, without any table. Emails count as
 equal whatever their case, which the surrogate takes from each mention.
 
-Names are found behind a title of TITLES, in Latin, Cyrillic or Greek script, and then wherever their tokens stand in
-the same text, titled or not. Each token (double-barrelled names have two) gets a keyed name of the gender that the title
-tells, of its script, in the case of the mention, with an accent where it had one, so that a surname alone still meets
-its full form. A corpus-wide check groups all surrogates and all names found, whatever their gender and script, and moves
+Names are found behind a title of TITLES, in Latin, Cyrillic or Greek script, PARTICLES between their tokens staying, and
+then wherever their tokens stand with a capital in the same text. A token that is an ordinary word too (one of ORDINARY,
+or in lower case somewhere in the text) is replaced without a title only beside another token of the names or before a
+word of SPEECH or a possessive. Each token (double-barrelled names have two) gets a keyed name of its gender, of its
+script, in the case of the mention, with an accent where it had one, so that a surname alone still meets its full form.
+The gender is the one that a title tells in the text; where none does, the one that titles of the whole corpus agree on
+for this token, so that Dr John meets Mr John; where they do not agree or are silent, none. A corpus-wide check groups all surrogates and all names found, whatever their gender and script, and moves
 on all but one of those that coincide; each move adds a syllable, so the stock never runs out.
 
 The key is the caller's. With it the permutations can be inverted, so it must not be published with the result.
@@ -26,6 +30,7 @@ from __future__ import annotations
 import ipaddress
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -49,15 +54,38 @@ DETECT = re.compile(
     r"|(?P<card>(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))"
 )
-#: Titles by the gender they tell; "" where they tell none.
+#: Titles by the gender they tell; "" where they tell none. Lower case counts where the language writes titles so.
 TITLES = {
     "Mr": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f",
     "Doña": "f", "Г-н": "m", "Господин": "m", "Г-жа": "f", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f", "Dr": "", "Prof": "", "Др": "",
+    "monsieur": "m", "señor": "m", "madame": "f", "señora": "f", "г-н": "m", "господин": "m", "г-жа": "f", "госпожа": "f", "κύριος": "m", "κυρία": "f",
 }
+UNTOLD = "?"
+GENDER_CODES = {1: "m", 2: "f"}
+#: Words between the tokens of a name; they stay.
+PARTICLES = "af al bin da das de del della der den di do dos du el ibn la las le los ten ter van von vom zu zum zur".split()
+#: English and German words that are names too.
+ORDINARY = set(
+    """art banks baker bell best bill bishop black booth bright brook brown bush butler carpenter chance chase clay cook cross day dean dawn drew english faith field fisher ford forest fox frank french
+    gold good grace grant gray green hall hand hill holly hope house hunter ivy jack jean joy judge july june king knight lake lane law little long love major march mark marsh may miller mills moore
+    north page park parks penny pope price rich rivers rob rose sharp short singer smart snow south spring star stone strong summer taylor trade turner wall ward waters weaver welsh west white will wise
+    wolf wood woods words young groß jung klein koch kurz lang richter schwarz sommer stark stein vogt weber weiß winter wolf""".split()
+)
+#: Words of speech behind a mention.
+SPEECH = re.compile(r"['’]s\b|,? (?:said|says|asked|asks|told|called|calls|wrote|writes|replied|added|answered|sagte|sagt|fragte|schrieb|rief)\b")
+#: Networks of addresses that are not public, by their first address and the bits within; an address stays in its own.
+NETWORKS = [("0.0.0.0", 24), ("10.0.0.0", 24), ("127.0.0.0", 24), ("169.254.0.0", 16), ("172.16.0.0", 20), ("192.168.0.0", 16), ("224.0.0.0", 28), ("240.0.0.0", 28)]
+NETWORKS = [(int(ipaddress.IPv4Address(first)), 1 << bits) for first, bits in NETWORKS]
+#: Country codes of one and of two digits; all others have three.
+COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+TRUNK = re.compile(r"\(0\)")
 UPPER_LETTER = "A-ZÀ-ÖØ-ÞĀ-ſΆ-ΫЀ-Я"
 LETTER = r"[^\W\d_]"
 TOKEN = rf"[{UPPER_LETTER}]{LETTER}*(?:['’-]{LETTER}{{2,}})*"
-NAME = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})(\.? )({TOKEN}(?: (?:[{UPPER_LETTER}]\. )?{TOKEN}){{0,2}})")
+SMALL = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+NAME = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})(\.? )({SMALL}{TOKEN}(?: (?:[{UPPER_LETTER}]\. )?{SMALL}{TOKEN}){{0,2}})")
+#: What stands between tokens of one name.
+GAP = re.compile(rf"[ -](?:[{UPPER_LETTER}]\. )?{SMALL}")
 #: Parts of a name token that are names of their own; a possessive ending and single letters are none.
 PART = re.compile(rf"{LETTER}{{2,}}")
 POSSESSIVE = re.compile(r"['’][sS]$")
@@ -189,17 +217,26 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
         number = int.from_bytes(bytes(octets), "big")
-        public = lambda n: 1 <= n >> 24 <= 223 and n >> 24 not in (10, 127) and n >> 16 not in (0xC0A8, 0xA9FE) and not 0xAC10 <= n >> 16 <= 0xAC1F
-        want, new = public(number), moved_on(key, "ip", number, 1 << 32)
-        while public(new) != want:
-            new = moved_on(key, "ip", new, 1 << 32)
+        network = lambda n: next(((first, size) for first, size in NETWORKS if first <= n < first + size), None)
+        if home := network(number):
+            new = home[0] + moved_on(key, f"ip {home[0]}", number - home[0], home[1])
+        else:
+            new = moved_on(key, "ip", number, 1 << 32)
+            while network(new):
+                new = moved_on(key, "ip", new, 1 << 32)
         return ".".join(map(str, new.to_bytes(4, "big")))
     if kind == "phone":
-        if text.startswith("+"):
-            country = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)[0]
-            national = "".join(c for c in text[len(country) :] if c.isdigit())
-            return country + refill(text[len(country) :], walk(key, "phone" + country, national, lambda d: d[:1] > "1"))
-        return refill(text, walk(key, "phone", digits, lambda d: d[:1] > "1"))
+        country = COUNTRY.match(text)[0] if text.startswith("+") else ""
+        # A trunk zero in brackets is no part of the number.
+        parts = TRUNK.split(text[len(country) :])
+        national = "".join(c for part in parts for c in part if c.isdigit())
+        new = walk(key, f"phone{country or '+1'}", national, lambda d: d[:1] > "1")
+        out = []
+        for part in parts:
+            n = sum(c.isdigit() for c in part)
+            out.append(refill(part, new[:n]))
+            new = new[n:]
+        return country + "(0)".join(out)
     if kind == "ssn":
         return refill(text, walk(key, "ssn", digits, lambda d: d[:3] not in ("000", "666") and d[0] != "9"))
     if kind == "key":
@@ -231,29 +268,46 @@ def name_surrogate(token: str, gender: str, attempt: int, key: bytes) -> str:
 
 
 def name_tokens(text: str) -> dict[str, str]:
-    """Lower-case parts of the titled names with their gender; parts of the last token are surnames, which have none."""
+    """Lower-case parts of the titled names with their gender, UNTOLD where no title of the text tells it; surnames have none."""
     out: dict[str, str] = {}
     for m in NAME.finditer(text):
-        tokens = m[3].split(" ")
+        tokens = [t for t in m[3].split(" ") if t not in PARTICLES]
         for i, token in enumerate(tokens):
-            gender = TITLES[m[1]] if i < len(tokens) - 1 else ""
+            gender = (TITLES[m[1]] or UNTOLD) if i < len(tokens) - 1 else ""
             for part in PART.findall(POSSESSIVE.sub("", token)):
-                # A token that is a surname somewhere in the text is one everywhere in it.
-                out[part.lower()] = "" if not gender else out.get(part.lower(), gender)
+                # A token that is a surname somewhere in the text is one everywhere in it; a told gender goes before an untold one.
+                if not gender or out.get(part.lower(), UNTOLD) == UNTOLD:
+                    out[part.lower()] = gender
     return out
 
 
+def gendered(names: dict[str, str], moved: dict[str, int]) -> dict[str, str]:
+    """Names with what the corpus tells of untold genders."""
+    return {t: GENDER_CODES.get(moved.get(f"{UNTOLD}:{t}"), "") if g == UNTOLD else g for t, g in names.items()}
+
+
 def name_spans(text: str, names: dict[str, str], moved: dict[str, int], key: bytes) -> list[tuple[int, int, str, bool]]:
-    """(start, end, new, True) of every mention of the names' tokens that starts with a capital."""
+    """(start, end, new, True) of the mentions of the names' tokens that start with a capital; ordinary words need a title or a cue."""
     if not names:
         return []
+    names = gendered(names, moved)
     mention = re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(names, key=lambda x: (-len(x), x))))})(?![^\W_])", re.IGNORECASE)
+    every = [(m.start(), m.end(), m[0]) for m in mention.finditer(text) if m[0].lower() in names]
+    plain = ORDINARY | {old for *_, old in every if old[0].islower()}
+    every = [x for x in every if x[2][0].isupper()]
+    titled = [(m.start(3), m.end(3)) for m in NAME.finditer(text)]
+    starts = [s for s, _ in titled]
+    beside = [bool(GAP.fullmatch(text, a[1], b[0])) for a, b in zip(every, every[1:], strict=False)]
     found = []
-    for m in mention.finditer(text):
-        token = m[0].lower()
-        if m[0][0].isupper() and token in names:
-            new = name_surrogate(token, names[token], moved.get(f"{names[token]}:{token}", 0), key)
-            found.append((m.start(), m.end(), new.upper() if m[0].isupper() else new.capitalize(), True))
+    for i, (start, end, old) in enumerate(every):
+        token = old.lower()
+        at = bisect_right(starts, start) - 1
+        behind_title = at >= 0 and start < titled[at][1]
+        cue = (i > 0 and beside[i - 1]) or (i < len(beside) and beside[i]) or SPEECH.match(text, end)
+        if token in plain and not behind_title and not cue:
+            continue
+        new = name_surrogate(token, names[token], moved.get(f"{names[token]}:{token}", 0), key)
+        found.append((start, end, new.upper() if old.isupper() else new.capitalize(), True))
     return found
 
 
@@ -288,7 +342,7 @@ def replaced(text: str, moved: dict[str, int] | None, key: bytes) -> tuple[str,
         if start < at:
             continue
         # Tokens side by side are one name.
-        n += not (is_name and name_end >= 0 and text[name_end:start] in (" ", "-"))
+        n += not (is_name and name_end >= 0 and GAP.fullmatch(text, name_end, start))
         name_end = end if is_name else -1
         out += [text[at:start], new]
         at = end
@@ -297,8 +351,8 @@ def replaced(text: str, moved: dict[str, int] | None, key: bytes) -> tuple[str,
 
 SOME_DIGIT = re.compile("[0-9]")
 SECRET_WORD = re.compile("(?i)token|secret|api.?key|passw|pwd")
-TITLE = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? [{UPPER_LETTER}]")
-TITLE_SQL = r"(?U)\b(" + "|".join(TITLES) + r")\.? \p{Lu}"
+TITLE = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? {SMALL}[{UPPER_LETTER}]")
+TITLE_SQL = r"(?U)\b(" + "|".join(TITLES) + r")\.? " + SMALL + r"\p{Lu}"
 NAMES = pa.schema([("id", pa.string()), ("token", pa.string()), ("gender", pa.string())])
 
 
@@ -356,13 +410,27 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("text"), row.alias("row"))
     titled = rows.filter(F.col("text").rlike(TITLE_SQL)).select(F.md5("text").alias("id"), "text")
     names = stored(titled.mapInArrow(_names, "id string, token string, gender string"), "pii-mentions")
-    moved = stored(collisions(names, key), "pii-moved")
+    # One row a token: the gender that the titles of the corpus agree on.
+    told_of = names.filter(F.col("gender").isin("m", "f")).groupBy("token").agg(F.min("gender").alias("least"), F.max("gender").alias("most")).filter("least = most").select("token", F.col("least").alias("agreed"))
+    asked_of = names.filter(F.col("gender") == UNTOLD).select("token").distinct()
+    agreed = stored(asked_of.join(told_of, "token", "left").select("token", F.lit(UNTOLD).alias("gender"), F.coalesce("agreed", F.lit("")).alias("agreed")), "pii-genders")
+    known = names.filter(F.col("gender") != UNTOLD).select("token", "gender").distinct().unionByName(agreed.select("token", F.col("agreed").alias("gender")))
+    moved = stored(collisions(known, key), "pii-moved")
+    # What a text must know of a token: its gender, and the number of moves of the name that it then is.
+    as_given = moved.withColumn("gender_then", F.col("gender"))
+    if_untold = agreed.join(moved.withColumnRenamed("gender", "agreed"), ["token", "agreed"], "left").select("token", "gender", "attempt", F.col("agreed").alias("gender_then"))
+    code = F.lit(None).cast("int")
+    for number, gender in GENDER_CODES.items():
+        code = F.when((F.col("gender") == UNTOLD) & (F.col("gender_then") == gender), number).otherwise(code)
+    needed = stored(as_given.unionByName(if_untold).withColumn("code", code).filter("attempt is not null or code is not null"), "pii-needed")
     empty = F.lit(None).cast("map<string,int>")
-    if moved.isEmpty():
+    if needed.isEmpty():
         told = rows.withColumn("moved", empty)
     else:
-        # Texts that hold a moved name meet its number by their digest; all others stay where they are.
-        maps = names.distinct().join(moved, ["token", "gender"]).groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "gender", "token"), "attempt"))).alias("moved"))
+        # Texts that hold such a name meet it by their digest; all others stay where they are.
+        entry = F.array(F.struct(F.concat_ws(":", "gender_then", "token").alias("k"), F.col("attempt").alias("v")), F.struct(F.concat_ws(":", F.lit(UNTOLD), "token").alias("k"), F.col("code").alias("v")))
+        entries = names.distinct().join(needed, ["token", "gender"]).select("id", F.explode(entry).alias("e")).filter("e.v is not null")
+        maps = entries.groupBy("id").agg(F.map_from_entries(F.collect_set("e")).alias("moved"))
         maps = stored(maps, "pii-maps")
         asked = marked(rows.withColumn("short", F.xxhash64(F.md5("text"))), "short", maps.select(F.xxhash64("id").alias("short")).distinct(), "asked")
         met = asked.filter("asked").withColumn("id", F.md5("text")).join(maps, "id", "left").select("text", "row", "moved")

@@ -441,7 +441,7 @@ def test_whole_operator_equals_replacing_text_by_text(spark, docs):
     pieces = [f"Mr {rng.choice('ABCD')}{'abcdefgh'[i % 8]}ller{'xyz'[i % 3]} Berg{i % 50}th" for i in range(60)]
     rows = [(r.doc_id, r.text) for r in docs.limit(80).collect()] + [(None, p) for p in pieces[:20]] + [(10**6 + i, f"{p} wrote") for i, p in enumerate(pieces)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    names = sorted({x for _, t in rows for x in pii.name_tokens(t or "").items()})
+    names = sorted({x for _, t in rows for x in pii.gendered(pii.name_tokens(t or ""), {}).items()})
     moved = {(r.token, r.gender): r.attempt for r in pii.collisions(spark.createDataFrame(names, "token string, gender string"), KEY).collect()}
     attempts = {f"{g}:{t}": n for (t, g), n in moved.items()}
     told = [pii.name_surrogate(t, g, moved.get((t, g), 0), KEY) for t, g in names]
@@ -459,3 +459,49 @@ def test_surrogates_are_distinct(spark, monkeypatch):
     names = [(f"name{i}", g) for i in range(400) for g in ("m", "f", "")]
     moved = {(r.token, r.gender): r.attempt for r in pii.collisions(spark.createDataFrame(names, "token string, gender string"), KEY).collect()}
     assert len({pii.name_surrogate(t, g, moved.get((t, g), 0), KEY) for t, g in names}) == len(names)
+
+
+def test_entities_keep_their_kind():
+    new = lambda t: pii.replaced(t, None, KEY)[0]
+    spaced, solid, trunk = new("+49 30 1234567"), new("+49301234567"), new("+49 (0)30 1234567")
+    assert spaced.startswith("+49 ") and solid.startswith("+49") and spaced != "+49 30 1234567"
+    assert re.sub(r"\D", "", spaced) == re.sub(r"\D", "", solid) == re.sub(r"\D", "", trunk.replace("(0)", "")) and "(0)" in trunk
+    assert re.sub(r"\D", "", new("+1 415 555 0101")) == "1" + re.sub(r"\D", "", new("(415) 555-0101")) == "1" + re.sub(r"\D", "", new("415-555-0101"))
+    assert new("+353 1 234 5678").startswith("+353 ") and new("+998901234567").startswith("+998")
+    import ipaddress
+
+    for text, net in (("192.168.1.10", "192.168.0.0/16"), ("10.1.2.3", "10.0.0.0/8"), ("172.20.0.1", "172.16.0.0/12"), ("127.0.0.1", "127.0.0.0/8"), ("169.254.7.7", "169.254.0.0/16")):
+        assert new(text) != text and ipaddress.ip_address(new(text)) in ipaddress.ip_network(net)
+    assert ipaddress.ip_address(new("8.8.8.8")).is_global or not ipaddress.ip_address(new("8.8.8.8")).is_private
+    inside = [f"192.168.{a}.{b}" for a in range(4) for b in range(256)]
+    assert len({new(x) for x in inside}) == len(inside)
+
+
+def test_names_that_are_words_and_particles():
+    new = lambda t: pii.replaced(t, None, KEY)[0]
+    out = new("Mr Will Young said: Young people Will win.")
+    assert out.endswith("said: Young people Will win.") and "Will Young" not in out
+    out = new("Mr Will Young left. Will Young came back. Young said no. A Young's hat.")
+    assert "Will" not in out and "Young" not in out
+    # A word that the text writes in lower case too is one.
+    assert new("Mrs Ada Plum ate a plum. Plum jam is good.").endswith(" ate a plum. Plum jam is good.")
+    out, n = pii.replaced("Mrs. Ana-Maria de la Cruz", None, KEY)
+    assert " de la " in out and "Cruz" not in out and "Maria" not in out and n == 1
+    out, n = pii.replaced("Herr von Berg und Frau van der Meer", None, KEY)
+    assert "Berg" not in out and "Meer" not in out and " von " in out and " van der " in out and n == 2
+    assert "Иванов" not in new("г-н Иванов") and "Παππάς" not in new("κύριος Παππάς") and "Ruiz" not in new("la señora Ruiz")
+    # A told gender goes before an untold one, in either order.
+    assert pii.name_tokens("Dr John Smith and Mr John Smith") == pii.name_tokens("Mr John Smith and Dr John Smith") == {"john": "m", "smith": ""}
+
+
+def test_names_meet_across_texts(spark):
+    texts = ["Mr John Smith.", "Dr John Smith.", "Prof Kim Lee.", "Mr Kim Lee.", "Mrs Kim Lee.", "Dr Xan Poe.", None, "", "Mrs Ana Poe.", "Prof Ana Poe."]
+    rows = {r.doc_id: r.text for r in pii.pseudonymise(frame(spark, *texts), KEY).collect()}
+    name = lambda d: rows[d].split(" ", 1)[1]
+    first = min(rows)
+    told = [name(first + i) if t else None for i, t in enumerate(texts)]
+    assert told[0] == told[1] and told[8] == told[9]
+    assert told[2] not in (told[3], told[4]) and told[3] != told[4]
+    # All surnames meet whatever the title.
+    assert len({told[i].split(" ")[1] for i in (2, 3, 4)}) == 1 and len({told[i].split(" ")[1] for i in (5, 8, 9)}) == 1
+    assert all(old not in new for old, new in zip(texts, rows.values(), strict=False) if old)
