@@ -22,6 +22,7 @@ from lineproof.operators import lines as L
 
 HANGUL = "[가-힣ᄀ-ᇿ㄰-㆏]"
 REPAIR_BATCH = 40
+READINGS = 10_000
 
 
 def evidence_lines(text: Column) -> Column:
@@ -108,13 +109,22 @@ def interpreted(requests: DataFrame, key: str, interpret: Callable[[dict], dict]
 
 
 def recognised(images: DataFrame, key: str, recognise: Callable[[bytes], list[dict]]) -> DataFrame:
-    """(key, ord, text, score, box) of what a callable reads from each image on the executors; an image at a time."""
+    """(key, ord, text, score, box) of what a callable reads from each image on the executors; an image at a time.
+
+    Readings leave in frames of at least READINGS rows: a frame an image costs more than most readings.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [key, "ord", "text", "score", "box"]
+        held = []
         for f in frames:
             for k, image in zip(f[key], f["content"], strict=True):
-                if found := recognise(bytes(image or b"")):
-                    yield pd.DataFrame({key: [k] * len(found), "ord": range(len(found)), "text": [u["text"] for u in found], "score": [float(u["score"]) for u in found], "box": [u["box"] for u in found]})
+                held += [(k, i, u["text"], float(u["score"]), u["box"]) for i, u in enumerate(recognise(bytes(image or b"")) or ())]
+                if len(held) >= READINGS:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
     kind = images.schema[key].dataType.simpleString()
     return images.select(key, "content").mapInPandas(run, f"{key} {kind}, ord int, text string, score double, box array<int>")
