@@ -98,9 +98,8 @@ def byte_chunks(docs: DataFrame, most: int = 480, key: str = "doc_id") -> DataFr
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for k, t in zip(f[key], f["text"], strict=True):
-                found = cut(t or "", most)
-                yield pd.DataFrame({key: [k] * len(found), "piece": range(len(found)), "chunk": found})
+            found = [(k, i, c) for k, t in zip(f[key], f["text"], strict=True) for i, c in enumerate(cut(t or "", most))]
+            yield pd.DataFrame(found, columns=[key, "piece", "chunk"]).astype({key: "int64", "piece": "int32"})
 
     return docs.select(F.col(key).cast("long"), "text").mapInPandas(run, f"{key} long, piece int, chunk string")
 
