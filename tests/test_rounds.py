@@ -100,3 +100,16 @@ def test_vocabulary_finds_inflected_words(spark):
     cases = [("교내", "for the on-campus students", []), ("교내", "within our university", []), ("교내", "for students", ["on-campus scope"]), ("불허하지", "x", []), ("연구 주제에 지원 을 받는", "students who received much public funding", []), (None, "x", []), ("최대", None, [])]
     told = spark.createDataFrame(cases, "s string, e string, want array<string>").select("want", W.unmet(F.col("s"), F.col("e"), W.CONDITIONS).alias("x")).collect()
     assert [r.x for r in told] == [r.want for r in told]
+
+
+def test_an_open_unit_is_not_told_by_its_twin(spark):
+    """Both units print one day; one is not translated, so the block has no reading although its values stand."""
+    from lineproof.operators import routing as O
+
+    day, told = "마감 2026.01.10 14:30", "By 2026-01-10 14:30 sharp"
+    kinds = "notice_id long, unit int, ord int, page int, block int, section int, height int, text string, english string, translated boolean"
+    rows = [(n, u, u, 1, 0, 1, 9, day, told if u == 1 or n == 2 else "A line", u == 1 or n == 2) for n in (1, 2) for u in (1, 2)]
+    units = spark.createDataFrame(rows, kinds)
+    blocks = spark.createDataFrame([(1, 0, "text", None), (2, 0, "text", None)], "notice_id long, block int, kind string, english string")
+    none = units.select("notice_id", "unit").limit(0)
+    assert {r.notice_id: r.text for r in O.fallbacks(units, blocks, none, none).collect()} == {1: None, 2: told}
