@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lineproof.functions import english as E
 from lineproof.operators import lines as L
 from lineproof.operators import responses as R
+from lineproof.operators.joins import grown
 from lineproof.plans.cases import flag, register
 from lineproof.plans.notices import LINES_SQL
 from lineproof.sources import views
@@ -58,7 +59,7 @@ def documents(rows):
     docs = rows.withColumn("required", F.col("must") == "yes")
     actions = rows.select("notice_id", F.col("clause").alias("evidence"), F.split("items", ",").alias("items"))
     told = R.required_documents(docs.select("notice_id", "name", "evidence", "required"), actions)
-    return rows.select("notice_id", "kase", "i", "name").join(told, ["notice_id", "name"]).withColumn("found", flag(F.col("required")))
+    return rows.select("notice_id", "kase", "i", "name").join(grown(told), ["notice_id", "name"]).withColumn("found", flag(F.col("required")))
 
 
 grouped("f33c_required_documents", "name evidence must clause items", [
