@@ -188,16 +188,18 @@ def applied_repairs(units: DataFrame, details: DataFrame, represented: DataFrame
     """
     key = ["notice_id", "unit"]
     each = details.select("notice_id", "detail", F.posexplode("units").alias("at", "unit"))
-    texts = each.join(units, key).groupBy("notice_id", "detail").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("sources"), F.bool_and(F.col("cited") != "").alias("all_cited"))
-    stopped = each.join(blocked, key, "left_semi").select("notice_id", "detail").distinct().withColumn("stopped", F.lit(True))
-    told = details.join(texts, ["notice_id", "detail"]).join(stopped, ["notice_id", "detail"], "left")
+    texts = grown(each).join(units, key).groupBy("notice_id", "detail").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("sources"), F.bool_and(F.col("cited") != "").alias("all_cited"))
+    stopped = grown(each).join(blocked, key, "left_semi").select("notice_id", "detail").distinct().withColumn("stopped", F.lit(True))
+    told = details.join(grown(texts), ["notice_id", "detail"]).join(grown(stopped), ["notice_id", "detail"], "left")
     issue = E.detail_issue(F.col("sources"), F.col("text"), F.col("certain"), F.col("category"), F.array().cast("array<string>"), F.col("text"), F.col("all_cited"))
-    good = told.withColumn("issue", issue).filter("issue is null and stopped is null").select("notice_id", F.explode("units").alias("unit")).distinct().withColumn("detailed", F.lit(True))
+    judged = judged_once(told.filter("stopped is null"), ["sources", "text", "certain", "category", "all_cited"], issue, "issue")
+    good = judged.filter("issue is null").select("notice_id", F.explode("units").alias("unit")).distinct().withColumn("detailed", F.lit(True))
     listed = each.select(*key).unionByName(represented.select(*key)).groupBy(*key).agg(F.count(F.lit(1)).alias("times"))
-    met = units.join(good, key, "left").join(represented.select(*key).distinct().withColumn("listed", F.lit(True)), key, "left").join(blocked.select(*key).distinct().withColumn("blocked", F.lit(True)), key, "left").join(listed, key, "left")
     complete = (F.size(V.missing_values(F.col("text"), F.col("cited"))) == 0) & (F.size(E.missing_spending(F.col("text"), F.col("cited"))) == 0) & (F.size(E.missing_conditions(F.col("text"), F.col("cited"))) == 0)
-    holds = F.col("listed") & (F.col("cited") != "") & ~F.col("text").rlike(E.SEVERAL_CLAUSES) & complete
-    state = F.when(F.col("blocked").isNotNull() | (F.col("times") > 1), "unverified").when(F.col("detailed"), "detailed").when(holds, "represented").otherwise("unverified")
+    shown = units.join(grown(represented.select(*key).distinct()), key, "left_semi").filter("cited <> ''")
+    whole = judged_once(shown, ["text", "cited"], ~F.col("text").rlike(E.SEVERAL_CLAUSES) & complete, "whole").filter("whole").select(*key, "whole").distinct()
+    met = units.join(grown(good), key, "left").join(grown(whole), key, "left").join(grown(blocked.select(*key).distinct().withColumn("blocked", F.lit(True))), key, "left").join(grown(listed), key, "left")
+    state = F.when(F.col("blocked").isNotNull() | (F.col("times") > 1), "unverified").when(F.col("detailed"), "detailed").when(F.col("whole"), "represented").otherwise("unverified")
     return met.select(*key, state.alias("state"))
 
 
@@ -210,26 +212,26 @@ def applied_interpretation(units: DataFrame, items: DataFrame, scratch) -> tuple
     """
     key = ["notice_id", "unit"]
     each = items.select("notice_id", "item", F.explode(F.array_distinct("unit_ids")).alias("unit"))
-    found = each.join(units, key)
+    found = grown(each).join(units, key)
     by_item = found.groupBy("notice_id", "item").agg(F.count(F.lit(1)).alias("known"), F.count_distinct("page").alias("pages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", F.col("text").alias("t")))), lambda x: x["t"]), "\n").alias("source"))
-    told = items.join(by_item, ["notice_id", "item"], "left")
-    added = F.exists(E.unit_issues(F.col("source"), F.col("text")), lambda i: F.startswith(i, F.lit("unsupported")))
-    fine = (F.coalesce("known", F.lit(0)) == F.size("unit_ids")) & (F.size(F.array_distinct("unit_ids")) == F.size("unit_ids")) & (F.col("pages") == 1) & (F.trim("text") != "") & ~F.col("text").rlike(HANGUL) & ~added
+    told = items.join(grown(by_item), ["notice_id", "item"], "left")
+    told = judged_once(told, ["source", "text"], F.exists(E.unit_issues(F.col("source"), F.col("text")), lambda i: F.startswith(i, F.lit("unsupported"))), "added")
+    fine = (F.coalesce("known", F.lit(0)) == F.size("unit_ids")) & (F.size(F.array_distinct("unit_ids")) == F.size("unit_ids")) & (F.col("pages") == 1) & (F.trim("text") != "") & ~F.col("text").rlike(HANGUL) & ~F.col("added")
     standing = scratch(told.filter(fine).select("notice_id", "item", "text", "unit_ids"))
     cites = standing.select("notice_id", "item", "text", F.explode("unit_ids").alias("unit"))
     # A unit is judged with the whole context of the items that cite it.
-    context = cites.join(cites.select("notice_id", "item", F.col("unit").alias("asked")), ["notice_id", "item"])
+    context = grown(cites).join(cites.select("notice_id", "item", F.col("unit").alias("asked")), ["notice_id", "item"])
     english = cites.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("english"))
-    around = context.select("notice_id", "asked", "unit").distinct().join(units, key).groupBy("notice_id", F.col("asked").alias("unit")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", F.col("text").alias("t")))), lambda x: x["t"]), "\n").alias("source"))
-    judged = units.select(*key).join(english, key, "left").join(around, key, "left")
+    around = context.select("notice_id", "asked", "unit").distinct().join(grown(units), key).groupBy("notice_id", F.col("asked").alias("unit")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", F.col("text").alias("t")))), lambda x: x["t"]), "\n").alias("source"))
+    judged = units.select(*key).join(grown(english), key, "left").join(grown(around), key, "left")
     issues = F.when(F.col("english").isNull(), F.array(F.lit("no item"))).otherwise(E.unit_issues(F.col("source"), F.col("english")))
-    bad = scratch(judged.withColumn("issue", F.array_join(issues, " | ")).filter("issue <> ''").select(*key, "issue"))
+    bad = scratch(judged_once(judged, ["source", "english"], F.array_join(issues, " | "), "issue").filter("issue <> ''").select(*key, "issue"))
     name = lambda c: F.xxhash64("notice_id", c)
     graph = scratch(cites.select(name("item").alias("item"), name("unit").alias("line")))
     lost = T.contaminated(graph, bad.select(name("unit").alias("line")), scratch)
-    gone = graph.join(lost, "line", "left_semi").select(F.col("item").alias("gone")).distinct()
-    kept = standing.select("notice_id", "item", name("item").alias("name")).join(gone, F.col("name") == F.col("gone"), "left_anti").select("notice_id", "item")
-    rest = units.select(*key, name("unit").alias("name")).join(lost.withColumnRenamed("line", "name"), "name", "left_semi").join(bad, key, "left").select(*key, F.coalesce("issue", F.lit("replace the connected item")).alias("issue"))
+    gone = grown(graph).join(lost, "line", "left_semi").select(F.col("item").alias("gone")).distinct()
+    kept = standing.select("notice_id", "item", name("item").alias("name")).join(grown(gone), F.col("name") == F.col("gone"), "left_anti").select("notice_id", "item")
+    rest = units.select(*key, name("unit").alias("name")).join(grown(lost.withColumnRenamed("line", "name")), "name", "left_semi").join(grown(bad), key, "left").select(*key, F.coalesce("issue", F.lit("replace the connected item")).alias("issue"))
     return kept, rest
 
 

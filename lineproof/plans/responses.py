@@ -76,7 +76,7 @@ def grounded(rows):
     items = rows.filter("role = 'item'").select("notice_id", F.col("i").alias("item_id"), F.col("text").alias("evidence"), ids.alias("fact_ids"), F.lit("verified").alias("state"))
     told = R.grounded_items(items, facts, pages).withColumnRenamed("item_id", "i")
     shown = F.concat_ws(" ", F.array_join(F.transform("fact_ids", lambda x: x.cast("string")), ","), "state")
-    return rows.join(told, ["notice_id", "i"], "left").withColumn("found", F.when(F.col("fact_ids").isNull(), "gone").otherwise(shown))
+    return rows.join(grown(told), ["notice_id", "i"], "left").withColumn("found", F.when(F.col("fact_ids").isNull(), "gone").otherwise(shown))
 
 
 grouped("j15_grounded_items", "role text ids", [
@@ -87,7 +87,7 @@ grouped("j15_grounded_items", "role text ids", [
 
 def losses(rows):
     lost = R.collective_losses(rows.select("notice_id", "evidence", "text"), "notice_id").withColumn("found", F.array_join("lost", ", "))
-    return rows.join(lost, ["notice_id", "evidence"], "left").withColumn("found", F.coalesce("found", F.lit("")))
+    return rows.join(grown(lost), ["notice_id", "evidence"], "left").withColumn("found", F.coalesce("found", F.lit("")))
 
 
 grouped("a17_collective_phrases", "evidence text", [
@@ -143,7 +143,7 @@ def translated(rows):
     once = told.distinct()
     answers = once.unionByName(once.filter("again")).drop("again")
     found = R.translated_blocks(blocks, answers).withColumnRenamed("block", "i")
-    return rows.join(found, ["notice_id", "i"]).withColumn("found", F.concat_ws(": ", "status", "english"))
+    return rows.join(grown(found), ["notice_id", "i"]).withColumn("found", F.concat_ws(": ", "status", "english"))
 
 
 grouped("c2_translated_blocks", "text answer certain", [
@@ -159,7 +159,7 @@ def repairs(rows):
     details = rows.filter("role = 'detail'").select("notice_id", F.col("i").alias("detail"), numbers.alias("units"), F.col("english").alias("text"), F.lit(True).alias("certain"), F.lit("other").alias("category"))
     listed = lambda role: rows.filter(F.col("role") == role).select("notice_id", F.explode(numbers).alias("unit"))
     told = R.applied_repairs(units, details, listed("represented"), listed("blocked")).withColumnRenamed("unit", "i")
-    return rows.join(told, ["notice_id", "i"], "left").withColumn("found", F.coalesce("state", F.lit("")))
+    return rows.join(grown(told), ["notice_id", "i"], "left").withColumn("found", F.coalesce("state", F.lit("")))
 
 
 grouped("c4_applied_repairs", "role text english units", [
@@ -173,7 +173,7 @@ def interpretation(rows):
     items = rows.filter("role = 'item'").select("notice_id", F.col("i").alias("item"), "text", F.transform(F.split("units", ","), lambda x: x.try_cast("int")).alias("unit_ids"))
     kept, rest = R.applied_interpretation(units, items, stored)
     a, b = kept.select("notice_id", F.col("item").alias("i"), F.lit("stands").alias("told")), rest.select("notice_id", F.col("unit").alias("i"), F.col("issue").alias("told"))
-    return rows.join(a.unionByName(b), ["notice_id", "i"], "left").withColumn("found", F.coalesce("told", F.when(F.col("role") == "unit", "told").otherwise("gone")))
+    return rows.join(grown(a.unionByName(b)), ["notice_id", "i"], "left").withColumn("found", F.coalesce("told", F.when(F.col("role") == "unit", "told").otherwise("gone")))
 
 
 grouped("c5_applied_interpretation", "role page text units", [
@@ -187,7 +187,7 @@ def review(rows):
     once = rows.filter("status not in ('', 'twice')").select("notice_id", F.col("i").alias("field_no"), "status")
     twice = rows.filter("status = 'twice'").select("notice_id", F.col("i").alias("field_no"), F.lit("supported").alias("status"))
     told = R.reviewed(fields, once.unionByName(twice).unionByName(twice)).withColumnRenamed("field_no", "i")
-    return rows.join(told, ["notice_id", "i"]).withColumn("found", F.col("state"))
+    return rows.join(grown(told), ["notice_id", "i"]).withColumn("found", F.col("state"))
 
 
 grouped("c6_reviewed_fields", "field label evidence text status", [
