@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineproof.operators.joins import grown, sized
+
 
 def fact_references(facts: DataFrame, items: DataFrame) -> DataFrame:
     """(notice_id, fact_id, issue): critical facts that no item cites are missing, cited facts that do not exist invented."""
@@ -108,15 +110,15 @@ def contaminated(cites: DataFrame, unverified: DataFrame, scratch) -> DataFrame:
     """
     fresh = scratch(unverified.select("line").distinct())
     parts, items = [fresh], []
-    while not fresh.isEmpty():
-        found = cites.join(fresh, "line", "left_semi").select("item").distinct()
+    while n := fresh.count():
+        found = cites.join(sized(fresh, n), "line", "left_semi").select("item").distinct()
         for seen in items:
-            found = found.join(seen, "item", "left_anti")
+            found = grown(found).join(seen, "item", "left_anti")
         found = scratch(found)
         items = [*items, found] if len(items) < FRONTIERS else [scratch(reduce(DataFrame.unionByName, [*items, found]))]
-        fresh = cites.join(found, "item", "left_semi").select("line").distinct()
+        fresh = cites.join(sized(found, found.count()), "item", "left_semi").select("line").distinct()
         for seen in parts:
-            fresh = fresh.join(seen, "line", "left_anti")
+            fresh = grown(fresh).join(seen, "line", "left_anti")
         fresh = scratch(fresh)
         parts = [*parts, fresh] if len(parts) < FRONTIERS else [scratch(reduce(DataFrame.unionByName, [*parts, fresh]))]
     return reduce(DataFrame.unionByName, parts)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Rows that a driver and every executor may hold of one side of a join.
+HELD = 100_000
+
 
 def grown(df: DataFrame) -> DataFrame:
     """df as a side of joins with tables that grow as it does; these sort and merge.
@@ -12,3 +15,8 @@ def grown(df: DataFrame) -> DataFrame:
     table would be built whole on the driver and held by every executor.
     """
     return df.hint("merge")
+
+
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """df of n rows as a side of a join with a table of any size: few rows go to every executor, more sort and merge."""
+    return df.hint("broadcast") if n <= HELD else grown(df)
