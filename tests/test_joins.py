@@ -7,7 +7,7 @@ import pytest
 from lineproof import registry
 
 
-@pytest.mark.parametrize("name", ["f33c_required_documents", "c4_applied_repairs", "c5_applied_interpretation"])
+@pytest.mark.parametrize("name", ["f33c_required_documents", "c4_applied_repairs", "c5_applied_interpretation", "c4_retried_repairs"])
 def test_growing_tables_are_not_broadcast(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[[^\]]*notice_id", plan)
