@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from lineproof.functions import text as X
 from lineproof.operators import lines as L
+from lineproof.operators.joins import dealt, grown
 
 
 def inventory_violations(units: DataFrame, members: DataFrame) -> DataFrame:
     """(rule, key, detail): units listed twice, members of unknown units, units in more than one block."""
+    n = max(units.count(), members.count())
+    units, members = dealt(units, n, "unit_id"), dealt(members, n, "unit_id")
     twice = units.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("repeated_unit").alias("rule"), F.col("unit_id").alias("key"), F.col("n").alias("detail"))
     held = members.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("block_id").alias("blocks"))
-    unknown = held.join(units, "unit_id", "left_anti").select(F.lit("unknown_unit").alias("rule"), F.col("unit_id").alias("key"), F.col("n").alias("detail"))
+    unknown = held.join(grown(units), "unit_id", "left_anti").select(F.lit("unknown_unit").alias("rule"), F.col("unit_id").alias("key"), F.col("n").alias("detail"))
     shared = held.filter("blocks > 1").select(F.lit("shared_unit").alias("rule"), F.col("unit_id").alias("key"), F.col("blocks").alias("detail"))
     return twice.unionByName(unknown).unionByName(shared)
 

@@ -5,9 +5,22 @@ import re
 import pytest
 
 from lineproof import registry
+from lineproof.operators import joins
 
 
 @pytest.mark.parametrize("name", ["f33c_required_documents", "c4_applied_repairs", "c5_applied_interpretation", "c4_retried_repairs"])
 def test_growing_tables_are_not_broadcast(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[[^\]]*notice_id", plan)
+
+
+@pytest.mark.parametrize("name", ["p7_constraints"])
+def test_tasks_are_dealt_by_rows(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
+
+
+def test_more_rows_make_more_tasks(spark):
+    rows = spark.range(400)
+    dealt = joins.dealt(rows, 400, "id", most=10)
+    assert dealt.rdd.getNumPartitions() == 40 and dealt.count() == 400
