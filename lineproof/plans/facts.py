@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineproof.functions import text as X
 from lineproof.operators import facts as A
+from lineproof.operators.joins import dealt, grown
 from lineproof.sources.scratch import stored
 from lineproof.sources.views import table
 
@@ -50,8 +51,10 @@ def u5_retry_sets(spark, sf):
     """Assignments outside the retry set stay; retry targets without an assignment become unresolved."""
     li = table(spark, sf, "lineitem")
     retry = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
-    kept = li.select(F.col("l_orderkey").alias("id")).distinct().join(retry, "id", "left_anti").withColumn("status", F.lit("kept"))
-    lost = retry.join(li.select(F.col("l_orderkey").alias("id")), "id", "left_anti").withColumn("status", F.lit("unresolved"))
+    n = li.count()
+    asked, told = dealt(retry, n, "id"), dealt(li.select(F.col("l_orderkey").alias("id")), n, "id")
+    kept = told.distinct().join(grown(asked), "id", "left_anti").withColumn("status", F.lit("kept"))
+    lost = asked.join(grown(told), "id", "left_anti").withColumn("status", F.lit("unresolved"))
     return kept.unionByName(lost)
 
 

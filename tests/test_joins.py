@@ -14,7 +14,7 @@ def test_growing_tables_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin \[[^\]]*notice_id", plan)
 
 
-@pytest.mark.parametrize("name", ["p7_constraints"])
+@pytest.mark.parametrize("name", ["p7_constraints", "u5_retry_sets"])
 def test_tasks_are_dealt_by_rows(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
