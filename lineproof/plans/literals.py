@@ -48,11 +48,11 @@ def f11_threshold_cells(spark, sf):
 
 def f14_literal_counts(spark, sf):
     whole = F.concat_ws("\n", F.col("deadline"), F.col("amount"), F.col("contact"))
-    return views.t1(spark, sf).select("notice_id", F.size(V.literal_rows(whole)).alias("n_literals"))
+    return views.t1(spark, sf, dear=True).select("notice_id", F.size(V.literal_rows(whole)).alias("n_literals"))
 
 
 def f18_missing_values(spark, sf):
-    return views.t1(spark, sf).select("notice_id", F.explode(V.missing_values(F.concat_ws("\n", F.col("amount"), F.col("contact")), F.col("english"))).alias("missing"))
+    return views.t1(spark, sf, dear=True).select("notice_id", F.explode(V.missing_values(F.concat_ws("\n", F.col("amount"), F.col("contact")), F.col("english"))).alias("missing"))
 
 
 def f36_deadline_display(spark, sf):
@@ -70,11 +70,11 @@ def a21_reading_disagreement(spark, sf):
 
 def c12_literal_index(spark, sf):
     lines = F.posexplode(F.array(F.col("deadline"), F.col("amount"), F.col("contact"))).alias("line", "text")
-    return views.t1(spark, sf).select("notice_id", lines).select("notice_id", "line", F.inline(V.literal_rows(F.col("text"))))
+    return views.t1(spark, sf, dear=True).select("notice_id", lines).select("notice_id", "line", F.inline(V.literal_rows(F.col("text"))))
 
 
 def c13_pair_verdicts(spark, sf):
-    found = views.t1(spark, sf).select("notice_id", F.explode(V.missing_values(F.concat_ws("\n", F.col("amount"), F.col("contact")), F.col("english"))).alias("missing"))
+    found = views.t1(spark, sf, dear=True).select("notice_id", F.explode(V.missing_values(F.concat_ws("\n", F.col("amount"), F.col("contact")), F.col("english"))).alias("missing"))
     return found.groupBy("notice_id", F.substring_index("missing", ":", 1).alias("issue_kind")).agg(F.count(F.lit(1)).alias("n_issues"))
 
 
