@@ -135,7 +135,7 @@ def f19_unsupported_values(spark, sf):
 
 
 def f21_pair_issues(spark, sf):
-    return t1(spark, sf).select("notice_id", F.explode(J.pair_issues(F.concat_ws("\n", "amount", "contact"), F.col("english"))).alias("issue"))
+    return views.t1(spark, sf, dear=True).select("notice_id", F.explode(J.pair_issues(F.concat_ws("\n", "amount", "contact"), F.col("english"))).alias("issue"))
 
 
 def f24_glossary(spark, sf):
