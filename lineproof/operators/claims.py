@@ -56,11 +56,15 @@ def score_tails(rows: DataFrame, text: str) -> DataFrame:
 
 def score_claims(rows: DataFrame) -> DataFrame:
     """(notice_id, label, score, issue): scores of the source that the English does not give the same exam, and exams that only
-    the English names. rows: (notice_id, source, english), any number a notice; all joins are on the notice and the label."""
-    source, english = score_tails(rows, "source"), score_tails(rows, "english")
-    lost = source.filter("score is not null").join(english, ["notice_id", "label", "score"], "left_anti").withColumn("issue", F.lit("missing or changed"))
-    added = english.join(source.select("notice_id", "label").distinct(), ["notice_id", "label"], "left_anti").withColumn("issue", F.lit("unsupported exam"))
-    return lost.unionByName(added).select("notice_id", "label", "score", "issue")
+    the English names. rows: (notice_id, source, english), any number a notice; each text is searched once, and all meets by the notice and the label."""
+    sides = score_tails(rows, "source").withColumn("printed", F.lit(True)).unionByName(score_tails(rows, "english").withColumn("printed", F.lit(False)))
+    each = sides.groupBy("notice_id", "label", "score").agg(F.bool_or("printed").alias("printed"), F.bool_or(~F.col("printed")).alias("told"))
+    known = F.bool_or("printed").over(Window.partitionBy("notice_id", "label"))
+    met = F.col("notice_id").isNotNull()  # texts without a notice meet no others
+    lost = F.col("printed") & F.col("score").isNotNull() & ~(F.col("told") & met)
+    added = F.col("told") & ~(F.col("known") & met)
+    issues = F.array_compact(F.array(F.when(lost, "missing or changed"), F.when(added, "unsupported exam")))
+    return each.withColumn("known", known).select("notice_id", "label", "score", F.explode(issues).alias("issue"))
 
 
 #: Bounds of a readable photo. Each metric has a warning bound and, for the first three, a blocking one.

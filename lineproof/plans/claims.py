@@ -27,7 +27,7 @@ def a13_folded_facts(spark, sf):
 
 def j25_score_claims_by_label(spark, sf):
     """Orders demand two exams; the English is whole, changes one score, names another exam, or gives the scores to the wrong exams."""
-    o, k = table(spark, sf, "orders"), C("o_orderkey") % 5
+    o, k = views.spread(spark, sf, "orders", "o_orderkey", "o_custkey"), C("o_orderkey") % 5
     a, b = (C("o_orderkey") % 300 + 600).cast("string"), (C("o_custkey") % 50 + 60).cast("string")
     told = lambda x, y, more="": F.concat(F.lit("TOEIC "), x, F.lit(" or higher, TEPS "), y, F.lit(" or higher"), F.lit(more))
     english = F.when(k == 0, told(b, a)).when(k == 1, told(a, F.lit("999"))).when(k == 2, told(a, b, ", IELTS 7")).when(k == 3, F.concat(F.lit("TOEIC "), a)).otherwise(told(a, b))

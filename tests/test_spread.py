@@ -28,3 +28,17 @@ def test_days_behind_the_mark(spark):
         assert [x for x in d if x[:5] != "2026-" or x in days] == d and set(days) >= {x for x in d if x.startswith("2026")}, (t, d)
         if re.search(r"기간|due", t):
             assert d == days
+
+
+def test_each_text_of_a_score_claim_is_searched_once(spark):
+    """Three searches before; texts without a notice meet no others."""
+    from lineproof.operators import claims as A
+
+    texts = [(1, "TOEIC 700점, TEPS 80점", "TOEIC 700, IELTS 7"), (1, "FLEX", "FLEX 9"), (2, "TOEIC 600", "TOEIC 700"), (None, "TEPS 9", "TEPS 9")]
+    rows = A.score_claims(spark.createDataFrame(texts, "notice_id long, source string, english string"))
+    assert {tuple(r) for r in rows.collect()} == {
+        (1, "teps", "80", "missing or changed"), (1, "ielts", "7", "unsupported exam"), (2, "toeic", "600", "missing or changed"),
+        (None, "teps", "9", "missing or changed"), (None, "teps", "9", "unsupported exam"),
+    }
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate explode") == 3
