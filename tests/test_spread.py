@@ -42,3 +42,8 @@ def test_each_text_of_a_score_claim_is_searched_once(spark):
     }
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Generate explode") == 3
+
+
+def test_no_sides_of_boxes_move_for_placements(spark, sf):
+    plan = registry.queries()["j20_placements"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "_extract_" not in plan
