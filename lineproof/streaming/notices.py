@@ -114,10 +114,9 @@ class Slots(StatefulProcessor):
         self.slots = handle.getValueState("slots", "starts array<long>, leases array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # One call to the state a frame, not one an event.
         for frame in rows:
-            events = list(frame[["at", "event_id", "release"]].itertuples(index=False, name=None))
-            for at, event, release in events:
-                self.waiting.appendValue((int(at), int(event), bool(release)))
+            self.waiting.appendList(list(zip(frame["at"].tolist(), frame["event_id"].tolist(), frame["release"].tolist())))
             self.handle.registerTimer(int(frame["at"].min()) // 1000 + 1)
         return iter(())
 
@@ -136,10 +135,10 @@ class Slots(StatefulProcessor):
             told.append((key[0], event, not wait, wait))
             if not wait:
                 starts, leases = [*starts, at], [*leases, at]
-        if ripe:
+        if ripe and later:
+            self.waiting.put(later)
+        elif ripe:
             self.waiting.clear()
-            for x in later:
-                self.waiting.appendValue(x)
         starts, leases = [s for s in starts if s > limit - self.span], [x for x in leases if x > limit - self.lease]
         if starts or leases:
             self.slots.update((starts, leases))

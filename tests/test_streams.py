@@ -40,3 +40,17 @@ def test_snapshots_requests_and_status(spark, tmp_path):
 def test_empty_stream(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none"))
     assert S.requested_once(S.arriving(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_waiting_events_reach_the_state_in_one_call_a_frame():
+    """One call an event before."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from lineproof.streaming.notices import Slots
+
+    slots, calls = Slots(6, 60, 2, 600), MagicMock()
+    slots.handle, slots.waiting, slots.slots = MagicMock(), calls, MagicMock()
+    list(slots.handleInputRows((1,), iter([pd.DataFrame({"at": [3, 1, 2], "event_id": [1, 2, 3], "release": [False, True, False]})]), None))
+    assert [c[0] for c in calls.method_calls] == ["appendList"] and calls.appendList.call_args.args[0] == [(3, 1, False), (1, 2, True), (2, 3, False)]
