@@ -86,9 +86,12 @@ def w13b_headed_title(spark, sf):
 
 def w16_regions(spark, sf):
     """Two readings of a page, the later one to the right or narrower by a little, as translation regions."""
-    one = views.g1(spark, sf).withColumn("y", (F.col("y") - 36 * F.col("ord")).cast("int")).withColumn("x", F.lit(100) + F.col("l_partkey") % 9).withColumn("w", F.lit(500) - F.col("l_suppkey") % 40).withColumn("text", F.concat(F.lit("• part "), F.col("l_partkey")))
-    two = one.withColumn("ord", (F.col("ord") + 100).cast("int")).withColumn("x", F.col("x") + 2).withColumn("conf", F.col("conf") - 5)
-    units = one.unionByName(two).select("notice_id", "page_number", "ord", "text", F.col("x").cast("int"), "y", F.col("w").cast("int"), "h", "conf")
+    u, c = views.g1(spark, sf), F.col
+    x, y, w = (100 + c("l_partkey") % 9).cast("int"), (c("y") - 36 * c("ord")).cast("int"), (500 - c("l_suppkey") % 40).cast("int")
+    # One pass over the units tells both readings.
+    both = F.array(F.struct(c("ord"), x.alias("x"), c("conf")), F.struct((c("ord") + 100).cast("int").alias("ord"), (x + 2).alias("x"), (c("conf") - 5).alias("conf")))
+    told = u.select("notice_id", "page_number", F.concat(F.lit("• part "), "l_partkey").alias("text"), y.alias("y"), w.alias("w"), "h", F.explode(both).alias("r"))
+    units = told.select("notice_id", "page_number", "r.ord", "text", "r.x", "y", "w", "h", "r.conf")
     return P.regions(units).select(*ORD, "region")
 
 

@@ -6,6 +6,7 @@ from lineproof.operators import facts as A
 from lineproof.operators import layout as Y
 from lineproof.operators import pages as P
 from lineproof.plans import facts as plans
+from lineproof.plans import pages
 from lineproof.sources.scratch import stored
 from lineproof.sources.views import table
 
@@ -106,3 +107,15 @@ def test_closure_equals_brute_force(spark, sf):
     assert got == {n: top(n) for n in list(low)}
     loop = spark.createDataFrame([(1, 2), (2, 1), (3, 3)], "a long, b long")
     assert {r.node: r.component for r in A.closure(loop, stored).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_readings_move_without_what_is_told_of_them(spark, sf):
+    """Before, marks and values of every reading were told by regex and both readings numbered their page anew."""
+    plan = pages.w16_regions(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("Window") == 1 and "Union" not in plan
+
+
+def test_readings_of_unlike_texts(spark):
+    same, box = lambda a, b: [r for _, r in told(P.regions(page(spark, a, b)), "ord", "region")], (100, 100, 200, 20)
+    assert same(("• a  b", *box), ("a b", *box)) == [1, 0] and same(("fee 10", *box), ("Fee: 10", 101, 100, 200, 20)) == [0, 1] and same(("fee 10", *box), ("fee 20", *box)) == [1, 2]
+    assert same((None, *box), (None, *box)) == [1, 0] and same(("a", 100, 100, 0, 20), ("a", 100, 100, 0, 20)) == [1, 0]
