@@ -22,29 +22,38 @@ def folded_facts(facts: DataFrame) -> DataFrame:
     names an image only if all do the same, and keeps its box only if nothing was folded into it. Equal quotes meet before a
     fact's quotes are joined, so a fact repeated in very many rows holds its distinct quotes alone.
     """
-    place = F.struct("rank", "item")
-    told = facts.withColumn("told", X.spaced_key(F.col("text"))).withColumn("quote", X.folded_key(F.col("evidence")))
-    able = F.coalesce(F.col("page").isNotNull() & (F.size("fact_ids") > 0), F.lit(False))
-    quoted = F.coalesce(F.col("quote") != "", F.lit(False))
-    exact = Window.partitionBy("notice_id", "page", "field", "told", "quote")
-    main = told.filter(able & ~F.col("repair")).withColumn("into", F.when(quoted, F.min(place).over(exact)).otherwise(place))
-    heads = main.groupBy("notice_id", "page", "told").agg(F.min("into").alias("head"))
-    again = told.filter(able & F.col("repair")).join(heads, ["notice_id", "page", "told"], "left")
-    own = F.min(place).over(Window.partitionBy("notice_id", "page", "told", "field"))
-    again = again.withColumn("into", F.coalesce("head", own)).drop("head")
-    alone = told.filter(~able).withColumn("into", place)
-    each = main.unionByName(again).unionByName(alone).withColumn("at", place)
-    ids = each.select("notice_id", "into", "at", F.posexplode("fact_ids").alias("i", "id")).groupBy("notice_id", "into", "id").agg(F.min(F.struct("at", "i")).alias("at"))
-    ids = ids.groupBy("notice_id", "into").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("fact_ids"))
-    quotes = each.groupBy("notice_id", "into", "evidence").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col("state") == "verified").alias("fine"), F.min("image").alias("low"), F.max("image").alias("high"), F.count("image").alias("imaged"))
-    met = quotes.groupBy("notice_id", "into").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence"))), lambda x: F.coalesce(x["evidence"], F.lit(""))).alias("quotes"), F.sum("n").alias("n"), F.bool_and("fine").alias("fine"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("imaged").alias("imaged"))
-    evidence = F.when(F.size("quotes") == 1, F.get("quotes", F.lit(0))).otherwise(F.aggregate("quotes", F.lit(""), lambda a, b: R.combined_evidence(a, b)))
-    first = each.filter("at = into").select("notice_id", "into", "item", "field", "page", "text", F.col("state").alias("was"))
-    kept = first.join(met, ["notice_id", "into"]).join(ids, ["notice_id", "into"], "left")
-    state = F.when(F.col("n") == 1, F.col("was")).when(F.col("fine"), "verified").otherwise("needs_review")
-    image = F.when((F.col("low") == F.col("high")) & (F.col("imaged") == F.col("n")), F.col("low"))
-    return kept.select(*KEY, "field", "page", "text", evidence.alias("evidence"), F.coalesce("fact_ids", F.array().cast(facts.schema["fact_ids"].dataType)).alias("fact_ids"), state.alias("state"), image.alias("image"), (F.col("n") == 1).alias("has_box"), "n")
+    c = F.col
+    by = lambda *columns: Window.partitionBy("notice_id", *columns)
+    told = facts.filter("notice_id is not null").withColumn("told", X.spaced_key(c("text"))).withColumn("quote", X.folded_key(c("evidence")))
+    # Places are numbers, so that what follows is compared and summed without structs; all of it meets by the notice.
+    told = told.withColumn("at", F.dense_rank().over(by().orderBy("rank", "item")))
+    able = F.coalesce(c("page").isNotNull() & (F.size("fact_ids") > 0), F.lit(False))
+    # A fact that is able but does not say whether it is a repair takes no part.
+    told = told.withColumn("able", able).filter("not able or repair is not null").withColumn("main", c("able") & ~c("repair")).withColumn("again", c("able") & c("repair"))
+    exact = F.min(F.when(c("main"), c("at"))).over(by("page", "told", "field", "quote"))
+    told = told.withColumn("into", F.when(c("main") & F.coalesce(c("quote") != "", F.lit(False)), exact).otherwise(c("at")))
+    head = F.when(c("told").isNotNull(), F.min(F.when(c("main"), c("into"))).over(by("page", "told")))
+    own = F.min(F.when(c("again"), c("at"))).over(by("page", "told", "field"))
+    each = told.withColumn("into", F.when(c("again"), F.coalesce(head, own)).otherwise(c("into")))
+    # A row for the quote of a fact and one for each of its ids; equal ones meet before a notice's are listed.
+    quote = F.array(F.struct(F.lit(True).alias("quoted"), c("evidence"), F.lit(0).alias("i"), F.lit(None).cast(facts.schema["fact_ids"].dataType.elementType).alias("id")))
+    ids = F.transform(F.coalesce("fact_ids", F.array().cast(facts.schema["fact_ids"].dataType)), lambda x, i: F.struct(F.lit(False).alias("quoted"), F.lit(None).cast("string").alias("evidence"), i.alias("i"), x.alias("id")))
+    first = F.when(c("at") == c("into"), F.struct("item", "field", "page", "text", c("state").alias("was")))
+    rows = each.select("notice_id", "into", "at", (c("state") == "verified").alias("fine"), "image", first.alias("first"), F.explode(F.concat(quote, ids)).alias("r"))
+    rows = rows.select("notice_id", "into", "at", "fine", "image", F.when(c("r.quoted"), c("first")).alias("first"), "r.*")
+    each = rows.groupBy("notice_id", "into", "quoted", "evidence", "id").agg(
+        F.min(c("at").cast("long") * 2**31 + c("i")).alias("at"), F.count(F.lit(1)).alias("n"), F.bool_and("fine").alias("fine"), F.min("image").alias("low"), F.max("image").alias("high"), F.count("image").alias("imaged"), F.collect_list("first").alias("firsts"))
+    q = lambda value: F.when(c("quoted"), value)
+    listed = lambda test, value: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("at", value.alias("v"))))), lambda x: x["v"])
+    met = each.groupBy("notice_id", "into").agg(
+        listed(c("quoted"), c("evidence")).alias("quotes"), listed(~c("quoted"), c("id")).alias("fact_ids"), F.sum(q(c("n"))).alias("n"), F.bool_and(q(c("fine"))).alias("fine"),
+        F.min(q(c("low"))).alias("low"), F.max(q(c("high"))).alias("high"), F.sum(q(c("imaged"))).alias("imaged"), F.flatten(F.collect_list("firsts")).alias("firsts"))
+    kept = met.select("*", F.explode("firsts").alias("first")).select("*", "first.*")
+    quotes = F.transform("quotes", lambda x: F.coalesce(x, F.lit("")))
+    evidence = F.when(F.size("quotes") == 1, F.get(quotes, F.lit(0))).otherwise(F.aggregate(quotes, F.lit(""), lambda a, b: R.combined_evidence(a, b)))
+    state = F.when(c("n") == 1, c("was")).when(c("fine"), "verified").otherwise("needs_review")
+    image = F.when((c("low") == c("high")) & (c("imaged") == c("n")), c("low"))
+    return kept.select(*KEY, "field", "page", "text", evidence.alias("evidence"), "fact_ids", state.alias("state"), image.alias("image"), (c("n") == 1).alias("has_box"), "n")
 
 
 def score_tails(rows: DataFrame, text: str) -> DataFrame:

@@ -47,3 +47,9 @@ def test_each_text_of_a_score_claim_is_searched_once(spark):
 def test_no_sides_of_boxes_move_for_placements(spark, sf):
     plan = registry.queries()["j20_placements"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "_extract_" not in plan
+
+
+def test_facts_are_folded_without_joins(spark, sf):
+    """Before, seven branches numbered the units anew and met by joins."""
+    plan = registry.queries()["a13_folded_facts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan and plan.count("Relation") == 1
