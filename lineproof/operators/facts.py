@@ -88,17 +88,29 @@ def trailing_counts(events: DataFrame, key: str, seconds: int = 60, most: int =
 
 
 def closure(edges: DataFrame, scratch) -> DataFrame:
-    """(node, component): smallest node reachable. edges: (a, b); scratch cuts the lineage of a table each round."""
-    both = scratch(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")))
-    while True:
-        low = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("low"))
-        lower = labels.join(low, "a").select("a", F.col("c").alias("was"), F.least("c", "low").alias("c"))
-        jump = lower.select(F.col("a").alias("c"), F.col("c").alias("next"))
-        after = scratch(lower.join(jump, "c", "left").select("a", "was", F.coalesce("next", "c").alias("c")))
-        if after.filter("c <> was").isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("c").alias("component"))
-        labels = after.select("a", "c")
+    """(node, component): smallest node reachable. edges: (a, b); scratch cuts the lineage of a table each round.
+
+    In a round each node points to its smallest neighbour or itself, pointers are followed to their ends, and edges are
+    drawn between these ends alone; so rows moved fall from round to round. The pointers of all rounds, one behind the
+    other, lead to the component.
+    """
+    edges, rounds = edges.select("a", "b").filter("a is not null and b is not null"), []
+    while not rounds or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = scratch(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")))
+        while True:
+            after = grown(ends).join(grown(ends.select(F.col("a").alias("c"), F.col("c").alias("next"))), "c").select("a", F.col("next").alias("c"), (F.col("next") != F.col("c")).alias("moved"))
+            after = scratch(after)
+            ends = after.select("a", "c")
+            if after.filter("moved").isEmpty():
+                break
+        rounds.append(ends)
+        drawn = edges.join(grown(ends.select("a", F.col("c").alias("ca"))), "a").join(grown(ends.select(F.col("a").alias("b"), F.col("c").alias("cb"))), "b").filter("ca <> cb")
+        edges = scratch(drawn.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    found = rounds.pop()
+    while rounds:
+        found = rounds.pop().join(grown(found.select(F.col("a").alias("c"), F.col("c").alias("next"))), "c", "left").select("a", F.coalesce("next", "c").alias("c"))
+    return found.select(F.col("a").alias("node"), F.col("c").alias("component"))
 
 
 def contaminated(cites: DataFrame, unverified: DataFrame, scratch) -> DataFrame:

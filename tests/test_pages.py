@@ -119,3 +119,12 @@ def test_readings_of_unlike_texts(spark):
     same, box = lambda a, b: [r for _, r in told(P.regions(page(spark, a, b)), "ord", "region")], (100, 100, 200, 20)
     assert same(("• a  b", *box), ("a b", *box)) == [1, 0] and same(("fee 10", *box), ("Fee: 10", 101, 100, 200, 20)) == [0, 1] and same(("fee 10", *box), ("fee 20", *box)) == [1, 2]
     assert same((None, *box), (None, *box)) == [1, 0] and same(("a", 100, 100, 0, 20), ("a", 100, 100, 0, 20)) == [1, 0]
+
+
+def test_closure_draws_fewer_edges_each_round(spark):
+    """Before, every round moved all edges both ways; a long chain is followed to its end in one."""
+    written = []
+    keep = lambda df: written.append(df := stored(df)) or df
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 7), (9, None)], "a long, b long")
+    got = {r.node: r.component for r in A.closure(chain, keep).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} and written[-1].isEmpty() and len(written) < 10
