@@ -24,3 +24,7 @@ def test_more_rows_make_more_tasks(spark):
     rows = spark.range(400)
     dealt = joins.dealt(rows, 400, "id", most=10)
     assert dealt.rdd.getNumPartitions() == 40 and dealt.count() == 400
+
+
+def test_units_of_requests_are_dealt_by_rows(spark, sf):
+    assert "REPARTITION_BY_NUM" in registry.queries()["s16_block_requests"](spark, sf)._jdf.queryExecution().executedPlan().toString()
