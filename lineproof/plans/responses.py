@@ -20,12 +20,12 @@ QUERIES, SQL = {}, {}
 C = F.col
 
 
-def grouped(name: str, fields: str, groups: list[list[tuple]], rule) -> None:
-    """A query of rule over the rows (notice_id, kase, i, fields) of the groups, and its SQL; rule gives (notice_id, kase, i, found)."""
+def grouped(name: str, fields: str, groups: list[list[tuple]], rule, dear: bool = False) -> None:
+    """A query of rule over the rows (notice_id, kase, i, fields) of the groups, and its SQL; rule gives (notice_id, kase, i, found). dear: as in case_rows."""
     names = fields.split()
 
     def query(spark, sf):
-        return rule(views.case_rows(spark, sf, [[r[:-1] for r in g] for g in groups], *names)).select("notice_id", "kase", "i", "found")
+        return rule(views.case_rows(spark, sf, [[r[:-1] for r in g] for g in groups], *names, dear=dear)).select("notice_id", "kase", "i", "found")
 
     query.__name__ = name
     QUERIES[name], SQL[name] = query, views.case_rows_sql([[r[-1] for r in g] for g in groups])
@@ -183,17 +183,17 @@ grouped("c5_applied_interpretation", "role page text units", [
 
 
 def review(rows):
-    fields = rows.select("notice_id", F.col("i").alias("field_no"), "field", "label", "evidence", "text")
-    once = rows.filter("status not in ('', 'twice')").select("notice_id", F.col("i").alias("field_no"), "status")
-    twice = rows.filter("status = 'twice'").select("notice_id", F.col("i").alias("field_no"), F.lit("supported").alias("status"))
-    told = R.reviewed(fields, once.unionByName(twice).unionByName(twice)).withColumnRenamed("field_no", "i")
-    return rows.join(grown(told), ["notice_id", "i"]).withColumn("found", F.col("state"))
+    """Fields and the verdicts on them; a verdict of twice is given two times."""
+    fields = rows.select("notice_id", "kase", F.col("i").alias("field_no"), "field", "label", "evidence", "text")
+    given = F.when(F.col("status") == "twice", F.array(F.lit("supported"), F.lit("supported"))).otherwise(F.array("status"))
+    verdicts = rows.filter("status <> ''").select("notice_id", F.col("i").alias("field_no"), F.explode(given).alias("status"))
+    return R.reviewed(fields, verdicts, stored).withColumnRenamed("field_no", "i").withColumn("found", F.col("state"))
 
 
 grouped("c6_reviewed_fields", "field label evidence text status", [
     [("key_details", "Exam", "약 {n}문항", "{n} questions", "supported", "detached"), ("fees", "Fee", "참가비 {n}원", "KRW {n}, etc.", "supported", "open list"), ("fees", "Fee", "참가비 {n}원", "KRW 7", "supported", "unsupported amount"), ("deadlines", "Date", "2026.08.24 마감", "September 4", "supported", "unsupported date"), ("key_details", "Place", "도담 마루", "Dodam hall", "supported", "transliteration")],
     [("actions", "", '신청 "Open Lab Day"', "Apply to open lab day", "supported", "kept"), ("actions", "", '신청 "Open Lab Day"', "Apply soon", "supported", "kept"), ("actions", "", '신청 "Two Words"', "Apply soon", "supported", "lost phrase"), ("actions", "", "신청 가능", "Apply", "unsupported", "unsupported"), ("actions", "", "신청 가능", "Apply now", "", "insufficient"), ("actions", "", "신청 가능", "Apply late", "twice", "insufficient"), ("actions", "", "신청 가능", "Apply here", "maybe", "insufficient")],
-], review)
+], review, dear=True)
 
 
 def f25_restored_expansions(spark, sf):

@@ -73,9 +73,9 @@ def cases_sql(expected: list[str | None]) -> str:
     return f"select o_orderkey as notice_id, (o_orderkey % {len(expected)})::int as kase, replace(list_extract([{texts}], o_orderkey % {len(expected)} + 1)::varchar, '{{n}}', (o_orderkey % 900 + 100)::varchar) as found from orders"
 
 
-def case_rows(spark: SparkSession, sf_dir: str, groups: list[list[tuple]], *names: str) -> DataFrame:
-    """(notice_id, kase, i, names...): every order with the rows of one of the groups in turn; {n} as in cases."""
-    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 900 + 100
+def case_rows(spark: SparkSession, sf_dir: str, groups: list[list[tuple]], *names: str, dear: bool = False) -> DataFrame:
+    """(notice_id, kase, i, names...): every order with the rows of one of the groups in turn; {n} as in cases, dear as in t1."""
+    o, n = spread(spark, sf_dir, "orders", "o_orderkey") if dear else table(spark, sf_dir, "orders"), F.col("o_orderkey") % 900 + 100
     kase = (F.col("o_orderkey") % len(groups)).cast("int")
     kind = f"array<array<struct<{','.join(f'{c}:string' for c in names)}>>>"
     held = F.array(*[F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(names, row, strict=True)]) for row in g]) for g in groups]).cast(kind)

@@ -3,9 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lineproof import registry
 from lineproof.operators import joins
+from lineproof.operators import responses as R
+from lineproof.sources.scratch import stored
 
 
 @pytest.mark.parametrize("name", ["f33c_required_documents", "c4_applied_repairs", "c5_applied_interpretation", "c4_retried_repairs"])
@@ -28,3 +31,20 @@ def test_more_rows_make_more_tasks(spark):
 
 def test_units_of_requests_are_dealt_by_rows(spark, sf):
     assert "REPARTITION_BY_NUM" in registry.queries()["s16_block_requests"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reviewed_fields_meet_no_table_by_notice(spark, sf):
+    plan = registry.queries()["c6_reviewed_fields"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and not re.search(r"Join \[[^\]]*notice_id", plan) and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("scratch", [None, stored])
+def test_reviews_at_their_edges(spark, scratch):
+    """Null texts and quotes, fields without a verdict, verdicts without a field, quotes that fields share."""
+    quote = '신청 "Two Words"'
+    fields = [(1, 0, "actions", "", quote, "Apply words"), (1, 1, "actions", "", quote, "two"), (2, 0, "actions", "", quote, "Two words"), (3, 0, "actions", "", None, "x"), (3, 1, "actions", "", "", "y"), (3, 2, "actions", "", "신청 가능", None)]
+    given = [(n, i, "supported") for n, i in ((1, 0), (1, 1), (2, 0), (3, 0), (3, 2), (4, 0))] + [(2, 0, "supported")]
+    rows = spark.createDataFrame(fields, "notice_id long, field_no int, field string, label string, evidence string, text string").withColumn("more", F.lit("m"))
+    told = R.reviewed(rows, spark.createDataFrame(given, "notice_id long, field_no int, status string"), scratch).collect()
+    assert {(r.notice_id, r.field_no): r.state for r in told} == {(1, 0): "lost phrase", (1, 1): "lost phrase", (2, 0): "insufficient", (3, 0): "kept", (3, 1): "insufficient", (3, 2): "kept"}
+    assert len(told) == 6 and {r.more for r in told} == {"m"}
