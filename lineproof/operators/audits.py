@@ -96,6 +96,11 @@ def cut(text: str, most: int) -> list[str]:
     return out + (["".join(held)] if held else [])
 
 
+def chunks_of(text: Column, most: int = 480) -> Column:
+    """The chunks of a text, each of at most that many UTF-8 bytes; null and empty texts have none."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: list(cut(t or "", most))), "array<string>")(text)
+
+
 def byte_chunks(docs: DataFrame, most: int = 480, key: str = "doc_id") -> DataFrame:
     """(key, piece, chunk): texts in chunks of at most that many UTF-8 bytes; null and empty texts have none."""
 

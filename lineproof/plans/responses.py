@@ -138,19 +138,19 @@ def s15_updated_snapshots(spark, sf):
 
 def translated(rows):
     """Blocks with the answer to their text; an answer of - is missing, one that starts with ! comes twice, with ? as an error."""
-    blocks = rows.select("notice_id", F.col("i").alias("block"), "text", (F.col("certain") == "yes").alias("certain"))
+    blocks = rows.select("notice_id", "kase", F.col("i").alias("block"), "text", (F.col("certain") == "yes").alias("certain"))
     told = rows.filter("answer <> '-'").select(F.sha2("text", 256).alias("chunk_id"), F.regexp_replace("answer", "^[!?]", "").alias("text"), F.startswith("answer", F.lit("?")).alias("error"), F.startswith("answer", F.lit("!")).alias("again"))
     once = told.distinct()
     answers = once.unionByName(once.filter("again")).drop("again")
-    found = R.translated_blocks(blocks, answers).withColumnRenamed("block", "i")
-    return rows.join(grown(found), ["notice_id", "i"]).withColumn("found", F.concat_ws(": ", "status", "english"))
+    found = R.translated_blocks(blocks, answers, scratch=stored).withColumnRenamed("block", "i")
+    return found.withColumn("found", F.concat_ws(": ", "status", "english"))
 
 
 grouped("c2_translated_blocks", "text answer certain", [
     [("행사 {n}", "Event {n}", "yes", "translated: Event {n}"), ("English {n}", "-", "yes", "translated: English {n}"), ("학부 재학생", "-", "yes", "translated: Currently enrolled undergraduate students."), ("", "-", "yes", "source_crop: Image detail: see the original crop.")],
     [("지원금 {n}원", "A grant", "yes", "source_crop: [romanised] jiwongeum {n}won"), ("마루 가", "-", "yes", "source_crop: [romanised] maru ga"), ("마루 나", "!Floor", "yes", "source_crop: [romanised] maru na"), ("마루 다", "?Floor", "yes", "source_crop: [romanised] maru da"), ("마루 라", "마루", "yes", "source_crop: [romanised] maru ra")],
     [("마루 마", "Floor", "no", "source_crop: Partial English reading: Floor\n[romanised] maru ma"), ("마감 2026.08.24", "Closes August 24, 2026", "yes", "translated: Closes August 24, 2026")],
-], translated)
+], translated, dear=True)
 
 
 def repairs(rows):

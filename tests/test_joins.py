@@ -33,6 +33,12 @@ def test_units_of_requests_are_dealt_by_rows(spark, sf):
     assert "REPARTITION_BY_NUM" in registry.queries()["s16_block_requests"](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_blocks_of_equal_text_are_told_once(spark, sf):
+    """Before, chunks and verdicts met their blocks by notice, and Spark built these tables on the driver."""
+    plan = registry.queries()["c2_translated_blocks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and not re.search(r"Join \[[^\]]*notice_id", plan)
+
+
 def test_reviewed_fields_meet_no_table_by_notice(spark, sf):
     plan = registry.queries()["c6_reviewed_fields"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and not re.search(r"Join \[[^\]]*notice_id", plan) and "REPARTITION_BY_NUM" in plan
