@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from lineproof.llm.shared import batch, sliced, stored
 
 SHARD_TERMS = 1 << 20
+#: Shards of a file of the index: a reader holds the rows of a file together, whatever their size.
+FILE_SHARDS = 2
 RANGE = 256
 QUERY_TERMS = 1 << 18
 #: Letters and digits of ASCII and all beyond it stay, A-Z in lower case; the other bytes separate.
@@ -87,9 +89,9 @@ def _indexed(shard_terms: int):
 
 
 def index(docs: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
-    """The stored index: a row a shard."""
+    """The stored index: a row a shard, few rows a file, so that a task holds as much of it however many documents it indexed."""
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    return stored(rows.mapInArrow(_indexed(shard_terms), INDEX_DDL), "lexical-index")
+    return stored(rows.mapInArrow(_indexed(shard_terms), INDEX_DDL), "lexical-index", FILE_SHARDS)
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -193,3 +193,11 @@ def test_alignment(spark, docs, sizes, monkeypatch):
 def test_new_queries(spark, sf):
     for name, n in (("op11_substring_dedup", 200), ("op13_token_alignment", 200), ("op12_ranked_search", 2000)):
         assert queries.QUERIES[name](spark, sf).count() == n
+
+
+def test_a_file_of_the_index_holds_few_shards(spark):
+    """A reader holds the rows of a file together; before, all shards of a task lay in one."""
+    docs = spark.createDataFrame([(i, f"word{i} and more words") for i in range(60)], "doc_id long, text string").coalesce(1)
+    found = lexical.index(docs, 8)
+    rows = found.groupBy(F.input_file_name()).count().collect()
+    assert found.count() == 30 and max(r["count"] for r in rows) <= lexical.FILE_SHARDS
