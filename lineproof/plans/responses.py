@@ -179,7 +179,7 @@ def interpretation(rows):
 grouped("c5_applied_interpretation", "role page text units", [
     [("unit", "1", "지원금 {n}원", "", "told"), ("unit", "1", "행사 안내", "", "no item"), ("unit", "2", "서류", "", "told"), ("item", "", "KRW {n} grant", "0", "stands"), ("item", "", "Both pages", "1,2", "gone"), ("item", "", "Documents", "2", "stands")],
     [("unit", "1", "지원금 {n}원", "", "missing value: amount:{n}"), ("unit", "1", "서류", "", "missing value: amount:{n}"), ("unit", "1", "강연", "", "told"), ("item", "", "A grant and documents", "0,1", "gone"), ("item", "", "Documents", "1", "gone"), ("item", "", "Lecture", "2", "stands"), ("item", "", "강연", "2", "gone"), ("item", "", "KRW 7", "2", "gone"), ("item", "", "Lecture", "2,2", "gone"), ("item", "", "Lecture", "99", "gone")],
-], interpretation)
+], interpretation, dear=True)
 
 
 def review(rows):

@@ -54,3 +54,20 @@ def test_reviews_at_their_edges(spark, scratch):
     told = R.reviewed(rows, spark.createDataFrame(given, "notice_id long, field_no int, status string"), scratch).collect()
     assert {(r.notice_id, r.field_no): r.state for r in told} == {(1, 0): "lost phrase", (1, 1): "lost phrase", (2, 0): "insufficient", (3, 0): "kept", (3, 1): "insufficient", (3, 2): "kept"}
     assert len(told) == 6 and {r.more for r in told} == {"m"}
+
+
+def test_interpretations_move_texts_without_joins(spark):
+    """Before, texts of units met their items by three joins ahead of the first table; a chain of items falls with one unit."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    units = spark.createDataFrame([(1, i, 1, t) for i, t in enumerate(["지원금 300원", "행사", "강연", "서류", "장소"])] + [(2, 0, 1, "행사"), (2, 1, 2, None)], "notice_id long, unit int, page int, text string")
+    items = [(1, 0, "A grant and event", [0, 1]), (1, 1, "Event, lecture", [1, 2]), (1, 2, "Documents", [3]), (1, 3, "No place", [9]), (1, 4, "None", []), (1, 5, "Twice", [4, 4]), (2, 0, "Event", [0]), (2, 1, "Two pages", [0, 1]), (2, 2, "Unknown", None)]
+    found, rest = R.applied_interpretation(units, spark.createDataFrame(items, "notice_id long, item int, text string, unit_ids array<int>"), kept)
+    assert "Join" not in plans[0] and "Repartition" in plans[0]
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (2, 0)]
+    told = {(r.notice_id, r.unit): r.issue for r in rest.collect()}
+    assert set(told) == {(1, 0), (1, 1), (1, 2), (1, 4), (2, 1)} and told[1, 4] == told[2, 1] == "no item" and "missing value: amount:300" in told[1, 0]
