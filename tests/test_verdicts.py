@@ -52,3 +52,17 @@ def test_recovered_candidates(spark):
     df = spark.createDataFrame([(1, "bad", [("good long", 0.5), ("good", 0.5), ("g", 0.9)]), (2, "good", []), (3, "bad", None)], "id int, t string, alt array<struct<text: string, conf: double>>")
     found = A.recovered_candidates(df, "t", "alt", lambda c: c.startswith("g"), 80)
     assert {r.id: r.recovered for r in found.collect()} == {1: "good long", 2: "good", 3: "bad"}
+
+
+def test_marks_save_searches_and_no_issue(spark):
+    """A search runs only where its mark stands; case, blanks and nulls as without the marks."""
+    from lineproof.functions import english as E
+
+    cases = [
+        ("3명 이상", "3 people", ["missing inclusive minimum for 3"]), ("3명", "at least Three people", []), ("ielts 6.5", "ok", ["missing or changed score pairing: ielts / 6.5"]),
+        ("글", "TOEFLiBT", ["unsupported exam name: toefl ibt"]), ("글", "opic", ["unsupported exam name: opic"]), ("글", "plain", []), (None, "x", []), ("3명 이내", "Up to THREE students", []),
+    ]
+    rows = spark.createDataFrame(cases, "s string, e string, want array<string>").select("want", E.pair_issues(F.col("s"), F.col("e")).alias("x"))
+    assert [r.x for r in rows.collect()] == [r.want for r in rows.collect()]
+    dear = [E.limit_issues(F.col("s"), F.col("e")), E.digits_for_counts(F.col("e"))]
+    assert all("CASE WHEN" in str(c) for c in dear)  # before, every search ran on every text
